@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import license_scan, quality_rules
+from lectern.llm import decontamination, license_scan, quality_rules, secret_scan
 
 WORDS = r"""
 words AS (
@@ -73,5 +73,44 @@ SELECT *, NOT base_failed AND {' AND '.join(bounds)} AS kept FROM f
 """
 
 
+def secret_sql() -> str:
+    rules = secret_scan.RULES
+    found = ",\n".join(
+        f"""list_transform(range(len(m{k})), lambda i: {{'s': list_sum(list_transform(p{k}[1 : i + 1], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m{k}[1 : i], lambda x: length(x))), 0)::BIGINT,
+         'k': {k}, 'n': '{r.kind}', 'l': length(m{k}[i + 1])::BIGINT, 'ok': length(g{k}[i + 1]) >= {r.min_chars}}})"""
+        for k, r in enumerate(rules))
+    cut = ", ".join(f"regexp_extract_all(t, {_quote(r.pattern)}) AS m{k}, regexp_extract_all(t, {_quote(r.pattern)}, {r.group}) AS g{k}, regexp_split_to_array(t, {_quote(r.pattern)}) AS p{k}" for k, r in enumerate(rules))
+    base = [r.kind for r in rules if r.base]
+    text = "array_to_string(list_transform({0}, lambda x: x.n || ':' || x.s || ':' || (x.s + x.l)), ',')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT doc_id, {cut} FROM d),
+s AS (SELECT doc_id, list_sort(list_filter(flatten([{found}]), lambda x: x.ok)) AS sp FROM c),
+b AS (SELECT doc_id, sp, list_filter(sp, lambda x: list_contains({_list(base)}, x.n)) AS bs FROM s)
+SELECT doc_id, {', '.join(f"len(list_filter(bs, lambda x: x.n = '{k}'))::BIGINT AS n_{k}" for k in base)},
+       sha256({text.format('bs')}) AS base_sha256, {text.format('sp')} AS spans
+FROM b
+"""
+
+
+def decontamination_sql() -> str:
+    n = decontamination.WINDOW
+    return rf"""
+WITH {WORDS},
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS bw FROM benchmark),
+i AS (SELECT item_id, bw, least(len(bw), {n}) AS m, unnest(range(greatest(len(bw) - {n} + 1, 1))) AS p FROM b WHERE len(bw) > 0),
+win AS (SELECT DISTINCT item_id, m, array_to_string(bw[p + 1 : p + m], ' ') AS g FROM i),
+d AS (SELECT rid, ws, unnest(range(len(ws))) AS p FROM words),
+dw AS (SELECT rid, p, m, array_to_string(ws[p + 1 : p + m], ' ') AS g FROM d, (SELECT DISTINCT m FROM win) WHERE p + m <= len(ws)),
+hit AS (SELECT rid, p, m, item_id FROM dw JOIN win USING (m, g)),
+h AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + m)) AS q FROM hit) GROUP BY rid),
+t AS (SELECT rid, list_sort(list_distinct(list(item_id::VARCHAR))) AS its FROM hit GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(its), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(its, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {decontamination.SHARE} * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM words LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op6_quality_rules": quality_sql()}
+    return {"op1_license_scan": license_sql(), "op2_secret_scan": secret_sql(), "op6_quality_rules": quality_sql(), "op10_decontamination": decontamination_sql()}
