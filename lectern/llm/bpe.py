@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that each lazy table holds before it starts anew; bounds memory, never changes a result.
-TABLE_SIZE = 1 << 17
+TABLE_SIZE = 1 << 18
 #: Longer pieces are run through the transducer each time instead of being kept whole.
 KEPT_PIECE = 64
+_NEVER = 1 << 62
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -44,8 +45,9 @@ class Transducer:
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.longest = max(map(len, ranks))
-        self.whole: dict[bytes, bool] = {}
+        self.longest = max(map(len, ranks))  # bounds the lookahead
+        self.size = {i: len(t) for t, i in ranks.items()}
+        self.edges: dict[int, tuple[list, list] | None] = {}
         self.apart: dict[tuple[int, int], bool] = {}
         self.reset()
 
@@ -55,44 +57,88 @@ class Transducer:
         self.known: dict[tuple[int | None, bytes], int] = {(None, b""): 0}
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The merges applied as defined: lowest rank first, leftmost among equals."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
-            if best == 1 << 62:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def _is_whole(self, token: bytes) -> bool:
-        if token not in self.whole:
-            self.whole[token] = self.merged(token) == [self.ranks[token]]
-        return self.whole[token]
+    def _edges(self, t: int) -> tuple[list, list] | None:
+        """What stands at the right and at the left edge of a token while its merges run.
+
+        Each entry is (bytes, rank that makes it, rank of the merge that consumes it).
+        None: the merges of the token's bytes give something else.
+        """
+        if t not in self.edges:
+            token = self.token[t]
+            parts = [token[i : i + 1] for i in range(len(token))]
+            right, left, made = [(parts[-1], -1)], [(parts[0], -1)], []
+            ends: list[list] = [[], []]
+            while len(parts) > 1:
+                best, at = min((self.ranks.get(parts[i] + parts[i + 1], _NEVER), i) for i in range(len(parts) - 1))
+                if best == _NEVER:
+                    break
+                last = at == len(parts) - 2
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                if last:
+                    ends[0].append((*right[-1], best))
+                    right.append((parts[-1], best))
+                if at == 0:
+                    ends[1].append((*left[-1], best))
+                    left.append((parts[0], best))
+                made.append(best)
+            whole = len(parts) == 1 and made == sorted(made)
+            self.edges[t] = ([*ends[0], (*right[-1], _NEVER)], [*ends[1], (*left[-1], _NEVER)]) if whole else None
+        return self.edges[t]
 
     def _stay_apart(self, u: int, t: int) -> bool:
+        """True unless some merge joins the right edge of u with the left edge of t while both exist.
+
+        Among merges of one rank the leftmost runs first: before one inside t, after one inside u.
+        """
         got = self.apart.get((u, t))
         if got is None:
             if len(self.apart) >= TABLE_SIZE:
                 self.apart.clear()
-            got = self.apart[u, t] = self.merged(self.token[u] + self.token[t]) == [u, t]
+            got, ranks = bool(self._edges(t)), self.ranks
+            for a, made_a, used_a in self._edges(u)[0]:
+                for b, made_b, used_b in (self._edges(t) or ((), ()))[1]:
+                    r = ranks.get(a + b)
+                    if r is not None and made_a < r < used_a and made_b < r <= used_b:
+                        got = False
+            self.apart[u, t] = got
         return got
 
     def _last(self, before: int | None, buffer: bytes, last: tuple[int, ...]) -> int:
-        for start in range(max(0, len(buffer) - self.longest), len(buffer)):
-            t = self.ranks.get(buffer[start:])
-            if t is not None and self._is_whole(buffer[start:]):
+        # exactly one start fits, so the order of trial is free: most tokens are short
+        ranks, n, apart = self.ranks, len(buffer), self.apart
+        for start in range(n - 1, max(0, n - self.longest) - 1, -1):
+            t = ranks.get(buffer[start:])
+            if t is not None:
                 u = last[start - 1] if start else before
-                if u is None or self._stay_apart(u, t):
+                if u is None:
+                    if self._edges(t):
+                        return t
+                    continue
+                fits = apart.get((u, t))
+                if self._stay_apart(u, t) if fits is None else fits:
                     return t
         raise ValueError("the vocabulary lacks a byte")
 
-    def _chain(self, last: tuple[int, ...], place: int) -> list[int]:
-        out = []
-        while place > 0:
-            out.append(place)
-            place -= len(self.token[last[place - 1]])
-        return out
+    def _commit(self, buffer: bytes, last: tuple[int, ...]) -> int:
+        """The last place that every split still open passes through.
+
+        A later token may start at a place only if what stands from there on begins some token.
+        """
+        if buffer in self.prefixes:
+            return 0
+        n, size, prefixes = len(buffer), self.size, self.prefixes
+        place = n
+        for j in range(n - 1, max(1, n - self.longest + 1) - 1, -1):
+            if buffer[j:] in prefixes:
+                q = j
+                while place != q:  # up to where both splits meet
+                    if place > q:
+                        place -= size[last[place - 1]]
+                    else:
+                        q -= size[last[q - 1]]
+                if not place:
+                    return 0
+        return place
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         arc = self.arcs.get(state << 8 | byte)
@@ -104,13 +150,7 @@ class Transducer:
         before, buffer, last = self.states[state]
         buffer += bytes([byte])
         last += (self._last(before, buffer, last),)
-        # a later token may start at a place only if what stands from there on begins some token
-        common: set[int] | None = None
-        for j in range(max(0, len(buffer) - self.longest), len(buffer) + 1):
-            if j == len(buffer) or buffer[j:] in self.prefixes:
-                chain = set(self._chain(last, j))
-                common = chain if common is None else common & chain
-        commit = max(common or {0}, default=0)
+        commit = self._commit(buffer, last)
         out: tuple[int, ...] = ()
         if commit:
             out = self._tokens(last, commit)
@@ -122,23 +162,31 @@ class Transducer:
         return self.known[key], out
 
     def _tokens(self, last: tuple[int, ...], place: int) -> tuple[int, ...]:
-        return tuple(last[p - 1] for p in reversed(self._chain(last, place)))
+        out = []
+        while place > 0:
+            out.append(last[place - 1])
+            place -= self.size[out[-1]]
+        return tuple(reversed(out))
 
     def run(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
         if len(self.arcs) >= TABLE_SIZE:
             self.reset()
-        state, out = 0, []
+        state, out, arcs = 0, [], self.arcs
         for byte in piece:
-            if len(self.arcs) >= 4 * TABLE_SIZE:  # inside one very long piece: start the tables anew from this state
-                held = self.states[state]
-                self.reset()
-                state = self.known.setdefault(held[:2], len(self.states))
-                if state == len(self.states):
-                    self.states.append(held)
-            state, emitted = self.step(state, byte)
-            out += emitted
+            arc = arcs.get(state << 8 | byte)
+            if arc is None:
+                if len(arcs) >= 2 * TABLE_SIZE:  # inside one very long piece: start the tables anew from this state
+                    held = self.states[state]
+                    self.reset()
+                    arcs, state = self.arcs, self.known.setdefault(held[:2], len(self.states))
+                    if state == len(self.states):
+                        self.states.append(held)
+                arc = self.step(state, byte)
+            state, emitted = arc
+            if emitted:
+                out += emitted
         _, _, last = self.states[state]
         return [*out, *self._tokens(last, len(last))]
 

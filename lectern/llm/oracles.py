@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontamination, license_scan, quality_rules, secret_scan
+from lectern.llm import decontamination, license_scan, quality_rules, secret_scan, warc
 
 WORDS = r"""
 words AS (
@@ -112,5 +112,16 @@ FROM words LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """
 
 
+def warc_sql() -> str:
+    return f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha256(b) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first FROM q WHERE n >= {warc.REVISIT_BYTES} GROUP BY h)
+SELECT page_id, n AS payload_bytes, q.h AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM q LEFT JOIN f ON q.h = f.h AND n >= {warc.REVISIT_BYTES}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op2_secret_scan": secret_sql(), "op6_quality_rules": quality_sql(), "op10_decontamination": decontamination_sql()}
+    return {"op1_license_scan": license_sql(), "op2_secret_scan": secret_sql(), "op3_warc": warc_sql(), "op6_quality_rules": quality_sql(), "op10_decontamination": decontamination_sql()}
