@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, decontamination, license_scan, pii, quality_rules, secret_scan, warc
+from lectern.llm import bpe, decontamination, license_scan, minhash, pii, quality_rules, secret_scan, warc
 from lectern.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.annotate(docs.select("doc_id", "text"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN).drop("text")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_warc, op6_quality_rules, op7_byte_bpe, op9_pii, op10_decontamination)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_warc, op6_quality_rules, op7_byte_bpe, op8_minhash, op9_pii, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
