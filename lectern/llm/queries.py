@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, decontamination, license_scan, minhash, pii, quality_rules, secret_scan, warc
+from lectern.llm import bpe, decontamination, license_scan, minhash, pii, quality_classifier, quality_rules, secret_scan, toxicity, warc
 from lectern.llm.common import table
 
 
@@ -23,6 +23,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_warc, op6_quality_rules, op7_byte_bpe, op8_minhash, op9_pii, op10_decontamination)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_warc, op4_quality_classifier, op5_toxicity, op6_quality_rules, op7_byte_bpe, op8_minhash, op9_pii, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

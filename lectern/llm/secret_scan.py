@@ -93,14 +93,20 @@ def _long_enough(n: int):
     return lambda match, group: F.length(group) >= n
 
 
-def scan(df: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", index: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text, spans) for every row, by way of the index."""
+def annotate(df: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", index: DataFrame | None = None) -> DataFrame:
+    """``df`` with a column ``spans``, by way of the index; a column of that name is replaced."""
     c = candidates(index if index is not None else build_index(df, rules, id_col, text_col), rules)
     c = c.select(F.col("doc_id").alias("_id"), F.col("rules").alias("_may"))
-    t = rows(df, id_col, text_col)
-    t = t.join(c, t["doc_id"].eqNullSafe(c["_id"]), "left")
+    t = df.drop("spans", "_id", "_may")
+    t = t.join(c, t[id_col].eqNullSafe(c["_id"]), "left")
     may = F.coalesce("_may", F.array().cast("array<string>"))
-    return t.select("doc_id", "text", verified(F.col("text"), may, rules).alias("spans"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return t.withColumn("spans", verified(text, may, rules)).drop("_id", "_may")
+
+
+def scan(df: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", index: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, spans) for every row."""
+    return annotate(rows(df, id_col, text_col), rules, index=index)
 
 
 def report(df: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
