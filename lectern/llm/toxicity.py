@@ -1,8 +1,8 @@
 """Toxicity by cumulative-link ordinal regression.
 
 Labels say only toxic or not, so severity grades are made from the text: toxic
-documents are graded 1 to 3 by tertiles of the share of their words that point
-to toxicity in the labelled sample; others have grade 0. The model is
+documents are graded 1 to 3 by tertiles of how much they say in words that point
+to toxicity in the labelled sample, sum of log(1 + count); others have grade 0. The model is
 
     P(grade <= k) = sigmoid(theta_k - w.x),  theta_1 < theta_2 < theta_3,
 
@@ -10,7 +10,7 @@ with one weight vector for all thresholds and x = log(1 + count) of the chosen
 words. Output is the expected severity, sum over k >= 1 of P(grade >= k).
 
 The model is fitted on :data:`MAX_LABELS` labelled documents at most (those
-whose hashed id is smallest); words are chosen by their log-odds z score. It is
+whose hashed id is smallest); words are chosen by the G squared of their counts. It is
 a few kilobytes, which is all that is broadcast. Scoring is one pass.
 
 Defined results: null or empty text has no words and the severity of a text
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from lectern.llm import vector
 from lectern.llm.common import durable, rows
 
-MAX_LABELS, MAX_WORDS, MIN_DOCS, MIN_Z = 4000, 512, 5, 4.0
+MAX_LABELS, MAX_WORDS, MIN_DOCS, MIN_G2, MIN_SHARE, MIN_PURITY = 8000, 512, 5, 25.0, 0.01, 0.75
 GRADES = 3
-L2 = 0.05
+L2 = 0.01
 #: Documents at or above this probability of any severity are rejected.
 REJECT_AT = 0.5
 
@@ -61,18 +61,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes.append(h)
             counts.append(c)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(1), pa.array(w.counts, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
-            ["toxic", "n", "words", "counts"])
+            [batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
+            ["toxic", "words", "counts"])
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(toxic, n, words, counts) of a bounded number of labelled documents."""
+    """(toxic, words, counts) of a bounded number of labelled documents."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # MAX_LABELS rows at most: bounded by the limit
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELS).withColumnRenamed("doc_id", "_id")
     t = rows(docs, id_col, text_col)
     t = t.join(F.broadcast(few), t["doc_id"] == few["_id"]).select("text", "toxic")
-    return durable(t.mapInArrow(_counted, "toxic int, n long, words array<long>, counts array<long>"), "toxicity-sample")
+    return durable(t.mapInArrow(_counted, "toxic int, words array<long>, counts array<long>"), "toxicity-sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -82,25 +82,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not 0 < n1 < n:
         return none
     each = s.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("d"))
-    p, q = F.col("p") + 0.5, F.col("d") - F.col("p") + 0.5
-    z = (F.log(p / q) - float(np.log((n1 + 1) / (n - n1 + 1)))) / F.sqrt(1 / p + 1 / q)
-    top = each.where(F.col("d") >= MIN_DOCS).withColumn("z", z).where(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "w").limit(MAX_WORDS).collect()
+    # G squared of the word's two-by-two table; the sign says which side it points to
+    a, b = F.col("p").cast("double"), (F.col("d") - F.col("p")).cast("double")
+    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
+    d, share = F.col("d").cast("double"), n1 / n
+    g2 = 2 * (part(a, d * share) + part(b, d * (1 - share)) + part(n1 - a, (n - d) * share) + part(n - n1 - b, (n - d) * (1 - share)))
+    scored = each.where(F.col("d") >= MIN_DOCS).select("w", "p", "d", g2.alias("g2"), (a > d * share).alias("ill"))
+    # words of a few copied documents, or of clean documents as well, point to nothing
+    wide = ~F.col("ill") | ((F.col("p") >= MIN_SHARE * n1) & (F.col("p") >= MIN_PURITY * F.col("d")))
+    top = scored.where((F.col("g2") >= MIN_G2) & wide).orderBy(F.desc("g2"), "w").limit(MAX_WORDS).collect()
     if not top:
         return none
     order = np.argsort(np.array([r["w"] for r in top], np.int64).view(np.uint64))
     chosen = np.array([r["w"] for r in top], np.int64)[order]
-    ill = np.array([r["z"] for r in top])[order] > 0
+    ill = np.array([r["ill"] for r in top])[order]
     kept = F.filter(F.arrays_zip("words", "counts"), lambda x: x["words"].isin(chosen.tolist()))
-    data = s.select("toxic", "n", kept.alias("x")).collect()
+    data = s.select("toxic", kept.alias("x")).collect()
     place = {w: k for k, w in enumerate(chosen.tolist())}
-    x, y, share = np.zeros((len(data), len(chosen))), np.zeros(len(data), int), np.zeros(len(data))
+    x, y, told = np.zeros((len(data), len(chosen))), np.zeros(len(data), int), np.zeros(len(data))
     for i, r in enumerate(data):
         for f in r["x"]:
             x[i, place[f["words"]]] = np.log1p(f["counts"])
-            share[i] += f["counts"] * ill[place[f["words"]]] / max(r["n"], 1)
+            told[i] += np.log1p(f["counts"]) * ill[place[f["words"]]]
         y[i] = r["toxic"]
-    cuts = np.quantile(share[y == 1], [k / GRADES for k in range(1, GRADES)])
-    grade = np.where(y == 1, 1 + np.searchsorted(cuts, share, "left"), 0)
+    shown = told[(y == 1) & (told > 0)]
+    cuts = np.quantile(shown, [k / GRADES for k in range(1, GRADES)]) if len(shown) else np.zeros(GRADES - 1)
+    grade = np.where(y == 1, 1 + np.searchsorted(cuts, told, "left"), 0)
     w, thetas = fit_ordinal(x, grade)
     return Model(chosen.view(np.uint64), w, thetas)
 
