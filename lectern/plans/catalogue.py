@@ -1,11 +1,13 @@
-"""The registered queries and their DuckDB oracles."""
+"""The registered queries and their DuckDB oracles, gathered from the catalogue's parts."""
 
 from __future__ import annotations
 
+from lectern.plans import banks, documents, sequences, streams
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for part in (banks, sequences, documents, streams) for name, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in (banks, sequences, documents, streams) for name, sql in part.ORACLES.items()}
