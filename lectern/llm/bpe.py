@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that each lazy table holds before it starts anew; bounds memory, never changes a result.
-TABLE_SIZE = 1 << 18
+TABLE_SIZE = 1 << 19
 #: Longer pieces are run through the transducer each time instead of being kept whole.
 KEPT_PIECE = 64
 _NEVER = 1 << 62
@@ -262,7 +262,7 @@ class Decoder:
 
     def decode(self, ids) -> str:
         """Text of a stream of ids; state carries from one id to the next."""
-        if len(self.states) >= TABLE_SIZE >> 4:
+        if len(self.states) >= TABLE_SIZE >> 6:
             self.states.clear()
         state, out = self.state(b""), []
         for i in ids:
