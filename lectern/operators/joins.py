@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Slots of the hashed-window table that is broadcast.
+SIEVE = 1 << 20
+
 
 def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, take: Sequence[str]) -> DataFrame:
     """Each left row with the values of the latest right row at or before it.
@@ -100,15 +103,18 @@ def positional_fallback(questions: DataFrame, starts: DataFrame, group: str, num
 def window_containment(pages: DataFrame, needles: DataFrame, size: int = 30, stride: int = 15) -> DataFrame:
     """(item, first page) where a page holds some window of the item, compared on letters and digits.
 
-    Windows meet pages by hash of equal-length runs; the page's runs are only kept
-    where their hash is a window's, so the shuffle carries matches, not texts.
+    Every run of a page is tried, but only runs whose hash is some window's are
+    shuffled: a table of at most :data:`SIEVE` hashed windows is broadcast.
     """
     norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     n = needles.select("item", norm(F.col("needle")).alias("t")).where(F.length("t") >= size)
     n = n.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - size + 1, F.lit(stride)), lambda i: F.substring(F.col("t"), i, F.lit(size)))).alias("w")).distinct()
+    slot = F.pmod(F.xxhash64("w"), F.lit(SIEVE)).cast("int")
+    sieve = n.select(slot.alias("slot")).distinct()
     p = pages.select("page", norm(F.col("content")).alias("t")).where(F.length("t") >= size)
-    runs = F.transform(F.sequence(F.lit(1), F.length("t") - size + 1), lambda i: F.substring(F.col("t"), i, F.lit(size)))
-    p = p.select("page", F.explode(F.array_distinct(runs)).alias("w"))
+    # all runs at one offset modulo the size come from one pass, so the cost is linear in the page
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda o: F.regexp_extract_all(F.substr(F.col("t"), o), F.lit(f".{{{size}}}"), F.lit(0))))
+    p = p.select("page", F.explode(runs).alias("w")).join(F.broadcast(sieve), slot == F.col("slot"), "left_semi")
     return p.join(n, "w").groupBy("item").agg(F.min("page").alias("page"))
 
 
