@@ -1,3 +1,84 @@
+"""Windows and stateful streams as queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.operators import progress
+from lectern.plans import banks
+from lectern.plans.bindings import attempts, table
 from lectern.plans.registry import registry
+from lectern.streaming import run, state, windows
 
 QUERIES, ORACLES, register = registry()
+_TUMBLING = """SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"""
+
+
+@register(_TUMBLING)
+def tumbling(spark, sf):
+    return windows.windowed(windows.with_event_time(table(spark, sf, "events")), "1 day", None, ["event_type"], "value")
+
+
+@register("""WITH w AS (SELECT time_bucket(INTERVAL '6 hours', ts) - to_hours(6 * k) AS s, event_type, value FROM events, (VALUES (0), (1)) v(k))
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2""")
+def sliding(spark, sf):
+    return windows.windowed(windows.with_event_time(table(spark, sf, "events")), "12 hours", "6 hours", ["event_type"], "value")
+
+
+@register("""WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '8 hours' THEN 0 ELSE 1 END AS b FROM events),
+g AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM f)
+SELECT strftime(date_trunc('second', min(ts)), '%Y-%m-%d %H:%M:%S') AS session_start, user_id, count(*) AS n FROM g GROUP BY user_id, g""")
+def session_windows(spark, sf):
+    return windows.sessions(windows.with_event_time(table(spark, sf, "events")), "8 hours", ["user_id"])
+
+
+@register(_TUMBLING)
+def stream_tumbling(spark, sf):
+    events = windows.with_event_time(run.read_stream(spark, f"{sf}/events.parquet"), delay="60 days")
+    return run.last_updates(windows.windowed(events, "1 day", None, ["event_type"], "value"), ["window_start", "event_type"])
+
+
+@register(banks.ORACLES["attempt_progress"])
+def stream_progress(spark, sf):
+    e = run.read_stream(spark, f"{sf}/events.parquet")
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.when(F.col("event_type").isin("purchase", "click"), "correct").when(F.col("event_type") == "error", "incorrect").when(F.col("event_type") == "view", "completed").otherwise("add")
+    e = e.select((k * 2 + F.col("user_id") % 2).alias("question_id"), kind.alias("kind"), "ts", "event_id")
+    return run.last_updates(progress.progress(e), ["question_id"]).select("question_id", "attempts", "correct_count", "wrong_count", "status", "last_result")
+
+
+@register(banks.ORACLES["srs_state"])
+def stream_srs(spark, sf):
+    e = run.read_stream(spark, f"{sf}/events.parquet")
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.when(F.col("event_type").isin("purchase", "click"), "correct").when(F.col("event_type") == "error", "incorrect").when(F.col("event_type") == "view", "completed").otherwise("add")
+    e = e.select((k * 2 + F.col("user_id") % 2).alias("question_id"), kind.alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
+    s = run.last_updates(state.srs_stream(e), ["question_id"])
+    return s.select("question_id", "srs_level", "times_wrong", F.date_format(F.timestamp_micros("next_us"), "yyyy-MM-dd HH:mm:ss").alias("next_review_at"))
+
+
+@register()
+def rate_limit(spark, sf):
+    e = table(spark, sf, "events")
+    # a day of events in a few minutes, so that limits bite
+    us = F.expr("unix_micros(cast(ts as timestamp)) div 2000")
+    return state.rate_limited(e.select((F.col("user_id") % 20).alias("caller"), us.alias("us"), F.col("event_id").alias("call_id")), 15, 300)
+
+
+@register("""WITH RECURSIVE x AS (SELECT user_id AS key, epoch_us(ts) AS us, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT key, us, event_id, k, us AS stored, false AS hit FROM x WHERE k = 1
+  UNION ALL SELECT x.key, x.us, x.event_id, x.k, CASE WHEN x.us - r.stored < 21600000000 THEN r.stored ELSE x.us END, x.us - r.stored < 21600000000 FROM r JOIN x ON x.key = r.key AND x.k = r.k + 1)
+SELECT key, us, event_id AS request_id, hit FROM r""")
+def ttl_cache(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("request_id"))
+    return state.cached(e)
+
+
+@register("""SELECT event_id, list_filter(list_distinct_in_order, lambda x: NOT list_contains(down, x))[1] AS model FROM (
+ SELECT event_id, CASE WHEN event_type IN ('view', 'click', 'error') THEN [event_type] || list_filter(['view', 'click', 'error'], lambda x: x <> event_type) ELSE ['view', 'click', 'error'] END AS list_distinct_in_order,
+  CASE user_id % 4 WHEN 0 THEN ['view'] WHEN 1 THEN ['click', 'view'] WHEN 2 THEN ['view', 'click', 'error'] ELSE []::VARCHAR[] END AS down FROM events)""")
+def failover_route(spark, sf):
+    u = F.col("user_id") % 4
+    down = F.when(u == 0, F.array(F.lit("view"))).when(u == 1, F.array(F.lit("click"), F.lit("view"))).when(u == 2, F.array(F.lit("view"), F.lit("click"), F.lit("error"))).otherwise(F.array().cast("array<string>"))
+    e = table(spark, sf, "events").select("event_id", F.when(F.col("event_type").isin("view", "click", "error"), F.col("event_type")).alias("wanted"), down.alias("down"))
+    return state.failover(e, [("view", ""), ("click", ""), ("error", "")]).select("event_id", "model")
