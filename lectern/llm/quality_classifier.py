@@ -92,7 +92,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             weight = np.bincount(text, weights=shared.value[h], minlength=batch.num_rows)
             ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             u = ((vector.mix(ids.view(np.uint64) ^ _SEED) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(weight), pa.array(weight - np.log(-np.log(u)))], ["doc_id", "n_grams", "log_weight", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array(weight - np.log(-np.log(u)), pa.float64())], ["doc_id", "n_grams", "log_weight", "key"])
 
     return rows(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double, key double")
 
