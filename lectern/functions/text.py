@@ -150,3 +150,44 @@ def split_images(c: Column) -> Column:
     """Comma-joined paths: trimmed, empties dropped, leading / and figures/ stripped; absolute URLs kept."""
     parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(parts, lambda x: F.when(F.regexp_like(x, F.lit("^https?://")), x).otherwise(F.regexp_replace(x, r"^/?(figures/)?", "")))
+
+
+def line_number(c: Column, strict: bool = True) -> Column:
+    """The number that opens a line: ``7.`` or ``7)`` when strict, else a bare ``7`` as well."""
+    return F.nullif(F.regexp_extract(c, r"^\s*(\d{1,3})[.)](?!\d)" if strict else r"^\s*(\d{1,3})(?:[.)]|\s|$)", 1), F.lit("")).cast("int")
+
+
+def join_option_values(c: Column) -> Column:
+    """``A.`` alone on a line takes the short value of the next line, unless that opens a part or an option."""
+    return F.regexp_replace(c, r"(?m)^([A-D][.)])[ \t]*\n(?!\(|[A-D][.)])([^\nA-Za-z]{1,15})$", "$1 $2")
+
+
+def drop_empty_answers(c: Column) -> Column:
+    """Lines that only say [N/A] or hold a lone marker go."""
+    return drop_lines(c, (r"^\s*\[N/A\]\s*$", r"^\s*[•▪–-]\s*$"))
+
+
+def session_label(c: Column) -> Column:
+    """``May 2019``, ``2019 May``, ``M19`` and ``may_2019`` as ``May 2019``; null otherwise."""
+    name = F.initcap(F.regexp_extract(c, r"(?i)(may|november|specimen)", 1))
+    year = F.regexp_extract(c, r"(20\d{2})", 1)
+    short = F.regexp_extract(c, r"\b(M|N)(\d{2})\b", 1)
+    long = F.when((name != "") & (year != ""), F.concat(name, F.lit(" "), year))
+    return F.coalesce(long, F.when(short != "", F.concat(F.when(short == "M", "May").otherwise("November"), F.lit(" 20"), F.regexp_extract(c, r"\b(M|N)(\d{2})\b", 2))))
+
+
+def tail_tag(c: Column, names: dict[str, str]) -> Column:
+    """What the last dot-separated tag of a code stands for."""
+    tag = F.element_at(F.split(c, r"\."), -1)
+    return F.coalesce(*(F.when(tag == k, F.lit(v)) for k, v in names.items()))
+
+
+def split_at_parts(c: Column) -> Column:
+    """The pieces of a page that each begin with an ``(a)`` line; what stands before the first is the first piece."""
+    return F.filter(F.split(c, r"(?m)(?=^\s*\(a\))"), lambda x: F.trim(x) != "")
+
+
+def break_paragraph(c: Column, least: int = 250) -> Column:
+    """A long single line broken after sentences, not after common abbreviations."""
+    broken = F.regexp_replace(c, r"(?<!\b(?:e\.g|i\.e|Fig|No|vs|cf))\.\s+(?=[A-Z(])", ".\n")
+    return F.when((F.length(c) >= least) & ~F.contains(c, F.lit("\n")), broken).otherwise(c)

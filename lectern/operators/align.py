@@ -152,3 +152,16 @@ def line_blocks(docs: DataFrame, question: str = r"^\d{1,2}[.)]", answer: str =
             yield pd.DataFrame(out, columns=["doc", "block", "part", "content"])
 
     return docs.select("doc", "text").mapInPandas(run, "doc long, block long, part string, content string")
+
+
+def seeded_locate(needle: str, hay: str, start: int = 0, seed: int = 20, least: float = 0.5) -> int | None:
+    """Exact seeds from the needle's head, tail and middle propose places; the most similar one counts if alike enough."""
+    n = len(needle)
+    places = set()
+    for off in {0, max(0, n - seed), max(0, (n - seed) // 2)}:
+        at = hay.find(needle[off : off + seed], start)
+        while at >= 0 and len(places) < 64:
+            places.add(max(start, at - off))
+            at = hay.find(needle[off : off + seed], at + 1)
+    best = max(((ratio(needle, hay[p : p + n]), -p) for p in places), default=(0.0, 0))
+    return -best[1] if best[0] > least else None

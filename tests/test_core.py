@@ -195,3 +195,14 @@ def test_quality_reports(spark):
     df = spark.createDataFrame([(1,), (1,), (2,)], "id int")
     assert rows(quality.integrity([("u", quality.unique(df, "id"))])) == [("u", False, 1)]
     assert one(spark, quality.answered(F.lit("[Answer pending review]"))) is False
+
+
+def test_more_text_functions(spark):
+    assert one(spark, text.line_number(F.lit(" 12) x"))) == 12 and one(spark, text.line_number(F.lit("3.5 m"))) is None and one(spark, text.line_number(F.lit("4 x"), False)) == 4
+    assert one(spark, text.join_option_values(F.lit("A.\n12.5\nB.\n(a)"))) == "A. 12.5\nB.\n(a)"
+    assert one(spark, text.drop_empty_answers(F.lit("x\n[N/A]\n–\ny"))) == "x\ny"
+    assert [one(spark, text.session_label(F.lit(s))) for s in ("2019 May", "paper N21", "may_2018", "x")] == ["May 2019", "November 2021", "May 2018", None]
+    assert one(spark, text.tail_tag(F.lit("19M.1.HSP"), {"H": "History", "HSP": "Specimen"})) == "Specimen"
+    assert one(spark, text.split_at_parts(F.lit("1. x\n(a) y\n(a) z"))) == ["1. x\n", "(a) y\n", "(a) z"]
+    assert one(spark, text.break_paragraph(F.lit("One e.g. This. " + "Two is here. " * 30))).count("\n") >= 29
+    assert align.seeded_locate("the quick brown fox jumps", "zz " * 9 + "the quick brown fax jumps over", seed=8) == 27
