@@ -14,14 +14,15 @@ which is the set Jaccard where no shingle repeats.
    register, a register keeps its earliest. A shingle stops as soon as its next
    arrival is later than all of the text's registers (early termination).
    Registers agree with probability J.
-3. Representatives that agree in a band meet in a bucket. A bucket is never
-   paired within itself: it elects a leader (smallest of a hash that differs by
-   band), members are verified against the leader by exact J and leave with it
-   if they are like it; the others stay for the next round under eight times as
-   many leaders, until the bucket is empty or all its members are in one class. So a
-   bucket of n like texts costs n checks, not n squared, and takes log n rounds
-   at most. Two texts that a leader separates still meet under other leaders in
-   other bands.
+3. Representatives that agree in a band meet in a bucket. A bucket elects leaders
+   (members of its small classes first, by a hash that differs by band), members
+   of other classes are verified against the leaders by exact J, and only the
+   leaders leave; the others stay for the next round under eight times as many
+   leaders, until all members of the bucket are in one class. After each round,
+   texts whose shingles in other classes weigh less than the threshold go: they
+   can be like no text outside their own class. So a bucket of n like texts costs
+   n checks, not n squared, and each pair of a bucket has been verified, ruled
+   out by that bound, or is in one class.
 4. Classes are the components of the verified links, by label propagation with
    pointer jumping over tables in the shared folder. Links never reach the driver.
 
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -184,45 +185,91 @@ def links(texts: DataFrame, signed: DataFrame, group: DataFrame) -> DataFrame:
     sets = durable(sets, "near-sets")
     one = sets.select(F.col("rep").alias("leader"), F.col("text").alias("t1"))
     two = sets.select(F.col("rep").alias("member"), F.col("text").alias("t2"))
-    found = None
+    found = failed = None
     leaders = 1
     while True:
-        pairs = durable(_leader_pairs(active, leaders), "near-pairs")
-        # a pair that several bands hold is verified once
-        once = pairs.select("leader", "member").distinct()
+        # a pair that several bands hold is verified once, and so is a pair that a later round meets again
+        once = _leader_pairs(active, leaders).select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member")).distinct()
+        if failed is not None:
+            once = once.join(failed, ["leader", "member"], "left_anti")
         tested = durable(once.join(two, "member").join(one, "leader").mapInPandas(_linked, "leader long, member long, ok boolean"), "near-tested")
         good = tested.where("ok").select(F.col("leader").alias("a"), F.col("member").alias("b"))
+        bad = tested.where("not ok").select("leader", "member")
         found = durable(good if found is None else found.unionByName(good).distinct(), "near-found")
-        # leaders have met every member of their bucket; members that are like one leave with it
+        spent, failed = failed, durable(bad if failed is None else failed.unionByName(bad), "near-failed")
+        # only leaders leave: they have met every member of their bucket, or are in one class with it
         met = _leaders(active, leaders).select("band", "key", F.col("l.r").alias("rep"))
-        like = pairs.join(tested.where("ok").select("leader", "member"), ["leader", "member"], "left_semi").select("band", "key", F.col("member").alias("rep"))
-        left = active.drop("label").join(met.unionByName(like).distinct(), ["band", "key", "rep"], "left_anti")
+        left = active.drop("label").join(met, ["band", "key", "rep"], "left_anti")
         left = left.join(components(found), left["rep"] == F.col("node"), "left").select("band", "key", "rep", F.coalesce("label", "rep").alias("label"))
-        # a bucket whose members are all in one class by now has nothing left to link
-        open_ = left.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
-        before, active = active, durable(left.join(open_, ["band", "key"], "left_semi"), "near-active")
-        for old in (before, pairs, tested):
+        left = durable(_open(left), "near-left")
+        before, active = active, durable(_open(left.join(_reaching(left, sets), "rep", "left_semi")), "near-active")
+        for old in (before, left, tested, *([] if spent is None else [spent])):
             forget(old)
         if active.isEmpty():
             return found
         leaders *= GROWTH
 
 
+def _open(active: DataFrame) -> DataFrame:
+    """The buckets with members of several classes; one whose members are all in one class has nothing left to link."""
+    several = active.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
+    return active.join(several, ["band", "key"], "left_semi").select("band", "key", "rep", "label")
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for k in range(0, len(pdf), 64):
+            part = pdf.iloc[k : k + 64]
+            shingles, counts, text = weighted(*vector.grams(vector.words(pa.array(part["text"], pa.large_string())), SHINGLE))
+            total = np.bincount(text, counts, len(part)).astype(np.int64)
+            yield pd.DataFrame({"rep": part["rep"].to_numpy()[text], "label": part["label"].to_numpy()[text], "s": shingles.view(np.int64), "n": counts, "total": total[text]})
+
+
+def _reaching(active: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep): the members that may be like a member of another class.
+
+    J is at most the sum of min(P, Q) over the shingles of both, so at most the
+    weight of a text's shingles that also stand in another class. A text below
+    the threshold by that bound has no link left to find, whatever it meets.
+    """
+    texts = sets.join(active.select("rep", "label").distinct(), "rep")
+    grams = durable(texts.select("rep", "label", "text").mapInPandas(_counted, "rep long, label long, s long, n long, total long"), "near-grams")
+    abroad = grams.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("s")
+    held = grams.join(abroad, "s", "left_semi").groupBy("rep").agg(F.sum("n").alias("n"), F.max("total").alias("total"))
+    reaching = durable(held.where(F.col("n") >= F.col("total") * (THRESHOLD * (1 - 1e-8))).select("rep"), "near-reaching")
+    forget(grams)
+    return reaching
+
+
 def _leaders(active: DataFrame, leaders: int) -> DataFrame:
-    """(band, key, l: hash, representative, label): the bucket's first members by a hash that differs by band."""
-    order = F.xxhash64("rep", "band")
-    one = F.struct(order.alias("h"), F.col("rep").alias("r"), F.col("label").alias("c"))
+    """(band, key, l: members of its class, hash, representative, label): the bucket's first members, those of small classes first.
+
+    Pairs between a large class and the rest are all met under the rest's leaders. The hash differs by band.
+    """
+    one = _rank(F.col("rep"), F.col("size"), F.col("label").alias("c"))
+    sized = _sized(active, leaders)
     if leaders == 1:
-        return active.groupBy("band", "key").agg(F.min(one).alias("l"))
-    lead = active.withColumn("_n", F.row_number().over(Window.partitionBy("band", "key").orderBy(order, "rep")))
+        return sized.groupBy("band", "key").agg(F.min(one).alias("l"))
+    lead = sized.withColumn("_n", F.row_number().over(Window.partitionBy("band", "key").orderBy(_rank(F.col("rep"), F.col("size")))))
     return lead.where(F.col("_n") <= leaders).select("band", "key", one.alias("l"))
 
 
+def _sized(active: DataFrame, leaders: int) -> DataFrame:
+    """``active`` with the number of members of a row's class in its bucket, which is one in the first round."""
+    if leaders == 1:
+        return active.withColumn("size", F.lit(1).cast("long"))
+    size = active.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("size"))
+    return active.join(size, ["band", "key", "label"])
+
+
+def _rank(rep: Column, size: Column, *more: Column) -> Column:
+    return F.struct(size.alias("n"), F.xxhash64(rep, "band").alias("h"), rep.alias("r"), *more)
+
+
 def _leader_pairs(active: DataFrame, leaders: int) -> DataFrame:
     """(band, key, leader, member): leaders, each with all members after it that are not in its class yet."""
-    order = F.xxhash64("rep", "band")
-    j = active.join(_leaders(active, leaders), ["band", "key"])
-    after = F.struct(order.alias("h"), F.col("rep").alias("r")) > F.struct(F.col("l.h").alias("h"), F.col("l.r").alias("r"))
+    j = _sized(active, leaders).join(_leaders(active, leaders), ["band", "key"])
+    after = _rank(F.col("rep"), F.col("size")) > F.struct(F.col("l.n").alias("n"), F.col("l.h").alias("h"), F.col("l.r").alias("r"))
     return j.where((F.col("label") != F.col("l.c")) & after).select("band", "key", F.col("l.r").alias("leader"), F.col("rep").alias("member"))
 
 
