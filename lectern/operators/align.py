@@ -14,9 +14,9 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-def best_window(needle: str, hay: str, start: int = 0, window: int = 14_000, step: int = 8, refine: int = 0) -> tuple[int, float]:
-    """Start and ratio of the stretch of ``hay`` most like ``needle``; with ``refine``, finer steps around the best one."""
-    end = min(len(hay), start + window)
+def best_window(needle: str, hay: str, start: int = 0, window: int | None = 14_000, step: int = 8, refine: int = 0) -> tuple[int, float]:
+    """Start and ratio of the stretch of ``hay`` most like ``needle`` (window None: to its end); with ``refine``, finer steps around the best one."""
+    end = len(hay) if window is None else min(len(hay), start + window)
     match = difflib.SequenceMatcher(None, autojunk=False)
     match.set_seq2(needle)
 
@@ -32,7 +32,7 @@ def best_window(needle: str, hay: str, start: int = 0, window: int = 14_000, ste
     return -best[1], best[0]
 
 
-def fuzzy_locate(pairs: DataFrame, least: float = 0.3, window: int = 14_000, step: int = 8, refine: int = 0) -> DataFrame:
+def fuzzy_locate(pairs: DataFrame, least: float = 0.3, window: int | None = 14_000, step: int = 8, refine: int = 0) -> DataFrame:
     """``pairs`` (key, needle, hay) -> (key, found_at, score); found_at is null below ``least``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -160,8 +160,18 @@ def seeded_locate(needle: str, hay: str, start: int = 0, seed: int = 20, least:
     places = set()
     for off in {0, max(0, n - seed), max(0, (n - seed) // 2)}:
         at = hay.find(needle[off : off + seed], start)
-        while at >= 0 and len(places) < 64:
+        while at >= 0:
             places.add(max(start, at - off))
             at = hay.find(needle[off : off + seed], at + 1)
     best = max(((ratio(needle, hay[p : p + n]), -p) for p in places), default=(0.0, 0))
     return -best[1] if best[0] > least else None
+
+
+def seeded_places(pairs: DataFrame, seed: int = 20, least: float = 0.5) -> DataFrame:
+    """``pairs`` (key, needle, hay) -> (key, found_at) by :func:`seeded_locate`."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [seeded_locate(n or "", h or "", 0, seed, least) for n, h in zip(pdf["needle"], pdf["hay"], strict=True)]
+            yield pd.DataFrame({"key": pdf["key"], "found_at": pd.array(got, "Int64")})
+
+    return pairs.select("key", "needle", "hay").mapInPandas(run, "key long, found_at long")

@@ -131,11 +131,21 @@ def path_parse(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})/", 1).alias("lang"), F.regexp_extract("url", r"/(\d+)", 1).alias("number"))
 
 
+def _passages(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("needle"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("hay"))
+    # a few long pairs are dear, so they are dealt to many tasks
+    return b.join(d, "key").repartition(64, "key")
+
+
 @register()
 def fuzzy_locate(spark, sf):
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("key"), F.substring("text", 1, 80).alias("needle"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.substring("text", 1, 3000).alias("hay"))
-    return align.fuzzy_locate(b.join(d, "key"), step=40, refine=5)
+    return align.fuzzy_locate(_passages(spark, sf), window=None, step=8, refine=5)
+
+
+@register()
+def seeded_locate(spark, sf):
+    return align.seeded_places(_passages(spark, sf))
 
 
 @register()
