@@ -7,29 +7,33 @@ similarity is the probability Jaccard of the two weight distributions,
 
 which is the set Jaccard where no shingle repeats.
 
-1. Texts of equal words collapse to one representative (smallest id). A group
-   of copies, however large, is one row from here on.
+1. Texts of equal words collapse to one representative. A group of copies,
+   however large, is one row from here on.
 2. A signature has :data:`BANDS` x :data:`ROWS` registers. Every shingle sends
    arrivals of a Poisson process with rate its weight; each arrival picks a
    register, a register keeps its earliest. A shingle stops as soon as its next
    arrival is later than all of the text's registers (early termination).
    Registers agree with probability J.
-3. Representatives that agree in a band meet in a bucket. A bucket elects leaders
-   (members of its small classes first, by a hash that differs by band), members
-   of other classes are verified against the leaders by exact J, and only the
-   leaders leave; the others stay for the next round under eight times as many
-   leaders, until all members of the bucket are in one class. After each round,
-   texts whose shingles in other classes weigh less than the threshold go: they
-   can be like no text outside their own class. So a bucket of n like texts costs
-   n checks, not n squared, and each pair of a bucket has been verified, ruled
-   out by that bound, or is in one class.
-4. Classes are the components of the verified links, by label propagation with
+3. Representatives that agree in a band meet in a bucket. Each bucket's leader,
+   the member that meets most others, is verified against all its members by
+   exact J, so a bucket of n like texts costs n checks, not n squared.
+4. What the leaders leave in different classes meets in pairs inside the join of
+   each bucket that still holds several classes, under an exact bound. A text
+   carries a sketch of :data:`BITS` bits, each the parity of the number of its
+   distinct shingles in that slot, so two sketches differ in no more bits than
+   the texts have shingles apart. That bounds the number of shared shingles from
+   above, and with it J (:func:`ceiling`). It is a few bit counts a pair; only
+   pairs that pass it, each in the first band it shares, meet as texts. So each
+   pair of a bucket has been verified, ruled out by the bound, or is in one class.
+5. Classes are the components of the verified links, by label propagation with
    pointer jumping over tables in the shared folder. Links never reach the driver.
 
-Defined results: a text of one to four words has one shingle of all its words;
-texts without words (null, empty) are classes of their own; rows that repeat an
-id are copies; null ids join the class of their copies and, alone, have a null
-class; an empty table gives an empty table.
+Rows are told apart by a row number that is written once with the texts, so an
+id may be null, repeated or of any type. Defined results: a text of one to four
+words has one shingle of all its words; texts without words (null, empty) are
+classes of their own; the class id is the smallest id of its rows, null where
+all are null; the row kept of a class is the first of those that bear that id;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -44,13 +48,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.llm import vector
-from lectern.llm.common import durable, forget, rows
+from lectern.llm.common import Scratch, durable, rows
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8 ** 5) ** 24 < 1e-4.
 BANDS, ROWS = 24, 5
-#: Leaders of a bucket are multiplied by this each round.
-GROWTH = 8
+#: Bits of a sketch.
+BITS = 1024
+#: Equal sums in another order of adding may differ by a part in 10 ** 9.
+AT_LEAST = THRESHOLD * (1 - 1e-9)
 _M = BANDS * ROWS
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -87,41 +93,42 @@ def signatures(shingles: np.ndarray, weights: np.ndarray, text: np.ndarray, n: i
     return who.reshape(n, _M)
 
 
+def sketches(shingles: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """(n, BITS / 64) words of the parities of the texts' distinct shingles by hashed slot."""
+    slot = (vector.mix(shingles ^ np.uint64(_GOLD)) % np.uint64(BITS)).astype(np.int64)
+    odd = np.bincount(text * BITS + slot, minlength=n * BITS) & 1
+    return np.packbits(odd.reshape(n, BITS).astype(np.uint8), axis=1).view(np.int64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in _slices(batch):
-            ids, w = part.column(0), vector.words(part.column(1))
+        for k in range(0, batch.num_rows, 512):
+            part = batch.slice(k, 512)
+            n, w = part.num_rows, vector.words(part.column(2))
             grams, bounds = vector.grams(w, SHINGLE)
             shingles, counts, text = weighted(grams, bounds)
-            sig = signatures(shingles, counts, text, part.num_rows)
-            keys = np.zeros((part.num_rows, BANDS), np.uint64)
+            sig = signatures(shingles, counts, text, n)
+            keys = np.zeros((n, BANDS), np.uint64)
             for r in range(ROWS):
                 keys = vector.mix(keys ^ sig[:, r::ROWS][:, :BANDS])
             # the words in order: equal for texts of equal words only
-            size = w.counts.astype(np.uint64)
-            total = size.copy()
+            digest = [w.counts.astype(np.uint64)]
             filled = np.flatnonzero(w.counts)
-            if len(filled):
-                for salt in (1, 2):
-                    place = np.arange(len(w.hashes)) - np.repeat(w.bounds[:-1], w.counts)
+            place = np.arange(len(w.hashes)) - np.repeat(w.bounds[:-1], w.counts)
+            for salt in (1, 2):
+                digest.append(digest[-1].copy())
+                if len(filled):
                     mixed = vector.mix(w.hashes ^ vector.mix(place.astype(np.uint64) + np.uint64(salt << 40)))
-                    total[filled] = vector.mix(total[filled] ^ np.add.reduceat(mixed, w.bounds[:-1][filled]))
-                    if salt == 1:
-                        half = total.copy()
-            else:
-                half = total
+                    digest[-1][filled] = vector.mix(digest[-1][filled] ^ np.add.reduceat(mixed, w.bounds[:-1][filled]))
+            distinct, total = np.bincount(text, minlength=n), np.bincount(text, counts, n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
-                ids, pa.array(w.counts, pa.int64()), pa.array(half.view(np.int64)), pa.array(total.view(np.int64)),
-                pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel().view(np.int64))),
-            ], ["doc_id", "n_words", "key1", "key2", "bands"])
-
+                part.column(0), part.column(1), pa.array(w.counts > 0), *(pa.array(d.view(np.int64)) for d in digest[1:]),
+                pa.array(distinct), pa.array(total - distinct), _lists(sketches(shingles, text, n)), _lists(keys.view(np.int64)),
+            ], ["row", "doc_id", "filled", "key1", "key2", "size", "extra", "sketch", "bands"])
 
-def _slices(batch: pa.RecordBatch, most: int = 512) -> Iterator[pa.RecordBatch]:
-    for k in range(0, batch.num_rows, most):
-        yield batch.slice(k, most)
 
-
-_SIGNED = "doc_id long, n_words long, key1 long, key2 long, bands array<long>"
+def _lists(a: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1], pa.array(a.ravel()))
 
 
 def probability_jaccard(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray) -> float:
@@ -152,153 +159,116 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k in range(0, len(pdf), 256):
             part = pdf.iloc[k : k + 256]
             seen: dict[str, tuple] = {}  # one leader stands in many rows
-            for t in (t for c in ("t1", "t2") for t in part[c]):
+            for t in (t for c in ("ta", "tb") for t in part[c]):
                 seen.setdefault(t, ())
             seen = dict(zip(seen, _sets(list(seen)), strict=True))
-            # one part in 10**9: equal sums in another order of adding
-            ok = [probability_jaccard(*seen[a], *seen[b]) >= THRESHOLD * (1 - 1e-9) for a, b in zip(part["t1"], part["t2"], strict=True)]
-            yield pd.DataFrame({"leader": part["leader"], "member": part["member"], "ok": ok})
-
-
-def prepare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, rep, n_words; reps: rep, bands, shingles, counts). One pass over the texts."""
-    signed = durable(rows(df, id_col, text_col).mapInArrow(_signed, _SIGNED), "near-signed")
-    filled = signed.where("n_words > 0")
-    group = filled.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    group = durable(group, "near-groups")
-    return signed, group
-
-
-def links(texts: DataFrame, signed: DataFrame, group: DataFrame) -> DataFrame:
-    """(a, b): verified links between representatives, enough to span every bucket's like texts.
-
-    ``texts`` (doc_id, text) is read again for the representatives that share a bucket; an id that several texts bear stands for the smallest.
-    """
-    reps = group.where(F.col("rep").isNotNull()).select("key1", "key2", "rep")
-    # one row a representative: a row of its id with its words
-    band = signed.join(reps, ["key1", "key2"]).where(F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"])
-    band = band.select("rep", F.posexplode("bands").alias("band", "key"))
-    shared = band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
-    active = durable(band.join(shared, ["band", "key"]).withColumn("label", F.col("rep")), "near-active")
-    wanted = active.select("rep").distinct()
-    sets = texts.withColumnRenamed("doc_id", "rep").join(wanted, "rep").groupBy("rep").agg(F.min("text").alias("text"))
-    sets = durable(sets, "near-sets")
-    one = sets.select(F.col("rep").alias("leader"), F.col("text").alias("t1"))
-    two = sets.select(F.col("rep").alias("member"), F.col("text").alias("t2"))
-    found = failed = None
-    leaders = 1
-    while True:
-        # a pair that several bands hold is verified once, and so is a pair that a later round meets again
-        once = _leader_pairs(active, leaders).select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member")).distinct()
-        if failed is not None:
-            once = once.join(failed, ["leader", "member"], "left_anti")
-        tested = durable(once.join(two, "member").join(one, "leader").mapInPandas(_linked, "leader long, member long, ok boolean"), "near-tested")
-        good = tested.where("ok").select(F.col("leader").alias("a"), F.col("member").alias("b"))
-        bad = tested.where("not ok").select("leader", "member")
-        found = durable(good if found is None else found.unionByName(good).distinct(), "near-found")
-        spent, failed = failed, durable(bad if failed is None else failed.unionByName(bad), "near-failed")
-        # only leaders leave: they have met every member of their bucket, or are in one class with it
-        met = _leaders(active, leaders).select("band", "key", F.col("l.r").alias("rep"))
-        left = active.drop("label").join(met, ["band", "key", "rep"], "left_anti")
-        left = left.join(components(found), left["rep"] == F.col("node"), "left").select("band", "key", "rep", F.coalesce("label", "rep").alias("label"))
-        left = durable(_open(left), "near-left")
-        before, active = active, durable(_open(left.join(_reaching(left, sets), "rep", "left_semi")), "near-active")
-        for old in (before, left, tested, *([] if spent is None else [spent])):
-            forget(old)
-        if active.isEmpty():
-            return found
-        leaders *= GROWTH
-
-
-def _open(active: DataFrame) -> DataFrame:
-    """The buckets with members of several classes; one whose members are all in one class has nothing left to link."""
-    several = active.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
-    return active.join(several, ["band", "key"], "left_semi").select("band", "key", "rep", "label")
-
-
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for k in range(0, len(pdf), 64):
-            part = pdf.iloc[k : k + 64]
-            shingles, counts, text = weighted(*vector.grams(vector.words(pa.array(part["text"], pa.large_string())), SHINGLE))
-            total = np.bincount(text, counts, len(part)).astype(np.int64)
-            yield pd.DataFrame({"rep": part["rep"].to_numpy()[text], "label": part["label"].to_numpy()[text], "s": shingles.view(np.int64), "n": counts, "total": total[text]})
+            ok = [probability_jaccard(*seen[x], *seen[y]) >= AT_LEAST for x, y in zip(part["ta"], part["tb"], strict=True)]
+            yield part.loc[ok, ["a", "b"]]
 
 
-def _reaching(active: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep): the members that may be like a member of another class.
+def ceiling(a: str, b: str) -> Column:
+    """The most that J of two texts can be, by (size, extra, sketch) of the structs ``a`` and ``b``.
 
-    J is at most the sum of min(P, Q) over the shingles of both, so at most the
-    weight of a text's shingles that also stand in another class. A text below
-    the threshold by that bound has no link left to find, whatever it meets.
+    With D distinct shingles (``size``) and D + e in all (``extra``), at most m = (D1 + D2 - differing bits) / 2
+    are shared, so at most p = (m + e1) / (D1 + e1) of the first text's weight and q of the second's. Each term of
+    J with weights x, y is at most xy / (y + (1 - q) x); that is concave, so J is at most pq / (p + q - pq).
     """
-    texts = sets.join(active.select("rep", "label").distinct(), "rep")
-    grams = durable(texts.select("rep", "label", "text").mapInPandas(_counted, "rep long, label long, s long, n long, total long"), "near-grams")
-    abroad = grams.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("s")
-    held = grams.join(abroad, "s", "left_semi").groupBy("rep").agg(F.sum("n").alias("n"), F.max("total").alias("total"))
-    reaching = durable(held.where(F.col("n") >= F.col("total") * (THRESHOLD * (1 - 1e-8))).select("rep"), "near-reaching")
-    forget(grams)
-    return reaching
+    apart = sum((F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(BITS // 64)), F.lit(0))
+    both = F.least(F.floor((F.col(f"{a}.size") + F.col(f"{b}.size") - apart) / 2), f"{a}.size", f"{b}.size")
+    p, q = (F.least(F.lit(1.0), (both + F.col(f"{t}.extra")) / (F.col(f"{t}.size") + F.col(f"{t}.extra"))) for t in (a, b))
+    return p * q / (p + q - p * q)
 
 
-def _leaders(active: DataFrame, leaders: int) -> DataFrame:
-    """(band, key, l: members of its class, hash, representative, label): the bucket's first members, those of small classes first.
+def links(texts: DataFrame, reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b): verified links that span every bucket's like texts, and (node, label): their components.
 
-    Pairs between a large class and the rest are all met under the rest's leaders. The hash differs by band.
+    ``texts`` has (row, text), ``reps`` a row a representative: rep, size, extra, sketch, bands.
     """
-    one = _rank(F.col("rep"), F.col("size"), F.col("label").alias("c"))
-    sized = _sized(active, leaders)
-    if leaders == 1:
-        return sized.groupBy("band", "key").agg(F.min(one).alias("l"))
-    lead = sized.withColumn("_n", F.row_number().over(Window.partitionBy("band", "key").orderBy(_rank(F.col("rep"), F.col("size")))))
-    return lead.where(F.col("_n") <= leaders).select("band", "key", one.alias("l"))
-
-
-def _sized(active: DataFrame, leaders: int) -> DataFrame:
-    """``active`` with the number of members of a row's class in its bucket, which is one in the first round."""
-    if leaders == 1:
-        return active.withColumn("size", F.lit(1).cast("long"))
-    size = active.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("size"))
-    return active.join(size, ["band", "key", "label"])
-
-
-def _rank(rep: Column, size: Column, *more: Column) -> Column:
-    return F.struct(size.alias("n"), F.xxhash64(rep, "band").alias("h"), rep.alias("r"), *more)
-
-
-def _leader_pairs(active: DataFrame, leaders: int) -> DataFrame:
-    """(band, key, leader, member): leaders, each with all members after it that are not in its class yet."""
-    j = _sized(active, leaders).join(_leaders(active, leaders), ["band", "key"])
-    after = _rank(F.col("rep"), F.col("size")) > F.struct(F.col("l.n").alias("n"), F.col("l.h").alias("h"), F.col("l.r").alias("r"))
-    return j.where((F.col("label") != F.col("l.c")) & after).select("band", "key", F.col("l.r").alias("leader"), F.col("rep").alias("member"))
-
-
-def components(edges: DataFrame) -> DataFrame:
+    band = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    shared = scratch(band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-shared")
+    # how many others a text meets, over all bands: most in the middle of its group
+    crowd = -F.sum("n").over(Window.partitionBy("rep"))
+    met = scratch(band.join(shared.hint("merge"), ["band", "key"]).select("band", "key", "rep", crowd.alias("crowd")), "near-met")
+    lead = met.groupBy("band", "key").agg(F.min(F.struct("crowd", "rep")).alias("l")).select("band", "key", F.col("l.rep").alias("leader"))
+    lead = scratch(lead, "near-leaders")
+    # written first, so that Spark knows its size: while it is small, no text is shuffled
+    wanted = scratch(met.select("rep").distinct(), "near-wanted")
+    sets = scratch(texts.join(wanted, F.col("row") == F.col("rep")).select("rep", "text"), "near-sets")
+    first = met.join(lead.hint("merge"), ["band", "key"]).where("rep <> leader")
+    # a pair that several bands hold is verified once
+    first = first.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+    good = scratch(_verified(first, sets), "near-links")
+    label = components(good, scratch)
+    left = met.join(lead.select("band", "key", F.col("leader").alias("rep")), ["band", "key", "rep"], "left_anti").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    left = scratch(left.select("band", "key", "rep", F.coalesce("label", "rep").alias("label")), "near-left")
+    # a bucket whose members are all in one class has nothing left to link
+    several = scratch(left.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key"), "near-open")
+    still = scratch(left.join(several, ["band", "key"], "left_semi").join(reps, "rep"), "near-still")
+    x, y = still.alias("x"), still.alias("y")
+    apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & (ceiling("x", "y") >= AT_LEAST)
+    shared_before = F.exists(F.sequence(F.lit(0), F.col("x.band")), lambda k: (k < F.col("x.band")) & (F.col("x.bands")[k] == F.col("y.bands")[k]))
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & apart & ~shared_before)
+    more = scratch(_verified(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), sets), "near-links")
+    if more.isEmpty():
+        return good, label
+    every = good.unionByName(more)
+    return every, components(every, scratch)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are alike."""
+    one, two = (sets.select(F.col("rep").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+    return pairs.join(two, "b").join(one, "a").mapInPandas(_linked, "a long, b long")
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label): the smallest node of each component of ``edges`` (a, b)."""
-    sym = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    label = durable(sym.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "near-labels")
+    sym = scratch(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
+    label = scratch(sym.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "near-roots")
     while True:
         # take the smallest label next to each node, then jump to that label's own label
         ext = sym.join(label.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
         near = label.join(ext, "node").select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         jump = label.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = durable(near.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")), "near-labels")
-        done = new.where("old <> label").isEmpty()
-        forget(label)
+        new = scratch(near.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")), "near-roots")
         label = new.select("node", "label")
-        if done:
+        if new.where("old <> label").isEmpty():
             return label
 
 
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per row of ``df``: row, doc_id, class_id, n_copies (rows of equal words), n_links (of its representative) and kept (one row of each class).
+
+    ``row_col`` names a column of distinct longs in a written table; without it the texts are written with one.
+    """
+    with Scratch() as scratch:
+        if row_col is None:
+            texts = scratch(rows(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "near-texts")
+        else:
+            texts = rows(df, id_col, text_col, row=df[row_col])
+        id_type = texts.schema["doc_id"].dataType.simpleString()
+        signed = texts.select("row", "doc_id", "text").mapInArrow(_signed, (
+            f"row long, doc_id {id_type}, filled boolean, key1 long, key2 long, size long, extra long, sketch array<long>, bands array<long>"))
+        signed = scratch(signed, "near-signed")
+        group = signed.where("filled").groupBy("key1", "key2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n_copies"))
+        group = scratch(group, "near-groups")
+        reps = signed.join(group.select(F.col("rep").alias("row")).hint("merge"), "row").select(F.col("row").alias("rep"), "size", "extra", "sketch", "bands")
+        edges, label = links(texts, scratch(reps, "near-reps"), scratch)
+        degree = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+        known = group.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+        known = known.select(*group.columns, F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        known = scratch(known, "near-classes")
+        least = scratch(known.groupBy("label").agg(F.min("low").alias("class_id")), "near-least")
+        known = scratch(known.join(least, "label").select("key1", "key2", "label", "class_id", "n_copies", "n_links"), "near-known")
+        full = scratch(signed.where("filled").select("row", "doc_id", "key1", "key2").join(known.hint("merge"), ["key1", "key2"]).drop("key1", "key2"), "near-full")
+        first = full.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("row").alias("row"))
+        out = full.join(first.select("row", F.lit(True).alias("kept")), "row", "left")
+        out = out.select("row", "doc_id", "class_id", "n_copies", "n_links", F.coalesce("kept", F.lit(False)).alias("kept"))
+        none = signed.where("not filled").select(
+            "row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+        return durable(out.unionByName(none), "near-judged")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: doc_id, class_id (smallest id), n_copies (rows of equal words), n_links of its representative."""
-    signed, group = prepare(df, id_col, text_col)
-    edges = durable(links(rows(df, id_col, text_col), signed, group), "near-links")
-    label = components(edges)
-    degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = group.join(label, group["rep"] == label["node"], "left").drop("node").join(degree, F.col("rep") == degree["node"], "left").drop("node")
-    known = known.select("key1", "key2", "copies", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    filled = signed.where("n_words > 0").select("doc_id", "key1", "key2").join(known, ["key1", "key2"])
-    filled = filled.select("doc_id", "class_id", F.col("copies").cast("long").alias("n_copies"), "n_links")
-    empty = signed.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return filled.unionByName(empty)
+    """:func:`judge` without what differs between equal rows: doc_id, class_id, n_copies and n_links."""
+    return judge(df, id_col, text_col).select("doc_id", "class_id", "n_copies", "n_links")
