@@ -1,20 +1,28 @@
 """Personal data: fixed forms, and terms that give a protected value away.
 
 Fixed forms (email, ip, card, phone) are found by regex. Every value found is a
-protected entity. The corpus then says how strongly a term near an entity
-reveals it: with document counts n(e), n(t), n(e,t) of N,
+protected entity. The corpus then says how strongly a term reveals it: with the
+numbers n(e), n(t), n(e,t) of all N documents that hold the entity, the term and
+both, anywhere in the text,
 
     disclosure(t, e) = PMI(e; t) / IC(e) = log(N n(e,t) / (n(e) n(t))) / log(N / n(e)),
 
 1 where the term occurs only with the entity, 0 where both are independent.
-Terms at or above :data:`REMOVE_AT` are removed, those at or above
-:data:`GENERALISE_AT` generalised. One shared document says nothing, so a pair
-needs :data:`MIN_SUPPORT` documents.
+Every occurrence of a term at or above :data:`REMOVE_AT` is removed in the
+documents that hold the entity, of one at or above :data:`GENERALISE_AT` it is
+generalised. One shared document says nothing, so a pair needs
+:data:`MIN_SUPPORT` documents; an entity that only one document holds discloses
+nothing about its terms, and only its own form is protected.
 
-n(e), n(e,t) and n(t) count over all documents and combine map-side; a third of
-all rows under one entity or term gives one partial row a task. n(t) is needed
-only for terms near entities: other words are dropped before the shuffle by a
-table of :data:`BUCKETS` hashed terms at most, the one thing broadcast.
+Whole documents would make all pairs of their entities and terms; an exact bound
+rules most out before any pair is made. As n(e,t) <= n(e), disclosure g needs
+
+    n(t) <= n(e) ** g * N ** (1 - g),
+
+so a term is paired only with entities that are frequent enough for it. Counts
+combine map-side; what meets by term or entity are written tables, so a third of
+all rows under one key are split among tasks at run time. Nothing is broadcast
+but what Spark has measured.
 
 Defined results: null or empty text has no spans; repeated rows count as
 documents of their own; an empty table gives an empty table. Where all
@@ -26,8 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import durable, let, rows, span_text, spans_where
-from lectern.llm.secret_scan import NO_SPANS
+from lectern.llm.common import SPANS, Scratch, durable, let, rows, span_text, spans_where
 
 KINDS = ("email", "ip", "card", "phone", "remove", "generalise")
 # The forms. Quantifiers are possessive and starts are bound to
@@ -39,12 +46,9 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-#: Code points on either side of an entity whose whole words are its context.
-CONTEXT = 120
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{3,}"
 TERM_GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_SUPPORT, GENERALISE_AT, REMOVE_AT = 2, 0.75, 0.9
-BUCKETS = 1 << 18
 
 
 def digits(match: Column) -> Column:
@@ -70,79 +74,75 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """array<struct<entity,term,start,end>>: the whole words within reach of each span."""
-    def near(s: Column) -> Column:
+def entities(text: Column, spans: Column) -> Column:
+    """The distinct protected values, as kind:value; digits alone count in cards and phones, case nowhere."""
+    def of(s: Column) -> Column:
         value = F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-        norm = F.when(s["kind"].isin("card", "phone"), digits(value)).otherwise(F.lower(value))
-        entity = F.concat(s["kind"], F.lit(":"), norm)
-        low = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        left = F.substring(text, (low + 1).cast("int"), (s["start"] - low).cast("int"))
-        right = F.substring(text, (s["end"] + 1).cast("int"), F.lit(CONTEXT))
-
-        def words(entity: Column) -> Column:
-            before = F.filter(_terms(left, low), lambda t: (t["start"] > low) | (low == 0))
-            after = F.filter(_terms(right, s["end"]), lambda t: (t["end"] < s["end"] + CONTEXT) & (t["start"] > s["end"]))
-            return F.transform(F.concat(before, after), lambda t: F.struct(
-                entity.alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))
-
-        return let(entity, words)
-
-    return F.flatten(F.transform(spans, near))
-
-
-def _terms(fragment: Column, offset: Column) -> Column:
-    def of(f: Column) -> Column:
-        return F.transform(spans_where(f, TERM, "", 0, lambda m, _: F.lit(True)), lambda s: F.struct(
-            F.lower(F.substring(f, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))).alias("term"),
-            (s["start"] + offset).alias("start"), (s["end"] + offset).alias("end")))
-
-    return let(fragment, of)
-
-
-def mentions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """One pass over the texts, kept: row id, doc_id, base spans and contexts."""
-    t = rows(df, id_col, text_col)
-    t = t.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    none = F.array().cast("array<struct<entity:string,term:string,start:bigint,end:bigint>>")
-    near = F.when(F.size("base") > 0, _contexts(F.col("text"), F.col("base"))).otherwise(none)
-    return durable(t.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "base", near.alias("near"), *["text"] * keep_text), "pii")
-
-
-def disclosing(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of every pair at or above the lower threshold."""
-    hit = found.where(F.size("near") > 0)
-    pairs = hit.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-    n_et = pairs.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= MIN_SUPPORT)
-    n_et = durable(n_et, "pii-pairs")
-    entities = hit.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
-    n_e = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
-    wanted = n_et.select("term").distinct()
-    # at most BUCKETS integers, whatever the corpus
-    sieve = wanted.select(bucket("term").alias("b")).distinct()
-    words = rows(df, id_col, text_col).select(F.explode(F.array_distinct(F.split(F.lower("text"), TERM_GAP, -1))).alias("term"))
-    words = words.where(F.length("term") >= 3).join(F.broadcast(sieve), bucket("term") == F.col("b"), "left_semi")
-    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = found.agg(F.count(F.lit(1)).alias("n"))
-    scored = n_et.join(n_e, "entity").join(n_t, "term").crossJoin(F.broadcast(n))
+        return F.concat(s["kind"], F.lit(":"), F.when(s["kind"].isin("card", "phone"), digits(value)).otherwise(F.lower(value)))
+
+    return F.array_distinct(F.transform(spans, of))
+
+
+def terms(text: Column) -> Column:
+    """The distinct words of three letters or more, in lower case."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, TERM_GAP, -1), lambda w: F.length(w) >= 3), F.lower))
+
+
+def mentions(df: DataFrame, scratch: Scratch, every_text: bool = False) -> DataFrame:
+    """One pass over the texts, kept: row id, doc_id, base spans, and of texts with such spans the entities and the text (or of all)."""
+    t = df.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
+    some = F.size("base") > 0
+    text = F.when(some | F.lit(every_text), F.col("text"))
+    kept = t.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "base", F.when(some, entities(F.col("text"), F.col("base"))).alias("entities"), text.alias("text"))
+    return scratch(kept, "pii")
+
+
+def disclosing(df: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rid, term, disclosure): terms of a document that disclose an entity of it, by the strongest disclosure at or above the lower threshold."""
+    n = found.count()
+    holds = scratch(found.where("entities is not null").select("rid", F.explode("entities").alias("entity")), "pii-holds")
+    n_e = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where((F.col("n_e") >= MIN_SUPPORT) & (F.col("n_e") < n))
+    n_e = scratch(n_e, "pii-entities")
+    held = scratch(holds.join(n_e, "entity"), "pii-held")
+    # the most documents a term may be in to disclose an entity of n_e documents; one part in 10 ** 9 for the rounding of logarithms
+    bound = F.pow(F.col("n_e").cast("double"), F.lit(GENERALISE_AT)) * F.pow(F.lit(float(max(n, 1))), F.lit(1 - GENERALISE_AT)) * (1 + 1e-9)
+    reach = held.groupBy("rid").agg(F.max(bound).alias("reach"))
+    said = scratch(found.join(reach, "rid").select("rid", "reach", F.explode(terms(F.col("text"))).alias("term")), "pii-said")
+    words = df.select(F.explode(terms(F.col("text"))).alias("term"))
+    n_t = scratch(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "pii-terms")
+    rare = scratch(said.join(n_t, "term").where("n_t <= reach").select("rid", "term", "n_t"), "pii-rare")
+    pairs = scratch(held.join(rare, "rid").where(F.col("n_t") <= bound).select("rid", "entity", "n_e", "term", "n_t"), "pii-pairs")
     log = lambda c: F.log2(F.col(c).cast("double"))
-    content = log("n") - log("n_e")
-    ratio = F.when(content > 0, (log("n") + log("n_et") - log("n_e") - log("n_t")) / content)
-    return scored.select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= GENERALISE_AT)
+    all_ = F.log2(F.lit(float(max(n, 1))))
+    n_et = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    ratio = (all_ + log("n_et") - log("n_e") - log("n_t")) / (all_ - log("n_e"))
+    scored = n_et.where(F.col("n_et") >= MIN_SUPPORT).select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= GENERALISE_AT)
+    scored = scratch(scored, "pii-scored")
+    return pairs.select("rid", "entity", "term").join(scored, ["entity", "term"]).groupBy("rid", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def _places(text: Column, base: Column, removed: Column, generalised: Column) -> Column:
+    """Spans of all occurrences of the terms outside the protected values."""
+    def of(s: Column) -> Column:
+        word = F.lower(F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+        gone, vague = (F.array_contains(x, word) for x in (removed, generalised))
+        return F.struct(s["start"].alias("start"), F.when(gone, 4).otherwise(5).alias("rank"), F.when(gone, "remove").when(vague, "generalise").alias("kind"), s["end"].alias("end"))
+
+    hit = F.filter(F.transform(spans_where(text, TERM, "", 0, lambda m, _: F.lit(True)), of), lambda s: s["kind"].isNotNull())
+    return F.filter(hit, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """(doc_id, base, spans[, text]): base spans, and all spans with those of disclosing terms."""
-    found = mentions(df, id_col, text_col, keep_text)
-    flagged = disclosing(df, found, id_col, text_col)
-    places = found.where(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-    gone = F.col("disclosure") >= REMOVE_AT
-    one = F.struct(F.col("start"), F.when(gone, 4).otherwise(5).alias("rank"), F.when(gone, "remove").otherwise("generalise").alias("kind"), F.col("end"))
-    added = places.join(flagged, ["entity", "term"]).groupBy("rid").agg(F.collect_set(one).alias("added"))
-    out = found.join(added, "rid", "left")
-    every = F.concat("base", F.coalesce("added", F.array().cast(NO_SPANS)))
-    return out.select("doc_id", "base", every.alias("spans"), *["text"] * keep_text)
+    with Scratch() as scratch:
+        found = mentions(rows(df, id_col, text_col), scratch, keep_text)
+        flagged = disclosing(rows(df, id_col, text_col), found, scratch)
+        gone = F.col("disclosure") >= REMOVE_AT
+        of = flagged.groupBy("rid").agg(F.collect_set(F.when(gone, F.col("term"))).alias("removed"), F.collect_set(F.when(~gone, F.col("term"))).alias("generalised"))
+        out = found.join(scratch(of, "pii-flagged"), "rid", "left")
+        more = F.when(F.col("removed").isNotNull(), _places(F.col("text"), F.col("base"), F.col("removed"), F.col("generalised"))).otherwise(F.array().cast(SPANS))
+        out = out.select("doc_id", "base", F.concat("base", more).alias("spans"), *["text"] * keep_text)
+        return durable(out, "pii-spans")
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

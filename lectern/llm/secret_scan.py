@@ -25,9 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import trigrams
-from lectern.llm.common import ascii_lower, rows, span_text, spans_where
+from lectern.llm.common import SPANS, ascii_lower, folded, let, rows, span_text, spans_where
 
-NO_SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 MARK = "[SECRET]"
 
 
@@ -84,7 +83,7 @@ def verified(text: Column, may: Column, rules=RULES) -> Column:
     for rank, r in enumerate(rules):
         spans = spans_where(text, r.pattern, r.kind, rank, _long_enough(r.min_chars), r.group)
         if trigrams.query(r.pattern) is not True:
-            spans = F.when(F.array_contains(may, r.kind), spans).otherwise(F.array().cast(NO_SPANS))
+            spans = F.when(F.array_contains(may, r.kind), spans).otherwise(F.array().cast(SPANS))
         out.append(spans)
     return F.concat(*out)
 
@@ -124,15 +123,13 @@ def report(df: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "
 def redact(text: Column, spans: Column, mark=None) -> Column:
     """The text with each run of overlapping spans replaced by :data:`MARK`, or by ``mark(kind of its first span)``."""
     def parts(t: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
         def add(s: Column, x: Column) -> Column:
             gap = F.substring(t, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
-            fresh = (x["start"] >= s["at"]) & ((x["start"] > s["at"]) | (F.size(s["out"]) == 0))
+            fresh = (x["start"] >= s["at"]) & ((x["start"] > s["at"]) | (s["at"] == 0))
             out = F.when(fresh, F.concat(s["out"], F.array(gap, mark(x["kind"]) if mark else F.lit(MARK)))).otherwise(s["out"])
             return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
 
         rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(t, (s["at"] + 1).cast("int"), F.length(t)))
-        return F.aggregate(F.array_sort(spans), start, add, rest)
+        return let(folded(F.array_sort(spans), "array<string>", add), rest)
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.transform(F.array(text), parts)[0])
+    return F.when(F.size(spans) == 0, text).otherwise(let(text, parts))
