@@ -12,38 +12,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontamination, minhash, secret_scan, toxicity
-from lectern.llm.common import durable, table
+from lectern.llm.common import durable, swept, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is probably toxic go."""
+    """Documents whose text is probably toxic go.
+
+    A text without a word of the model (null, empty) has the severity of such
+    texts and stays; repeated rows are judged one by one; without labels of both
+    kinds all stay; an empty table gives an empty table; columns other than
+    COLUMNS are not read.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.annotate(docs.select(*COLUMNS), model).where(~F.col("rejected")).select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
-    found = minhash.classes(docs)
-    # rows that repeat the smallest id of a class are copies of each other: one of them stays
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if _repeats(found) else kept
-
+    """Of each class of near-duplicates one document stays: the first row of those with the smallest id.
 
-def _repeats(found: DataFrame) -> bool:
-    return not found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").isEmpty()
+    Rows are told apart by a number written with them, so null and repeated ids
+    neither save a copy nor cost a document that is like no other. Documents
+    without words (null, empty) are like none and stay; an empty table gives an
+    empty table; columns other than COLUMNS are not read.
+    """
+    numbered = durable(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "pipeline-numbered")
+    gone = minhash.judge(numbered, row_col="_row").where(~F.col("kept")).select(F.col("row").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark's passages go."""
+    """Documents that hold a benchmark's passages in a twentieth of their words or more go.
+
+    Null and empty texts hold none and stay; repeated rows are judged one by
+    one; an empty benchmark removes nothing; an empty table gives an empty
+    table; columns other than COLUMNS are not read.
+    """
     found = decontamination.find(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay."""
+    """Secrets are replaced by a mark and n_chars counts anew where one was; all documents stay.
+
+    A null text stays null, an empty one empty; rows that repeat an id or have
+    none are scanned one by one; an empty table gives an empty table; columns
+    other than COLUMNS are not read.
+    """
     found = secret_scan.annotate(docs.select(*COLUMNS))
     text = F.when(F.size("spans") > 0, secret_scan.redact(F.coalesce("text", F.lit("")), F.col("spans"))).otherwise(F.col("text"))
     n_chars = F.when(F.size("spans") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars"))
@@ -51,7 +67,12 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text that is left."""
+    """Token ids of every text that is left, as their number and digest, and the digest of what they decode to.
+
+    A null text counts as empty and has no ids; repeated rows are coded one by
+    one; an empty table gives an empty table; columns other than COLUMNS are not
+    read.
+    """
     coded = bpe.annotate(docs.select(*COLUMNS), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
     return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -70,7 +91,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        # once a stage is written, what it was made from is needed no more
+        with swept() as kept:
+            docs = kept(durable(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}"))
     return docs
 
 
