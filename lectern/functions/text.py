@@ -7,19 +7,29 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Page furniture, matched against whole lines.
+# Page furniture, matched against whole trimmed lines.
 FURNITURE = (
-    r"^\s*-?\s*\d{1,3}\s*-?\s*$", r"(?i)^\s*page \d+( of \d+)?\s*$", r"(?i)^\s*turn over\s*$", r"(?i)^\s*\(?this question continues.*$",
-    r"(?i)^\s*please do not write.*$", r"(?i)^\s*blank page\s*$", r"(?i)^\s*all rights reserved\.?\s*$", r"(?i)^\s*licensed under .*$",
-    r"(?i)^\s*released under .*$", r"(?i)^\s*end of (the )?(paper|section).*$", r"^\s*[.…_]{5,}\s*$", r"(?i)^\s*references:\s*$",
+    r"(?i)^turn over\.?$", r"(?i)^please do not write on this page\.?$",
+    r"(?i)^do ?n[o']?t write solutions on this page\.?( any working on this page will not be marked\.?)?$", r"(?i)^do not write in this area\.?$",
+    r"(?i)^blank page\.?$", r"(?i)^this page is intentionally blank\.?$", r"(?i)^answers written on this page( will( not( be marked\.?)?)?)?$", r"(?i)^not be marked\.?$",
+    r"(?i)^\(\s*(question|option)[^)]*\bcontinued\s*\)$", r"(?i)^©\s*international baccalaureate organization\s*\d{4}\.?$",
+    r"^[A-Z]{1,2}\d{2}/\d/[A-Z0-9]+/[A-Z0-9]+/[A-Z0-9]{2,4}/[A-Z0-9]+/[A-Z0-9]{1,4}$", r"^[–—-]\s*\d{1,3}\s*[–—-]$",
 )
 # Command terms of exam questions.
-COMMAND_TERMS = ("annotate", "calculate", "compare", "construct", "deduce", "define", "derive", "describe", "determine", "discuss", "draw",
-                 "estimate", "evaluate", "explain", "find", "hence", "identify", "justify", "label", "list", "outline", "prove", "show",
-                 "sketch", "solve", "state", "suggest", "verify", "write")
+COMMAND_TERMS = (
+    "calculate", "show", "find", "state", "determine", "explain", "outline", "define", "describe", "suggest", "draw", "sketch", "evaluate", "solve", "deduce", "prove", "identify",
+    "estimate", "distinguish", "discuss", "justify", "derive", "hence", "construct", "write", "complete", "use", "verify", "comment", "compare", "express", "simplify", "factorise",
+    "factorize", "expand", "graph", "annotate", "label", "measure", "predict", "design", "plot", "tabulate", "list", "give", "form", "investigate", "transform", "convert", "apply",
+    "interpret", "sketch",
+)
 MONTHS = {"M": "May", "N": "November", "SP": "Specimen"}
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with value evaluated once a row: the optimizer may copy an expression into a lambda, where it would run once an element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def collapse_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -33,12 +43,18 @@ def alnum_key(c: Column, zero_for_o: bool = False) -> Column:
     return F.translate(k, "o", "0") if zero_for_o else k
 
 
-def drop_lines(c: Column, patterns=FURNITURE) -> Column:
-    """The text without the lines that match a pattern; idempotent."""
-    keep = F.filter(F.split(c, "\n"), lambda x: ~reduce(Column.__or__, [F.regexp_like(x, F.lit(p)) for p in patterns]))
+def drop_lines(c: Column, patterns, trimmed: bool = False) -> Column:
+    """The text without the lines, trimmed if asked, that hold a pattern; idempotent."""
+    line = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "") if trimmed else x
+    keep = F.filter(F.split(c, "\n"), lambda x: ~reduce(Column.__or__, [F.regexp_like(line(x), F.lit(p)) for p in patterns]))
     return F.array_join(keep, "\n")
 
 
+def clean_furniture(c: Column) -> Column:
+    """The text without page furniture; the blank lines left behind are collapsed."""
+    return collapse_newlines(drop_lines(c, FURNITURE, trimmed=True))
+
+
 def half_width(c: Column) -> Column:
     """Full-width ASCII to ASCII, ideographic space to space."""
     wide = "".join(chr(0xFF01 + k) for k in range(94)) + "　"
@@ -55,23 +71,23 @@ def map_glyphs(c: Column, pairs: dict[str, str], single: dict[str, str]) -> Colu
 
 
 def normalise_label(c: Column) -> Column:
-    """Head before the middle dot, its spacing collapsed; in the tail November becomes Nov."""
+    """Before the middle dot P1 to P3 are written out and spacing is collapsed; from it on November becomes Nov."""
     at = F.instr(c, "·")
-    head = collapse_space(F.when(at > 0, F.substr(c, F.lit(1), at - 1)).otherwise(c))
-    tail = F.when(at > 0, F.replace(collapse_space(F.substr(c, at + 1)), F.lit("November"), F.lit("Nov")))
-    return F.when(tail.isNull(), head).otherwise(F.concat(head, F.lit(" · "), tail))
+    head, tail = F.when(at > 0, F.substr(c, F.lit(1), at - 1)).otherwise(c), F.when(at > 0, F.substr(c, at)).otherwise("")
+    head = F.regexp_replace(F.regexp_replace(head, r"\bCS HL P([123])\b", "CS HL Paper $1"), r"\s+", " ")
+    return F.concat(head, F.regexp_replace(tail, r"\bNovember\b", "Nov"))
 
 
 def marks_in(c: Column) -> Column:
     """Sum of bracketed marks such as [3] or [12 marks]."""
-    found = F.regexp_extract_all(c, F.lit(r"\[(\d{1,3})(?: marks?)?\]"), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(r"\[(\d+)(?:\s*marks?)?\]"), F.lit(1))
     return F.aggregate(F.transform(found, lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def command_term(c: Column) -> Column:
-    """The first command term among the words, lower case, or null."""
-    words = F.split(F.lower(c), r"[^a-z]+")
-    return F.get(F.filter(words, lambda w: w.isin(list(COMMAND_TERMS))), F.lit(0))
+    """The first word, if it is a command term, as written; else null."""
+    word = F.regexp_extract(c, "[A-Za-z]+", 0)
+    return F.when(F.lower(word).isin(list(COMMAND_TERMS)), word)
 
 
 def parse_code(c: Column) -> Column:
@@ -100,8 +116,7 @@ def mcq_key(c: Column) -> Column:
     n = F.regexp_extract_all(c, F.lit(r"(\d{1,2})\.\s*([A-D])\b"), F.lit(1))
     x = F.regexp_extract_all(c, F.lit(r"(\d{1,2})\.\s*([A-D])\b"), F.lit(2))
     z = F.transform(F.arrays_zip(n.alias("n"), x.alias("x")), lambda p, i: F.struct(p["n"].cast("int").alias("n"), i.alias("i"), p["x"].alias("x")))
-    s = F.sort_array(z)
-    first = F.filter(s, lambda p, i: (i == 0) | (F.get(s, i - 1)["n"] != p["n"]))
+    first = let(F.sort_array(z), lambda s: F.filter(s, lambda p, i: (i == 0) | (F.get(s, i - 1)["n"] != p["n"])))
     return F.array_join(F.transform(first, lambda p: F.concat_ws(":", p["n"].cast("string"), p["x"])), ",")
 
 
@@ -115,13 +130,13 @@ def source_badge(category: Column, source: Column) -> Column:
 
 
 def drop_adjacent_repeats(tokens: Column) -> Column:
-    return F.filter(tokens, lambda x, i: (i == 0) | (F.get(tokens, i - 1) != x))
+    return let(tokens, lambda t: F.filter(t, lambda x, i: (i == 0) | (F.get(t, i - 1) != x)))
 
 
 def shattered(c: Column) -> Column:
     """At least four tokens of which 45 % are single characters."""
-    t = F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    return (F.size(t) >= 4) & (F.size(F.filter(t, lambda x: F.length(x) == 1)) >= 0.45 * F.size(t))
+    short = lambda t: (F.size(t) >= 4) & (F.size(F.filter(t, lambda x: F.length(x) == 1)) >= 0.45 * F.size(t))
+    return let(F.filter(F.split(c, r"\s+"), lambda x: x != ""), short)
 
 
 def degarble(c: Column) -> Column:

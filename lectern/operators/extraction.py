@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+# Signs of an answer in a region, and the phrase of an empty page.
+ANSWER_SIGNS = r"(?i)\[\d+\s*marks?\]|«|\baward\b|\[N/?A\]"
+SPACER_PHRASE, SPACER_CHARS = "Please do not write", 180
+
+
 def merge_parts(items: DataFrame) -> DataFrame:
     """Sub-questions (id ``...Q<n><letter>``) merged into their parent, where it has two or more.
 
@@ -66,12 +71,14 @@ def nearest_separator(anchor: Column, separators: Column, clear: float = 4.0) ->
     return F.array_min(F.filter(separators, lambda s: s > anchor + clear))
 
 
-def narrowed_part(marks: DataFrame, by: Sequence[str], letter: str, pos: str) -> DataFrame:
-    """Each lettered mark with the first later mark of a higher letter: the extent of a sub-part."""
-    w = Window.partitionBy(*by).orderBy(pos).rowsBetween(1, Window.unboundedFollowing)
-    later = F.collect_list(F.struct(F.col(pos).alias("p"), F.col(letter).alias("l"))).over(w)
-    d = marks.withColumn("_later", later)
-    return d.withColumn("part_end", F.array_min(F.transform(F.filter("_later", lambda x: x["l"] > F.col(letter)), lambda x: x["p"]))).drop("_later")
+def narrowed_part(marks: DataFrame, by: Sequence[str], letter: str, pos: str, letters: Sequence) -> DataFrame:
+    """Each lettered mark with the first later mark of a higher letter: the extent of a sub-part.
+
+    ``letters`` are the letters there are, in order, so the nearest later place of each is one growing minimum.
+    """
+    w = Window.partitionBy(*by).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = [F.when(F.col(letter) < F.lit(x), F.min(F.when(F.col(letter) == F.lit(x), F.col(pos))).over(w)) for x in letters]
+    return marks.withColumn("part_end", F.least(*later))
 
 
 def grounded_prompt(question: Column, answer: Column, explanation: Column, subject: Column, limits: tuple[int, int] = (2500, 1200)) -> Column:
@@ -83,7 +90,7 @@ def grounded_prompt(question: Column, answer: Column, explanation: Column, subje
 
 
 def region_has_answer(c: Column) -> Column:
-    return F.regexp_like(c, F.lit(r"\[\d+ marks?\]|«|\baward\b|\[N/A\]"))
+    return F.regexp_like(c, F.lit(ANSWER_SIGNS))
 
 
 def is_cover(c: Column) -> Column:
@@ -93,4 +100,4 @@ def is_cover(c: Column) -> Column:
 
 
 def is_spacer(c: Column) -> Column:
-    return F.contains(c, F.lit("Please do not write")) & (F.length(c) < 180)
+    return F.contains(c, F.lit(SPACER_PHRASE)) & (F.length(c) < SPACER_CHARS)

@@ -45,8 +45,8 @@ def overlap_best(boxes: DataFrame, bands: DataFrame, by: Sequence[str]) -> DataF
 
 
 def nearest_next(df: DataFrame, by: Sequence[str], at: str, name: str = "next_at") -> DataFrame:
-    """The smallest greater position in the same group; equal positions share it."""
-    w = Window.partitionBy(*by).orderBy(at).rangeBetween(1, Window.unboundedFollowing)
+    """The smallest greater position in the same group; equal positions share it. The frame only grows, so the cost is linear."""
+    w = Window.partitionBy(*by).orderBy(F.col(at).desc()).rangeBetween(Window.unboundedPreceding, -1)
     return df.withColumn(name, F.min(at).over(w))
 
 
@@ -127,31 +127,70 @@ def longest_prefix(df: DataFrame, stem: str, hay: str, least: int = 8) -> DataFr
 
 def interpolate(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
     """Unknown values between two known ones are filled along the line; at the ends the nearest known one holds."""
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*by)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
-    d = df.withColumn("_a", F.last(known, True).over(before)).withColumn("_b", F.first(known, True).over(after))
+    # the next known one is the last one seen from the end: a growing frame instead of a shrinking one
+    before, after = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(order), F.col(order).desc()))
+    d = df.withColumn("_a", F.last(known, True).over(before)).withColumn("_b", F.last(known, True).over(after))
     slope = (F.col("_b.v") - F.col("_a.v")) / (F.col("_b.o") - F.col("_a.o"))
     line = F.when(F.col("_b.o") > F.col("_a.o"), F.col("_a.v") + (F.col(order) - F.col("_a.o")) * slope)
     return d.withColumn("filled", F.coalesce(F.col(value).cast("double"), line, F.col("_a.v").cast("double"), F.col("_b.v").cast("double"))).drop("_a", "_b")
 
 
-def near_duplicates(items: DataFrame, kept: DataFrame, by: str, share: int = 4, lead: int = 10, threshold: float = 0.45) -> DataFrame:
-    """(id, kept_id, jaccard): items whose token multiset overlaps a kept one of the same group.
+def near_duplicates(items: DataFrame, kept: DataFrame, by: str, share: int = 4, lead: int = 10, threshold: float = 0.45) -> tuple[DataFrame, DataFrame]:
+    """Items (id, ``by``, text) whose token multiset overlaps a kept one of the same group.
 
-    Pairs are blocked by at least ``share`` common tokens among the first
-    ``lead``; the overlap is counted from (token, count) rows of blocked pairs only.
+    An item's head is the first ``lead`` of its tokens, each repeated as often as it occurs, in order of first occurrence.
+    Items with ``share`` head tokens anywhere in a kept text and a multiset Jaccard of ``threshold`` are near-duplicates.
+    Returns (members: id, rep, the smallest id of equal token lists; links: a, b, jaccard, from an item's representative
+    to another id's kept one), so copies are never expanded into pairs.
+
+    ``share`` common tokens need one among all but the ``share`` - 1 most frequent of the head: only those are joined, under
+    a bound on the sizes. What passes is met once and counted exactly.
     """
-    def tokens(df: DataFrame, key: str) -> DataFrame:
-        t = F.array_remove(F.split(F.lower("text"), r"[^a-z0-9]+"), "")
-        return df.select(F.col("id").alias(key), by, t.alias(f"t_{key}"))
-
-    a, b = tokens(items, "a"), tokens(kept, "b")
-    head = lambda df, k: df.select(k, by, F.explode(F.array_distinct(F.slice(f"t_{k}", 1, lead))).alias("t"))
-    pairs = head(a, "a").join(head(b, "b"), [by, "t"]).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= share).select("a", "b")
-    count = lambda df, k, n: df.select(k, F.explode(f"t_{k}").alias("t")).groupBy(k, "t").agg(F.count(F.lit(1)).alias(n))
-    both = pairs.join(count(a, "a", "ca"), "a").join(count(b, "b", "cb"), ["b", "t"]).groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("common"))
-    size = lambda df, k: df.select(k, F.size(f"t_{k}").alias(f"s_{k}"))
-    j = both.join(size(a, "a"), "a").join(size(b, "b"), "b")
-    jac = F.col("common").cast("double") / (F.col("s_a") + F.col("s_b") - F.col("common"))
-    return j.select(F.col("a").alias("id"), F.col("b").alias("kept_id"), jac.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    def side(df: DataFrame, name: str) -> DataFrame:
+        t = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9]+"), "")
+        # null is a group of its own
+        return df.select(F.lit(name).alias("side"), "id", F.coalesce(F.col(by).cast("string"), F.lit("\0")).alias("by"), t.alias("t"), F.sha2(F.array_join(t, " "), 256).alias("k"))
+
+    both = side(items, "item").unionByName(side(kept, "kept"))
+    group = ["side", "by", "k"]
+    reps = both.groupBy(*group).agg(F.min("id").alias("rep"), F.first("t").alias("t"))
+    members = both.where("side = 'item'").join(reps.drop("t"), group).select("id", "rep")
+    per = reps.select("side", "by", "rep", F.posexplode("t").alias("i", "x")).groupBy("side", "by", "rep", "x").agg(F.min("i").alias("i"), F.count(F.lit(1)).cast("int").alias("c"))
+    bag = per.groupBy("side", "by", "rep").agg(F.sort_array(F.collect_list(F.struct("i", "x", "c"))).alias("g"), F.sum("c").alias("n"))
+    # the k-th of equal tokens is a token of its own, so a multiset is a set (of strings, which Spark hashes)
+    numbered = F.flatten(F.transform("g", lambda y: F.transform(F.sequence(F.lit(1), y["c"]), lambda k: F.concat_ws(" ", y["x"], k.cast("string")))))
+    head = F.array_distinct(F.slice(F.flatten(F.transform(F.slice("g", 1, lead), lambda y: F.array_repeat(y["x"], y["c"]))), 1, lead))
+    of = lambda name, key: bag.where(F.col("side") == name).select("by", F.col("rep").alias(key), F.col("n").alias(f"n{key}"), "g", numbered.alias(f"bag_{key}"))
+    a, b = of("item", "a").withColumn("head", head), of("kept", "b")
+    posting = b.select("by", "b", "nb", F.explode("g.x").alias("x"))
+    often = posting.groupBy("by", "x").agg(F.count(F.lit(1)).alias("df"))
+    mine = Window.partitionBy("a")
+    probe = a.select("by", "a", "na", F.explode("head").alias("x")).join(often, ["by", "x"])
+    probe = probe.withColumn("rare", F.row_number().over(mine.orderBy("df", "x")) <= F.count(F.lit(1)).over(mine) - (share - 1))
+    fits = (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
+    met = probe.where("rare").join(posting, ["by", "x"]).where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    rest = met.join(probe.where("not rare").select("a", "x"), "a").join(posting.select("b", "x"), ["b", "x"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))
+    near = met.join(rest, ["a", "b"], "left").where(F.col("n") + F.coalesce("m", F.lit(0)) >= share).select("a", "b")
+    # sketches differ in no more bits than the bags have tokens apart, which bounds what they share
+    near = near.join(_sketched(a, "a"), "a").join(_sketched(b, "b"), "b")
+    apart = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(_WORDS)), F.lit(0))
+    most = (F.col("na") + F.col("nb") - apart) / 2
+    near = near.where(most >= threshold * (F.col("na") + F.col("nb") - most)).select("a", "b")
+    told = near.join(a.select("a", "bag_a"), "a").join(b.select("b", "bag_b"), "b")
+    common = F.size(F.array_intersect("bag_a", "bag_b")).cast("double")
+    links = told.select("a", "b", (common / (F.size("bag_a") + F.size("bag_b") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return members, links
+
+
+#: 64-bit words of a bag's sketch.
+_WORDS = 32
+
+
+def _sketched(bags: DataFrame, key: str) -> DataFrame:
+    """(key, n, sketch): each bit the parity of the number of a bag's tokens in that hashed slot."""
+    h = F.xxhash64("t")
+    bit = bags.select(key, f"n{key}", F.explode(f"bag_{key}").alias("t")).select(key, f"n{key}", F.pmod(h, F.lit(_WORDS)).alias("w"), F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(t), 20), 64) as int))").alias("bit"))
+    words = [F.coalesce(F.bit_xor(F.when(F.col("w") == k, F.col("bit"))), F.lit(0).cast("long")) for k in range(_WORDS)]
+    return bit.groupBy(key, f"n{key}").agg(F.array(*words).alias(f"sketch_{key}"))

@@ -93,15 +93,10 @@ def longest_run(df: DataFrame, by: Sequence[str], order: str, value: str, max_st
     return best.select(*by, "r.first_pos", "r.last_pos", "r.n")
 
 
-def page_gate(kinds: Column) -> Column:
-    """Pages in order: 'head' is always taken, 'numbered' only right after a taken page; anything else breaks the chain."""
-    start = F.struct(F.lit(False).alias("on"), F.array().cast("array<boolean>").alias("out"))
-
-    def add(s: Column, k: Column) -> Column:
-        on = (k == "head") | ((k == "numbered") & s["on"])
-        return F.struct(on.alias("on"), F.concat(s["out"], F.array(on)).alias("out"))
-
-    return F.aggregate(kinds, start, add, lambda s: s["out"])
+def page_gate(df: DataFrame, by: Sequence[str], order: str, kind: Column, name: str = "taken") -> DataFrame:
+    """'head' pages are always taken, 'numbered' ones only right after a taken page; anything else breaks the chain."""
+    w = _w(by, order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(name, F.coalesce(F.last(F.when(kind != "numbered", kind), True).over(w) == "head", F.lit(False)))
 
 
 def coverage_gaps(df: DataFrame, by: Sequence[str], low: str, high: str, cell: int = 5, least: int = 25) -> DataFrame:
@@ -119,15 +114,17 @@ def span_pages(df: DataFrame, first: str, last: str) -> DataFrame:
     return p.withColumn("part", part)
 
 
-def upper_median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """The element at n // 2 of the sorted values: no interpolation."""
-    s = F.sort_array(F.collect_list(value))
-    return df.groupBy(*by).agg(F.get(s, F.floor(F.size(s) / 2).cast("int")).alias("median"))
+def upper_median(df: DataFrame, by: Sequence[str], value: str, at: float = 0.5) -> DataFrame:
+    """The element at floor(n * ``at``) of the sorted values: no interpolation. Equal values are one counted row."""
+    c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(_w(by, value).rowsBetween(Window.unboundedPreceding, 0))
+    d = c.withColumn("_u", upto).withColumn("_k", F.floor(F.sum("_c").over(Window.partitionBy(*by)) * at))
+    return d.where((F.col("_u") > F.col("_k")) & (F.col("_u") - F.col("_c") <= F.col("_k"))).select(*by, F.col(value).alias("median"))
 
 
 def density_start(df: DataFrame, by: Sequence[str], page: str, flag: str, share: float = 0.25, least: int = 3, tail: float = 0.2) -> DataFrame:
     """First page of the back matter: flagged pages from it on are at least ``share`` of the rest and ``least`` in number, in the last ``tail``."""
-    rest = _w(by, page).rowsBetween(0, Window.unboundedFollowing)
+    rest = Window.partitionBy(*by).orderBy(F.col(page).desc()).rowsBetween(Window.unboundedPreceding, 0)
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
     d = df.withColumn("_f", F.sum(F.col(flag).cast("int")).over(rest)).withColumn("_r", F.count(F.lit(1)).over(rest)).withColumn("_p", n - F.col("_r")).withColumn("_n", n)
     ok = F.col(flag) & (F.col("_f") >= least) & (F.col("_f") >= share * F.col("_r")) & (F.col("_p") >= (1 - tail) * F.col("_n"))

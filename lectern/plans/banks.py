@@ -147,10 +147,10 @@ def exams_list(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("exam_id"), F.col("o_orderpriority").alias("name")).join(n, "exam_id", "left").fillna(0, ["n_items"])
 
 
-@register("SELECT o_orderkey AS exam_id, l_linenumber::BIGINT AS position, p_name AS item, p_size::BIGINT AS marks FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey < 200")
+@register("SELECT o_orderkey AS exam_id, l_linenumber::BIGINT AS position, p_name AS item, p_size::BIGINT AS marks FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey")
 def exam_detail(spark, sf):
     l, o, p = (table(spark, sf, t) for t in ("lineitem", "orders", "part"))
-    j = o.where("o_orderkey < 200").join(l, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey"))
+    j = o.join(l, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey"))
     return j.select(F.col("o_orderkey").alias("exam_id"), F.col("l_linenumber").cast("long").alias("position"), F.col("p_name").alias("item"), F.col("p_size").cast("long").alias("marks"))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.plans import banks, documents, extracts, sequences, streams
+from lectern.plans import banks, cleaning, documents, extracts, segments, sequences, streams
+
+PARTS = (banks, sequences, documents, cleaning, extracts, segments, streams)
 
 
 def queries() -> dict:
-    return {name: q for part in (banks, sequences, documents, extracts, streams) for name, q in part.QUERIES.items()}
+    return {name: q for part in PARTS for name, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for part in (banks, sequences, documents, extracts, streams) for name, sql in part.ORACLES.items()}
+    return {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

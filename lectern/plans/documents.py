@@ -16,24 +16,16 @@ def _docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-_FURNITURE = " OR ".join("regexp_matches(x, '" + p + "')" for p in text.FURNITURE)
-
-
-@register(f"SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT ({_FURNITURE})), chr(10))) AS cleaned FROM documents")
-def clean_furniture(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.md5(text.drop_lines(F.col("text")).cast("binary")).alias("cleaned"))
-
-
-@register(r"SELECT doc_id, md5(trim(regexp_replace(left(text, 400), '\s+', ' ', 'g'))) AS a, md5(regexp_replace(lower(left(text, 400)), '[^a-z0-9]', '', 'g')) AS b, translate(regexp_replace(lower(left(text, 60)), '[^a-z0-9]', '', 'g'), 'o', '0') AS c FROM documents")
+@register(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS a, md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS b, md5(translate(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 'o', '0')) AS c FROM documents")
 def normal_forms(spark, sf):
-    t = F.substring("text", 1, 400)
-    return _docs(spark, sf).select("doc_id", F.md5(text.collapse_space(t).cast("binary")).alias("a"), F.md5(text.alnum_key(t).cast("binary")).alias("b"), text.alnum_key(F.substring("text", 1, 60), True).alias("c"))
+    t = F.col("text")
+    return _docs(spark, sf).select("doc_id", *(F.md5(x.cast("binary")).alias(n) for n, x in (("a", text.collapse_space(t)), ("b", text.alnum_key(t)), ("c", text.alnum_key(t, True)))))
 
 
-@register(r"""WITH x AS (SELECT doc_id, 'Paper ' || (doc_id % 3) || '  ' || lang || CASE WHEN doc_id % 2 = 0 THEN ' ·  November 20' || (10 + doc_id % 15) ELSE '' END AS s FROM documents)
-SELECT doc_id, CASE WHEN contains(s, '·') THEN trim(regexp_replace(split_part(s, '·', 1), '\s+', ' ', 'g')) || ' · ' || replace(trim(regexp_replace(split_part(s, '·', 2), '\s+', ' ', 'g')), 'November', 'Nov') ELSE trim(regexp_replace(s, '\s+', ' ', 'g')) END AS label FROM x""")
+@register(r"""WITH x AS (SELECT doc_id, 'CS HL P' || (doc_id % 4) || '  ' || lang || CASE WHEN doc_id % 2 = 0 THEN ' ·  November 20' || (10 + doc_id % 15) ELSE '' END AS s FROM documents), y AS (SELECT doc_id, s, CASE WHEN contains(s, '·') THEN string_split(s, '·')[1] ELSE s END AS h FROM x)
+SELECT doc_id, regexp_replace(CASE WHEN doc_id % 4 BETWEEN 1 AND 3 THEN replace(h, 'CS HL P', 'CS HL Paper ') ELSE h END, '\s+', ' ', 'g') || replace(substr(s, length(h) + 1), 'November', 'Nov') AS label FROM y""")
 def label_normalise(spark, sf):
-    s = F.concat(F.lit("Paper "), F.col("doc_id") % 3, F.lit("  "), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" ·  November 20"), 10 + F.col("doc_id") % 15)).otherwise(""))
+    s = F.concat(F.lit("CS HL P"), F.col("doc_id") % 4, F.lit("  "), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" ·  November 20"), 10 + F.col("doc_id") % 15)).otherwise(""))
     return _docs(spark, sf).select("doc_id", text.normalise_label(s).alias("label"))
 
 
@@ -46,15 +38,15 @@ def fullwidth(spark, sf):
     return _docs(spark, sf).select("doc_id", text.half_width(F.concat(F.lit("Ｑ"), F.col("doc_id"), F.lit("　（ａ）＋"))).alias("half"))
 
 
-@register("SELECT doc_id, replace(translate(replace(left(text, 80), 'th', '⁄'), 'éè!', 'ee'), '!', '') AS mapped FROM documents")
+@register("SELECT doc_id, md5(replace(translate(replace(text, 'th', '⁄'), 'éè!', 'ee'), '!', '')) AS mapped FROM documents")
 def pua_map(spark, sf):
-    return _docs(spark, sf).select("doc_id", text.map_glyphs(F.substring("text", 1, 80), {"th": "⁄"}, {"é": "e", "è": "e", "!": ""}).alias("mapped"))
+    return _docs(spark, sf).select("doc_id", F.md5(text.map_glyphs(F.col("text"), {"th": "⁄"}, {"é": "e", "è": "e", "!": ""}).cast("binary")).alias("mapped"))
 
 
-@register(r"""WITH x AS (SELECT doc_id, left(text, 300) || ' [' || (doc_id % 9) || '] and [' || (doc_id % 20) || ' marks] or [x]' AS s FROM documents)
-SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(s, '\[(\d{1,3})(?: marks?)?\]', 1), lambda x: x::BIGINT)), 0)::BIGINT AS marks FROM x""")
+@register(r"""WITH x AS (SELECT doc_id, text || ' [' || (doc_id % 9) || '] and [' || (doc_id % 20) || ' marks] or [x]' AS s FROM documents)
+SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(s, '\[(\d+)(?:\s*marks?)?\]', 1), lambda x: x::BIGINT)), 0)::BIGINT AS marks FROM x""")
 def marks_sum(spark, sf):
-    s = F.concat(F.substring("text", 1, 300), F.lit(" ["), F.col("doc_id") % 9, F.lit("] and ["), F.col("doc_id") % 20, F.lit(" marks] or [x]"))
+    s = F.concat("text", F.lit(" ["), F.col("doc_id") % 9, F.lit("] and ["), F.col("doc_id") % 20, F.lit(" marks] or [x]"))
     return _docs(spark, sf).select("doc_id", text.marks_in(s).alias("marks"))
 
 
@@ -102,26 +94,26 @@ def cache_key(spark, sf):
 _TERMS = "[" + ", ".join(f"'{t}'" for t in text.COMMAND_TERMS) + "]"
 
 
-@register(f"WITH x AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Please Explain why. ' WHEN doc_id % 3 = 1 THEN '(a) State and show ' ELSE '' END || left(text, 50) AS s FROM documents) SELECT doc_id, list_filter(regexp_split_to_array(lower(s), '[^a-z]+'), lambda w: list_contains({_TERMS}, w))[1] AS term FROM x")
+@register(f"WITH x AS (SELECT doc_id, regexp_extract(CASE WHEN doc_id % 3 = 0 THEN '12. Explain why. ' WHEN doc_id % 3 = 1 THEN '(a) State and show ' ELSE '' END || text, '[A-Za-z]+') AS w FROM documents) SELECT doc_id, CASE WHEN list_contains({_TERMS}, lower(w)) THEN w END AS term FROM x")
 def command_term(spark, sf):
     d = F.col("doc_id") % 3
-    s = F.concat(F.when(d == 0, "Please Explain why. ").when(d == 1, "(a) State and show ").otherwise(""), F.substring("text", 1, 50))
+    s = F.concat(F.when(d == 0, "12. Explain why. ").when(d == 1, "(a) State and show ").otherwise(""), "text")
     return _docs(spark, sf).select("doc_id", text.command_term(s).alias("term"))
 
 
-@register(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(left(text, 200), '\s+'), lambda x: x <> '') AS t FROM documents)
-SELECT doc_id, len(t) >= 4 AND len(list_filter(t, lambda x: length(x) = 1)) >= 0.45 * len(t) AS shattered, array_to_string(list_filter(t, lambda x, i: i = 1 OR t[i - 1] <> x), ' ') AS single FROM w""")
+@register(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS t FROM documents)
+SELECT doc_id, len(t) >= 4 AND len(list_filter(t, lambda x: length(x) = 1)) >= 0.45 * len(t) AS shattered, md5(array_to_string(list_filter(t, lambda x, i: i = 1 OR t[i - 1] <> x), ' ')) AS single FROM w""")
 def token_shape(spark, sf):
-    t = F.filter(F.split(F.substring("text", 1, 200), r"\s+"), lambda x: x != "")
-    return _docs(spark, sf).select("doc_id", text.shattered(F.substring("text", 1, 200)).alias("shattered"), t.alias("t")).select("doc_id", "shattered", F.array_join(text.drop_adjacent_repeats(F.col("t")), " ").alias("single"))
+    t = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    return _docs(spark, sf).select("doc_id", text.shattered(F.col("text")).alias("shattered"), t.alias("t")).select("doc_id", "shattered", F.md5(F.array_join(text.drop_adjacent_repeats(F.col("t")), " ").cast("binary")).alias("single"))
 
 
-@register(r"""WITH x AS (SELECT conv_id, turn, left(role || text, 60) AS a, left(text, 60) AS b, list_distinct(string_split(left(role || text, 60), ' ')) AS s, list_distinct(string_split(left(text, 60), ' ')) AS t FROM conversations)
+@register(r"""WITH x AS (SELECT conv_id, turn, role || text AS a, text AS b, list_distinct(string_split(role || text, ' ')) AS s, list_distinct(string_split(text, ' ')) AS t FROM conversations)
 SELECT conv_id, turn, round(len(list_intersect(s, t))::DOUBLE / greatest(least(len(s), len(t)), 1), 9) AS overlap, round(len(list_intersect(s, t))::DOUBLE / greatest(len(list_distinct(list_concat(s, t))), 1), 9) AS jaccard,
  round(len(list_intersect(ga, gb))::DOUBLE / greatest(len(list_distinct(list_concat(ga, gb))), 1), 9) AS trigram FROM (SELECT *, list_distinct(list_transform(range(1, length(a) - 1), lambda i: substr(a, i, 3))) AS ga, list_distinct(list_transform(range(1, length(b) - 1), lambda i: substr(b, i, 3))) AS gb FROM x)""")
 def token_similarity(spark, sf):
     c = table(spark, sf, "conversations")
-    a, b = F.substring(F.concat("role", "text"), 1, 60), F.substring("text", 1, 60)
+    a, b = F.concat("role", "text"), F.col("text")
     s, t = F.split(a, " "), F.split(b, " ")
     return c.select("conv_id", "turn", F.round(similarity.overlap(s, t), 9).alias("overlap"), F.round(similarity.jaccard(s, t), 9).alias("jaccard"), F.round(similarity.jaccard(similarity.trigrams(a), similarity.trigrams(b)), 9).alias("trigram"))
 
@@ -151,11 +143,11 @@ def seeded_locate(spark, sf):
 @register()
 def sequence_ratio(spark, sf):
     c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", F.round(similarity.sequence_ratio(F.substring("text", 1, 80), F.substring(F.reverse("text"), 1, 80)), 6).alias("ratio"))
+    return c.select("conv_id", "turn", F.round(similarity.sequence_ratio(F.col("text"), F.reverse("text")), 6).alias("ratio"))
 
 
 def _sides(spark, sf):
-    c = table(spark, sf, "conversations").withColumn("x", F.struct("turn", F.substring("text", 1, 60).alias("t")))
+    c = table(spark, sf, "conversations").withColumn("x", F.struct("turn", F.col("text").alias("t")))
     side = lambda role: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.col("x")))), lambda x: x["t"])
     return c.groupBy(F.col("conv_id").alias("doc")).agg(side("user").alias("left"), side("assistant").alias("right"))
 

@@ -54,16 +54,16 @@ def page_span_index(spark, sf):
 
 @register(f"""WITH {_I}, m AS (SELECT doc, pos, qty % 4 AS l FROM i) SELECT a.doc, a.pos, a.l, min(b.pos) AS part_end FROM m a LEFT JOIN m b ON a.doc = b.doc AND b.pos > a.pos AND b.l > a.l GROUP BY 1, 2, 3""")
 def part_narrow(spark, sf):
-    return extraction.narrowed_part(_i(spark, sf).select("doc", "pos", (F.col("qty") % 4).alias("l")), ["doc"], "l", "pos")
+    return extraction.narrowed_part(_i(spark, sf).select("doc", "pos", (F.col("qty") % 4).alias("l")), ["doc"], "l", "pos", range(4))
 
 
-@register(f"""WITH {LINES}, x AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN (pos // 3 + 1) || '. ' WHEN pos % 3 = 1 THEN '(a) ' ELSE '' END || left(line, 20) AS t, (pos // 3 + 1)::INT AS number, CASE WHEN pos % 3 > 0 THEN 'a' END AS letter FROM lines WHERE pos < 30)
+@register(f"""WITH {LINES}, x AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN (pos // 3 + 1) || '. ' WHEN pos % 3 = 1 THEN '(a) ' ELSE '' END || line AS t, (pos // 3 + 1)::INT AS number, CASE WHEN pos % 3 > 0 THEN 'a' END AS letter FROM lines)
 SELECT doc_id, number, letter, md5(string_agg(t, chr(10) ORDER BY pos)) AS content FROM x GROUP BY 1, 2, 3""")
 def markscheme_parse(spark, sf):
     k = F.col("pos") % 3
-    t = F.concat(F.when(k == 0, F.concat(F.floor(F.col("pos") / 3) + 1, F.lit(". "))).when(k == 1, "(a) ").otherwise(""), F.substring("line", 1, 20))
+    t = F.concat(F.when(k == 0, F.concat(F.floor(F.col("pos") / 3) + 1, F.lit(". "))).when(k == 1, "(a) ").otherwise(""), "line")
     # a line that opens no row must not look as if it did
-    d = lines(spark, sf).where("pos < 30").select("doc_id", "pos", t.alias("t"))
+    d = lines(spark, sf).select("doc_id", "pos", t.alias("t"))
     return extraction.markscheme_rows(d, ["doc_id"], "pos", "t").select("doc_id", "number", "letter", F.md5(F.col("content").cast("binary")).alias("content"))
 
 

@@ -27,27 +27,27 @@ def prefix_offsets(spark, sf):
     return sequence.prefix_offsets(lines(spark, sf), ["doc_id"], "pos", F.length("line")).select("doc_id", F.col("pos").cast("long").alias("pos"), "start_at")
 
 
-@register("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 12) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS filled FROM conversations""")
+@register("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN md5(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS filled FROM conversations""")
 def forward_fill(spark, sf):
     c = table(spark, sf, "conversations")
     c = c.withColumn("o", F.struct("turn", "role", "text"))
-    return sequence.forward_fill(c, ["conv_id"], "o", F.when(F.col("role") == "user", F.substring("text", 1, 12))).select("conv_id", "turn", "filled")
+    return sequence.forward_fill(c, ["conv_id"], "o", F.when(F.col("role") == "user", F.md5(F.col("text").cast("binary")))).select("conv_id", "turn", "filled")
 
 
-@register("""WITH g AS (SELECT l_suppkey AS page, l_extendedprice AS x, l_orderkey, l_linenumber, CASE WHEN l_extendedprice - lag(l_extendedprice) OVER w > 60 THEN 1 ELSE 0 END AS n FROM lineitem WHERE l_suppkey <= 20 WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice))
+@register("""WITH g AS (SELECT l_suppkey AS page, l_extendedprice AS x, l_orderkey, l_linenumber, CASE WHEN l_extendedprice - lag(l_extendedprice) OVER w > 60 THEN 1 ELSE 0 END AS n FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice))
 , s AS (SELECT page, x, sum(n) OVER (PARTITION BY page ORDER BY x ROWS UNBOUNDED PRECEDING)::BIGINT AS grp FROM (SELECT DISTINCT page, x, max(n) OVER (PARTITION BY page, x) AS n FROM g))
 SELECT page, grp, count(*) AS n, min(x) AS x0, max(x) AS x1 FROM s GROUP BY 1, 2""")
 def gap_group(spark, sf):
-    p = table(spark, sf, "lineitem").where("l_suppkey <= 20").select(F.col("l_suppkey").alias("page"), F.col("l_extendedprice").alias("x")).distinct()
+    p = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_extendedprice").alias("x")).distinct()
     g = sequence.gap_groups(p, ["page"], "x", 60)
     return g.groupBy("page", "grp").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"))
 
 
-@register("""WITH RECURSIVE p AS (SELECT page, x, row_number() OVER (PARTITION BY page ORDER BY x) AS k FROM (SELECT DISTINCT l_suppkey AS page, l_quantity AS x FROM lineitem WHERE l_suppkey <= 20)),
+@register("""WITH RECURSIVE p AS (SELECT page, x, row_number() OVER (PARTITION BY page ORDER BY x) AS k FROM (SELECT DISTINCT l_suppkey AS page, l_quantity AS x FROM lineitem)),
 r AS (SELECT page, x, k, x AS anchor FROM p WHERE k = 1 UNION ALL SELECT p.page, p.x, p.k, CASE WHEN p.x - r.anchor <= 5 THEN r.anchor ELSE p.x END FROM r JOIN p ON p.page = r.page AND p.k = r.k + 1)
 SELECT page, anchor, count(*) AS n FROM r GROUP BY 1, 2""")
 def line_groups(spark, sf):
-    p = table(spark, sf, "lineitem").where("l_suppkey <= 20").groupBy(F.col("l_suppkey").alias("page")).agg(F.collect_set("l_quantity").alias("xs"))
+    p = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("page")).agg(F.collect_set("l_quantity").alias("xs"))
     return p.select("page", F.explode(sequence.anchored_groups(F.col("xs"), 5)).alias("g")).select("page", "g.anchor", "g.n")
 
 
@@ -91,10 +91,7 @@ r AS (SELECT doc, 0::BIGINT AS j, 0::BIGINT AS pos, false AS taken FROM (SELECT
 SELECT doc, pos, taken FROM r WHERE j > 0""")
 def page_gate(spark, sf):
     kind = F.when(F.col("qty") % 5 == 0, "head").when(F.col("qty") % 5 < 4, "numbered").otherwise("other")
-    h = _items(spark, sf).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", kind.alias("k")))).alias("h"))
-    on = sequence.page_gate(F.transform("h", lambda x: x["k"]))
-    z = F.arrays_zip(F.transform("h", lambda x: x["pos"]).alias("pos"), on.alias("taken"))
-    return h.select("doc", F.explode(z).alias("z")).select("doc", "z.pos", "z.taken")
+    return sequence.page_gate(_items(spark, sf), ["doc"], "pos", kind).select("doc", "pos", "taken")
 
 
 @register("""WITH c AS (SELECT DISTINCT l_orderkey AS page, unnest(range(floor(l_partkey % 600 / 5.0)::BIGINT, floor((l_partkey % 600 + l_quantity / 2) / 5)::BIGINT + 1)) AS c FROM lineitem),
@@ -160,9 +157,9 @@ def interval_overlap_best(spark, sf):
     return joins.overlap_best(b, y, ["page"])
 
 
-@register("""WITH i AS (SELECT l_suppkey AS side, floor(l_extendedprice)::BIGINT AS y FROM lineitem WHERE l_suppkey <= 30) SELECT side, y, min(y) OVER (PARTITION BY side ORDER BY y RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_y FROM (SELECT DISTINCT * FROM i)""")
+@register("""WITH i AS (SELECT l_suppkey AS side, floor(l_extendedprice)::BIGINT AS y FROM lineitem) SELECT side, y, min(y) OVER (PARTITION BY side ORDER BY y RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_y FROM (SELECT DISTINCT * FROM i)""")
 def nearest_next(spark, sf):
-    i = table(spark, sf, "lineitem").where("l_suppkey <= 30").select(F.col("l_suppkey").alias("side"), F.floor("l_extendedprice").cast("long").alias("y")).distinct()
+    i = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("side"), F.floor("l_extendedprice").cast("long").alias("y")).distinct()
     return joins.nearest_next(i, ["side"], "y", "next_y")
 
 
@@ -176,11 +173,11 @@ def spatial_band(spark, sf):
 
 
 @register("""WITH u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations WHERE role = 'assistant')
-SELECT u.conv_id, u.k AS ord, left(u.text, 20) AS question, left(b.text, 20) AS answer FROM u JOIN b ON u.conv_id = b.conv_id AND u.k = b.k""")
+SELECT u.conv_id, u.k AS ord, md5(u.text) AS question, md5(b.text) AS answer FROM u JOIN b ON u.conv_id = b.conv_id AND u.k = b.k""")
 def ordinal_zip(spark, sf):
     c = table(spark, sf, "conversations").withColumn("o", F.struct("turn", "text"))
-    u = c.where("role = 'user'").select("conv_id", "o", F.substring("text", 1, 20).alias("question"))
-    b = c.where("role = 'assistant'").select("conv_id", F.col("o").alias("p"), F.substring("text", 1, 20).alias("answer"))
+    u = c.where("role = 'user'").select("conv_id", "o", F.md5(F.col("text").cast("binary")).alias("question"))
+    b = c.where("role = 'assistant'").select("conv_id", F.col("o").alias("p"), F.md5(F.col("text").cast("binary")).alias("answer"))
     return joins.ordinal_zip(u, b, ["conv_id"], "o", "p").select("conv_id", F.col("ord").cast("long").alias("ord"), "question", "answer")
 
 
@@ -234,11 +231,11 @@ def window_containment(spark, sf):
     return joins.window_containment(table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.col("text").alias("content")), table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("needle")))
 
 
-@register("""WITH x AS (SELECT c.conv_id, c.turn, left(d.text, 40) AS stem, c.text AS hay FROM conversations c JOIN documents d ON d.doc_id = c.conv_id)
-SELECT conv_id, turn, max(n)::INT AS prefix_length FROM (SELECT conv_id, turn, stem, hay, unnest(range(2, 41)) AS n FROM x WHERE true) WHERE n <= length(stem) AND contains(hay, left(stem, n)) GROUP BY 1, 2""")
+@register("""WITH x AS (SELECT c.conv_id, c.turn, d.text AS stem, c.text AS hay FROM conversations c JOIN documents d ON d.doc_id = c.conv_id)
+SELECT conv_id, turn, max(n)::INT AS prefix_length FROM (SELECT conv_id, turn, stem, hay, unnest(range(2, least(length(stem), length(hay)) + 1)) AS n FROM x) WHERE contains(hay, left(stem, n)) GROUP BY 1, 2""")
 def longest_prefix(spark, sf):
     c, d = table(spark, sf, "conversations"), table(spark, sf, "documents")
-    x = c.join(d.select("doc_id", F.substring("text", 1, 40).alias("stem")), F.col("conv_id") == F.col("doc_id"))
+    x = c.join(d.select("doc_id", F.col("text").alias("stem")), F.col("conv_id") == F.col("doc_id"))
     return joins.longest_prefix(x, "stem", "text", 2).where("prefix_length is not null").groupBy("conv_id", "turn").agg(F.max("prefix_length").alias("prefix_length"))
 
 
@@ -251,15 +248,18 @@ def interpolated_starts(spark, sf):
 
 
 @register("""WITH t AS (SELECT doc_id AS id, lang, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM documents),
-a AS (SELECT * FROM t WHERE id % 2 = 0), b AS (SELECT * FROM t WHERE id % 2 = 1),
-ha AS (SELECT DISTINCT id, lang, unnest(ts[1:10]) AS x FROM a), hb AS (SELECT DISTINCT id, lang, unnest(ts[1:10]) AS x FROM b),
-p AS (SELECT ha.id, hb.id AS kid FROM ha JOIN hb USING (lang, x) GROUP BY 1, 2 HAVING count(*) >= 4),
-ca AS (SELECT id, x, count(*) AS n FROM (SELECT id, unnest(ts) AS x FROM a) GROUP BY 1, 2), cb AS (SELECT id, x, count(*) AS n FROM (SELECT id, unnest(ts) AS x FROM b) GROUP BY 1, 2),
-s AS (SELECT p.id, p.kid, sum(least(ca.n, cb.n)) AS c FROM p JOIN ca ON ca.id = p.id JOIN cb ON cb.id = p.kid AND cb.x = ca.x GROUP BY 1, 2)
-SELECT s.id, s.kid AS kept_id, round(c::DOUBLE / (len(a.ts) + len(b.ts) - c), 6) AS jaccard FROM s JOIN a ON a.id = s.id JOIN b ON b.id = s.kid WHERE c::DOUBLE / (len(a.ts) + len(b.ts) - c) >= 0.45""")
+r AS (SELECT min(id) AS id, lang, ts FROM t GROUP BY lang, ts), m AS (SELECT t.id, r.id AS rep FROM t JOIN r ON r.lang IS NOT DISTINCT FROM t.lang AND r.ts = t.ts),
+e AS (SELECT id, lang, unnest(ts) AS x, generate_subscripts(ts, 1) AS i FROM r), g AS (SELECT id, lang, x, i, min(i) OVER (PARTITION BY id, x) AS f FROM e),
+h AS (SELECT DISTINCT id, lang, x FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY f, i) AS k FROM g) WHERE k <= 10), c AS (SELECT id, lang, x, count(*) AS n FROM e GROUP BY 1, 2, 3),
+p AS (SELECT h.id AS a, c.id AS b FROM h JOIN c ON c.lang = h.lang AND c.x = h.x AND c.id <> h.id GROUP BY 1, 2 HAVING count(*) >= 4),
+s AS (SELECT a, b, sum(least(ca.n, cb.n)) AS c FROM p JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b AND cb.x = ca.x GROUP BY 1, 2),
+j AS (SELECT a, b, c::DOUBLE / (len(x.ts) + len(y.ts) - c) AS j FROM s JOIN r x ON x.id = a JOIN r y ON y.id = b), l AS (SELECT a, count(*) AS n_links, min(b) AS first_link, round(max(j), 6) AS jaccard FROM j WHERE j >= 0.45 GROUP BY a)
+SELECT m.id, rep, coalesce(n_links, 0) AS n_links, first_link, jaccard FROM m LEFT JOIN l ON l.a = m.rep""")
 def near_dup(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
-    return joins.near_duplicates(d.where("id % 2 = 0"), d.where("id % 2 = 1"), "lang").select("id", "kept_id", F.round("jaccard", 6).alias("jaccard"))
+    members, links = joins.near_duplicates(d, d, "lang")
+    l = links.groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("n_links"), F.min("b").alias("first_link"), F.round(F.max("jaccard"), 6).alias("jaccard"))
+    return members.join(l, "rep", "left").select("id", "rep", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "first_link", "jaccard")
 
 
 @register("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) ORDER BY doc_id) AS k FROM documents) WHERE k = 1""")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from lectern.operators.progress import SRS_DAYS
 
@@ -44,21 +45,21 @@ def ordered(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.repartition(F.col(key)).sortWithinPartitions(key, *order)
 
 
-def rate_limited(calls: DataFrame, per_minute: int = 15, per_day: int = 300) -> DataFrame:
-    """``calls`` (caller, us, call_id) with ``verdict``: ok, minute or day. Rejected calls are not counted.
+def rate_limited(calls: DataFrame, per_minute: int = 15, per_day: int = 300, all_per_day: int | None = None) -> DataFrame:
+    """``calls`` (caller, us, call_id) with ``verdict``: ok, minute, day or global. Rejected calls are not counted.
 
-    The sliding minute is checked before the UTC day. The state is one caller's
-    accepted calls of the last minute, so memory does not grow with a caller's calls.
+    The sliding minute is checked before the UTC day, and both begin anew at midnight. The state is one caller's
+    accepted calls of the last minute, so memory does not grow with a caller's calls. Until all callers together have
+    ``all_per_day`` accepted calls of a day, none depends on another's; after that call, in order, all of the day are
+    rejected. So that call is found once the callers have been judged apart.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         caller, recent, day, used = object(), deque(), None, 0
         for pdf in batches:
             verdicts = []
             for who, us in zip(pdf["caller"], pdf["us"], strict=True):
-                if who != caller:
-                    caller, recent, day, used = who, deque(), None, 0
-                if us // DAY != day:
-                    day, used = us // DAY, 0
+                if who != caller or us // DAY != day:
+                    caller, recent, day, used = who, deque(), us // DAY, 0
                 while recent and recent[0] <= us - 60_000_000:
                     recent.popleft()
                 verdict = "minute" if len(recent) >= per_minute else "day" if used >= per_day else "ok"
@@ -68,7 +69,47 @@ def rate_limited(calls: DataFrame, per_minute: int = 15, per_day: int = 300) ->
                 verdicts.append(verdict)
             yield pdf[["caller", "us", "call_id"]].assign(verdict=verdicts)
 
-    return ordered(calls.select("caller", "us", "call_id"), "caller", "us", "call_id").mapInPandas(run, "caller long, us long, call_id long, verdict string")
+    judged = ordered(calls.select("caller", "us", "call_id"), "caller", "us", "call_id").mapInPandas(run, "caller long, us long, call_id long, verdict string")
+    if all_per_day is None:
+        return judged
+    day = F.floor(F.col("us") / DAY)
+    nth = F.row_number().over(Window.partitionBy("_day").orderBy("us", "call_id"))
+    # at most all_per_day rows of a day and task are ranked
+    last = judged.where("verdict = 'ok'").select(day.alias("_day"), "us", "call_id").withColumn("_n", nth).where(F.col("_n") <= all_per_day).where(F.col("_n") == all_per_day)
+    last = last.select("_day", F.struct("us", "call_id").alias("_last"))
+    late = F.coalesce(F.struct("us", "call_id") > F.col("_last"), F.lit(False))
+    return judged.withColumn("_day", day).join(last, "_day", "left").select("caller", "us", "call_id", F.when(late, "global").otherwise(F.col("verdict")).alias("verdict"))
+
+
+def quota_ledger(calls: DataFrame, per_minute: int, per_day: int, tokens_per_day: int) -> DataFrame:
+    """``calls`` (model, us, call_id, tokens, retry_s) with ``verdict``: the first check that fails, or ok.
+
+    The checks in order: cooldown, server (the day is used up by the server's word), requests, tokens, minute. An accepted call counts its
+    tokens, unless ``retry_s`` is set: then the server refused it, the model cools down for 1 to 3600 seconds, and beyond 300 it is out for
+    the day. A day begins at UTC midnight. The state is one model's.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, day, requests, tokens, until, out, recent = object(), None, 0, 0, 0, False, deque()
+        for pdf in batches:
+            verdicts = []
+            for who, us, n, retry in zip(pdf["model"], pdf["us"], pdf["tokens"], pdf["retry_s"], strict=True):
+                if who != model or us // DAY != day:
+                    model, day, requests, tokens, until, out, recent = who, us // DAY, 0, 0, 0, False, deque()
+                while recent and recent[0] <= us - 60_000_000:
+                    recent.popleft()
+                verdict = ("cooldown" if us < until else "server" if out else "requests" if requests >= per_day else "tokens" if tokens >= tokens_per_day
+                           else "minute" if len(recent) >= per_minute else "ok")
+                if verdict == "ok" and not pd.isna(retry):
+                    wait = int(max(1, min(retry or 20, 3600)))
+                    until, out = us + wait * 1_000_000, out or wait > 300
+                elif verdict == "ok":
+                    requests, tokens, until = requests + 1, tokens + (0 if pd.isna(n) else int(n)), 0
+                    recent.append(us)
+                verdicts.append(verdict)
+            yield pdf[["model", "us", "call_id"]].assign(verdict=verdicts)
+
+    rows = calls.select("model", "us", "call_id", "tokens", "retry_s")
+    return ordered(rows, "model", "us", "call_id").mapInPandas(run, "model long, us long, call_id long, verdict string")
 
 
 def cached(requests: DataFrame, ttl_us: int = 6 * 3_600_000_000) -> DataFrame:
@@ -93,3 +134,10 @@ def failover(requests: DataFrame, pool: list[tuple[str, str]], wanted: str = "wa
     names = F.array(*(F.lit(n) for n, _ in pool))
     order = F.array_distinct(F.filter(F.concat(F.array(F.col(wanted)), names), lambda x: x.isNotNull()))
     return requests.withColumn("model", F.get(F.filter(order, lambda x: ~F.array_contains(F.col(down), x)), F.lit(0)))
+
+
+def intent(requests: DataFrame, matrix: dict[str, dict[str, str]], pool: list[str], hardness: str = "complexity", length: str = "length", usual: tuple[str, str] = ("standard", "medium")) -> DataFrame:
+    """``requests`` with ``wanted``: the matrix's model for how hard and how long; unknown values count as ``usual``, a model outside the pool as its first."""
+    row, cell = (F.when(F.col(c).isin(list(known)), F.col(c)).otherwise(u) for c, known, u in ((hardness, matrix, usual[0]), (length, matrix[usual[0]], usual[1])))
+    pick = F.coalesce(*(F.when((row == r) & (cell == c), F.lit(m if m in pool else pool[0])) for r, cells in matrix.items() for c, m in cells.items()))
+    return requests.withColumn("wanted", pick)

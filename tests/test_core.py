@@ -95,7 +95,8 @@ def test_sequence_folds(spark):
     hits = F.array(*(F.struct(F.lit(p).alias("pos"), F.lit(n).alias("n")) for p, n in ((1, 2), (2, 1), (3, 3), (4, 2), (5, 2), (6, 3))))
     assert [tuple(x) for x in one(spark, sequence.expected_walk(hits))] == [(2, 1), (4, 2), (6, 3)]
     assert one(spark, sequence.bounded_gap_run(F.array(*map(F.lit, (9, 2, 2, 4, 9, 7, 8))))) == [2, 2, 4, 7, 8]
-    assert one(spark, sequence.page_gate(F.array(*map(F.lit, ("numbered", "head", "numbered", "other", "numbered"))))) == [False, True, True, False, False]
+    pages = spark.createDataFrame([(1, k, x) for k, x in enumerate(("numbered", "head", "numbered", "other", "numbered"))], "doc int, pos int, kind string")
+    assert [r["taken"] for r in sequence.page_gate(pages, ["doc"], "pos", F.col("kind")).orderBy("pos").collect()] == [False, True, True, False, False]
     assert [tuple(x) for x in one(spark, sequence.anchored_groups(F.array(*map(F.lit, (1.0, 4.0, 7.0, 12.0))), 5))] == [(1.0, 2), (7.0, 2)]
 
 
@@ -133,8 +134,8 @@ def test_text_functions(spark):
     assert one(spark, text.half_width(F.lit("ＡＢ　１"))) == "AB 1"
     assert one(spark, text.escape_html(F.lit("<&>"))) == "&lt;&amp;&gt;"
     assert one(spark, text.split_images(F.lit(" /figures/a.png, ,http://x/b.png,c.png"))) == ["a.png", "http://x/b.png", "c.png"]
-    once = text.drop_lines(F.lit("a\nPage 3 of 9\n 12 \nb"))
-    assert one(spark, once) == "a\nb" and one(spark, text.drop_lines(once)) == "a\nb"
+    once = text.clean_furniture(F.lit("a\nTurn over\n – 12 – \n\n\n\nb"))
+    assert one(spark, once) == "a\n\nb" and one(spark, text.clean_furniture(once)) == "a\n\nb"
     assert one(spark, text.parse_code(F.lit("19M.2.HL.TZ1.7")))["year"] == 2019
 
 
