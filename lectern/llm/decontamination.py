@@ -11,15 +11,16 @@ all its words if it has fewer. A document is hit where it holds a window.
    are dropped (positional and length bounds).
 3. A candidate is verified over its whole window, rarest tokens first.
 
-The benchmark is the stated query set: it is cut into blocks of about
-:data:`BLOCK_WINDOWS` windows, and one block at a time is broadcast (some
-30 MB). Documents never move: every block's pass runs where the texts are read.
-With more than one block, texts and hits are written to the shared folder
-between passes.
+The benchmark is the stated query set: its windows are written once and read in
+blocks of :data:`BLOCK_WINDOWS` at most, however they spread over items, so one
+long item or many rows of one are split like the rest. A block is some 30 MB,
+broadcast while its pass runs; documents never move. Passes write narrow hits
+(row, start, end, item) alone; with one block, hits stay in their document's row
+and nothing is written.
 
 Defined results: null or empty text has no words and no hits; repeated rows are
 judged one by one; repeated items count once by id; empty tables give no rows
-or no hits.
+or no hits; columns of the input that bear an added name are replaced.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ class Block:
     tokens: np.ndarray  # (windows, WINDOW) word hashes
     sizes: np.ndarray
     order: np.ndarray  # (windows, WINDOW) offsets, rarest first
-    items: list  # item ids of each window
+    items: list  # item ids of each window, as strings
     prefix: np.ndarray  # sorted distinct rarest tokens
     first: np.ndarray  # prefix k has the windows posting[first[k] : first[k + 1]]
     posting: np.ndarray
@@ -67,6 +68,21 @@ def item_windows(ids, texts) -> dict[tuple[int, ...], set]:
     return out
 
 
+def windows_of(benchmark: DataFrame) -> DataFrame:
+    """(tokens: the words' hashes, items as strings) of every distinct window of ``benchmark`` (doc_id, text)."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in vector.slices(batches, 1, rows=64):
+            found = item_windows(part.column(0).cast(pa.string()).to_pylist(), part.column(1))
+            rows_ = [(list(w), i) for w, items in found.items() for i in items]
+            for k in range(0, len(rows_), 4096):
+                tokens, items = zip(*rows_[k : k + 4096], strict=True)
+                tokens = pa.array([np.array(t, np.uint64).view(np.int64) for t in tokens], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([tokens, pa.array(items, pa.string())], ["tokens", "item"])
+
+    cut_up = benchmark.select("doc_id", "text").mapInArrow(cut, "tokens array<long>, item string")
+    return cut_up.groupBy("tokens").agg(F.collect_set("item").alias("items"))
+
+
 def build(windows: dict[tuple[int, ...], set], counts: dict[int, int]) -> Block:
     n = len(windows)
     tokens, sizes = np.zeros((n, WINDOW), np.uint64), np.zeros(n, np.int64)
@@ -75,7 +91,7 @@ def build(windows: dict[tuple[int, ...], set], counts: dict[int, int]) -> Block:
         m = len(win)
         tokens[k, :m], sizes[k] = win, m
         order[k, :m] = sorted(range(m), key=lambda j: (counts.get(win[j], 0), j))
-        items.append(sorted(ids, key=str))
+        items.append(sorted(ids))
     rare = tokens[np.arange(n), order[:, 0]] if n else np.zeros(0, np.uint64)
     by = np.argsort(rare, kind="stable")
     prefix, first = np.unique(rare[by], return_index=True)
@@ -119,7 +135,7 @@ def token_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
         slots = np.zeros(_SLOTS, bool)
         slots[v & np.uint64(_SLOTS - 1)] = True
         total = np.zeros(len(v) + 1, np.int64)
-        for batch in batches:
+        for batch in vector.slices(batches, 0):
             h = vector.words(batch.column(0)).hashes
             h = h[slots[h & np.uint64(_SLOTS - 1)]]
             k = np.searchsorted(v, h)
@@ -132,55 +148,73 @@ def token_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     return {r["token"] & (1 << 64) - 1: r["n"] for r in summed.collect()}
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[dict[tuple[int, ...], set]]:
-    """The benchmark's windows, a bounded block at a time."""
-    size = F.greatest(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")) - WINDOW + 1, F.lit(1))
-    n = max(1, -(-(benchmark.agg(F.sum(size)).first()[0] or 0) // BLOCK_WINDOWS))
-    for k in range(n):
-        part = benchmark.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) == k).collect() if n > 1 else benchmark.collect()
-        yield item_windows([r["doc_id"] for r in part], [r["text"] for r in part])
+def _block(docs: DataFrame, windows: DataFrame) -> Block:
+    found = {tuple(t & (1 << 64) - 1 for t in r["tokens"]): set(r["items"]) for r in windows.collect()}
+    return build(found, token_counts(docs, np.unique(np.array([t for w in found for t in w], np.uint64))))
 
 
 _HITS = "array<struct<start:bigint,end:bigint>>"
+_ADDED = ("n_words", "n_hit", "items", "contaminated")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` (with a column ``text``) and, per row, n_words, n_hit, items (array<string>) and contaminated.
 
-    The columns of ``docs`` are returned as they are.
+    The other columns of ``docs`` are returned as they are.
     """
-    keep = docs.columns
-    out = docs.withColumn("_hits", F.array().cast(_HITS)).withColumn("_items", F.array().cast("array<string>")).withColumn("_n", F.lit(0).cast("long"))
-    bench = rows(benchmark, item_col, item_text)
-    for k, windows in enumerate(_blocks(bench)):
-        out = durable(out, "decontam") if k else out
-        vocabulary = np.unique(np.array([t for w in windows for t in w], np.uint64))
-        block = build(windows, token_counts(docs, vocabulary))
-        out = out.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(block)), out.schema)
-    n_hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return out.select(
-        *keep, F.col("_n").alias("n_words"), n_hit.alias("n_hit"), F.array_sort("_items").alias("items"),
-        ((n_hit > 0) & (SHARE * n_hit >= F.col("_n"))).alias("contaminated"))
-
-
-def _pass(shared):
-    """One block's pass: adds its hits to those that the rows carry."""
+    keep = [c for c in docs.columns if c not in _ADDED]
+    docs = docs.select(*keep)
+    context = docs.sparkSession.sparkContext
+    windows = durable(windows_of(rows(benchmark, item_col, item_text)), "decontam-windows")
+    n = windows.count()
+    if n <= BLOCK_WINDOWS:
+        found = docs.mapInArrow(_pass(context.broadcast(_block(docs, windows)), keep), _hit_schema(docs))
+    else:
+        # rows are numbered with their texts, and each block's pass writes what it hits
+        blocks = -(-n // BLOCK_WINDOWS)
+        windows = windows.withColumn("_b", F.pmod(F.xxhash64("tokens"), F.lit(2 * blocks)))
+        numbered = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-rows")
+        hits = None
+        for b in range(2 * blocks):
+            text = numbered.select("_row", "text")
+            part = text.mapInArrow(_pass(context.broadcast(_block(docs, windows.where(F.col("_b") == b).drop("_b"))), text.columns), _hit_schema(text))
+            part = durable(part.where(F.size("_h") > 0).select("_row", "_h", "items"), "decontam-hits")
+            hits = part if hits is None else hits.unionByName(part)
+        met = hits.groupBy("_row").agg(F.flatten(F.collect_list("_h")).alias("_h"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        counted = numbered.mapInArrow(_pass(context.broadcast(build({}, {})), numbered.columns), _hit_schema(numbered))
+        found = counted.drop("_h", "items").join(durable(met, "decontam-met"), "_row", "left")
+        found = found.withColumn("_h", F.coalesce("_h", F.array().cast(_HITS))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    n_hit = _covered(F.col("_h"))
+    return found.select(*keep, "n_words", n_hit.alias("n_hit"), F.array_sort("items").alias("items"), ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def _hit_schema(docs: DataFrame):
+    return docs.select("*", F.lit(None).cast(_HITS).alias("_h"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words")).schema
+
+
+def _covered(hits):
+    """Words inside any of the spans."""
+    def add(a, x):
+        return F.struct(F.greatest(a["to"], x["end"]).alias("to"), (a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["to"]), F.lit(0))).alias("n"))
+
+    return F.aggregate(F.array_sort(hits), F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n")), add, lambda a: a["n"])
+
+
+def _pass(shared, keep: list[str]):
+    """The batch's columns with the block's merged hits, their items and the number of words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            w = vector.words(batch.column(names.index("text")))
-            b = shared.value
+        b, at = shared.value, keep.index("text")
+        for batch in vector.slices(batches, at):
+            w = vector.words(batch.column(at))
+            hits, found = [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
             text, start, win = matches(b, w)
-            old, items = batch.column(names.index("_hits")), batch.column(names.index("_items"))
-            hits, found = old.to_pylist(), items.to_pylist()
             for i in np.unique(text).tolist():
                 mine = slice(*np.searchsorted(text, [i, i + 1]))  # texts come in order
                 s = start[mine] - w.bounds[i]
-                spans = [(x["start"], x["end"]) for x in hits[i]] + np.stack([s, s + b.sizes[win[mine]]], 1).tolist()
-                hits[i] = [{"start": x, "end": y} for x, y in _merged(spans)]
-                found[i] = sorted({*found[i], *(str(it) for v in np.unique(win[mine]).tolist() for it in b.items[v])})
-            new = {"_hits": pa.array(hits, old.type), "_items": pa.array(found, items.type), "_n": pa.array(w.counts, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(k)) for k, n in enumerate(names)], schema=batch.schema)
+                hits[i] = [{"start": x, "end": y} for x, y in _merged(np.stack([s, s + b.sizes[win[mine]]], 1).tolist())]
+                found[i] = sorted({it for v in np.unique(win[mine]).tolist() for it in b.items[v]})
+            spans = pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, spans, pa.array(found, pa.list_(pa.string())), pa.array(w.counts, pa.int64())], [*keep, "_h", "items", "n_words"])
 
     return run
 

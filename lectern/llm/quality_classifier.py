@@ -64,7 +64,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in vector.slices(batches, 1):
             h, text = buckets(batch.column(1))
             total[0] += np.bincount(h, minlength=BUCKETS)
             ids = batch.column(0)
@@ -86,7 +86,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in vector.slices(batches, 1):
             h, text = buckets(batch.column(1))
             n = np.bincount(text, minlength=batch.num_rows)
             weight = np.bincount(text, weights=shared.value[h], minlength=batch.num_rows)

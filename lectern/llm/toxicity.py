@@ -9,8 +9,8 @@ to toxicity in the labelled sample, sum of log(1 + count); others have grade 0.
 with one weight vector for all thresholds and x = log(1 + count) of the chosen
 words. Output is the expected severity, sum over k >= 1 of P(grade >= k).
 
-The model is fitted on :data:`MAX_LABELS` labelled documents at most (those
-whose hashed id is smallest); words are chosen by the G squared of their counts. It is
+The model is fitted on :data:`MAX_LABELS` rows of labelled documents at most
+(those whose hashed id is smallest, however many rows bear an id); words are chosen by the G squared of their counts. It is
 a few kilobytes, which is all that is broadcast. Scoring is one pass.
 
 Defined results: null or empty text has no words and the severity of a text
@@ -53,7 +53,7 @@ class Model:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in vector.slices(batches, 0):
         w = vector.words(batch.column(0))
         hashes, counts = [], []
         for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True):
@@ -71,7 +71,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # MAX_LABELS rows at most: bounded by the limit
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELS).withColumnRenamed("doc_id", "_id")
     t = rows(docs, id_col, text_col)
-    t = t.join(F.broadcast(few), t["doc_id"] == few["_id"]).select("text", "toxic")
+    t = t.join(F.broadcast(few), t["doc_id"] == few["_id"])
+    # ids that several rows bear may make more of them, so the rows are bounded as well
+    t = t.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(MAX_LABELS).select("text", "toxic")
     return durable(t.mapInArrow(_counted, "toxic int, words array<long>, counts array<long>"), "toxicity-sample")
 
 
@@ -169,8 +171,8 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         m = shared.value
         slots = np.zeros(1 << 16, bool)
         slots[m.words & np.uint64(0xFFFF)] = True
-        for batch in batches:
-            w = vector.words(batch.column(at).cast(pa.string()))
+        for batch in vector.slices(batches, at):
+            w = vector.words(batch.column(at))
             score = np.zeros(batch.num_rows)
             near = np.flatnonzero(slots[w.hashes & np.uint64(0xFFFF)])
             if len(near):

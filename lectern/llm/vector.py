@@ -7,6 +7,7 @@ array operations a word and no Python object is made for one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,6 +59,17 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 21, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``size`` bytes of text and ``rows`` rows at most, one row at least: bounds the arrays made of a part."""
+    for batch in batches:
+        _, off = text_bytes(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            end = min(at + rows, max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def words(column) -> Words:
     raw, off = text_bytes(column)
     folded = np.zeros(len(raw) + 8, np.uint8)
