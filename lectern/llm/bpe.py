@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import vector
+
 #: Entries that each lazy table holds before it starts anew; bounds memory, never changes a result.
 TABLE_SIZE = 1 << 19
 #: Longer pieces are run through the transducer each time instead of being kept whole.
@@ -275,8 +277,10 @@ _loaded: dict[tuple, tuple[Encoder, Decoder]] = {}
 
 
 def coder(path: str, pattern: str) -> tuple[Encoder, Decoder]:
-    """Made once a Python worker."""
+    """Made once a Python worker, which drops it when it turns to another operator."""
     if (path, pattern) not in _loaded:
+        if not _loaded:
+            vector.kept.append(_loaded.clear)
         with open(path, "rb") as f:
             ranks = read_ranks(f.read())
         _loaded[path, pattern] = Encoder(ranks, pattern), Decoder(ranks)

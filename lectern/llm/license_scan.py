@@ -1,20 +1,21 @@
 """License scans by a positional rare-token index.
 
-A template is a run of words with a label and a key phrase that every hit must
-hold. The index is its postings: word -> (template, offset). A scan
+A template is a licence text with a label and a key phrase that every hit must
+hold. The index is the key phrases' postings: word -> (template, offset). A scan
 
 1. counts in how many documents each key-phrase word stands (one pass, one
-   count a word),
-2. looks up, in each file, the licence words of highest IDF: for every template
-   the rarest word of its key phrase,
-3. turns every hit into a start (position - offset) and intersects the postings
-   of the template's other words by their relative position,
-4. keeps starts whose key phrase stands there in full and where at least
-   :data:`MIN_SUPPORT` of the template's words agree.
-
-As a hit must hold the whole key phrase, looking up one of its words loses
-nothing; IDF decides only which word is looked up, never the result. Scan and
-match run inside the task that reads the file: no shuffle of text.
+   count a word), which orders the words by IDF,
+2. looks up, in each file, the key-phrase words it holds, rarest first; a template
+   of which one is missing is out,
+3. turns the places of the rarest word into starts (position - offset) and
+   intersects them with the starts that each further word's places give, in
+   order of falling IDF, until none are left or all words agree,
+4. verifies that the key phrase stands at each start in full and that at least
+   :data:`MIN_SUPPORT` of the template's words agree around it.
+
+IDF decides only in which order postings meet, never the result. Look-up and
+match run inside the task that reads the file: no shuffle of text. ``templates``
+may be any texts; :func:`templates_of` takes them from a table.
 
 Defined results: null or empty text has no words and no labels; repeated rows
 are scanned one by one; an empty table gives an empty table.
@@ -22,13 +23,14 @@ are scanned one by one; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import math
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ascii_lower, let, rows, split_words
+from lectern.llm.common import LOWER, UPPER, WORD_GAP, ascii_lower, let, rows, split_words
 
 MIN_SUPPORT = 0.6
 
@@ -49,75 +51,86 @@ class Template:
     def key_span(self) -> tuple[int, int]:
         return self.key or (0, len(self.words))
 
+    @property
+    def key_words(self) -> list[str]:
+        return self.words[self.key_span[0] : sum(self.key_span)]
+
 
-# Phrases of public licences.
+# Phrases and texts of public licences, in words.
 TEMPLATES = (
     Template("cc-by", "cc by", base=True),
     Template("gpl", "general public license", base=True),
     Template("reserved", "all rights reserved", base=True),
     Template("mit", "the mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", (0, 6)),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+             "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons "
+             "to whom the software is furnished to do so subject to the following conditions", (0, 6)),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+             "permission notice appear in all copies", (0, 6)),
     Template("apache-2.0", "licensed under the apache license version 2 0", (3, 2)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", (0, 7)),
+    Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", (3, 8)),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code "
+             "must retain the above copyright notice this list of conditions and the following disclaimer", (0, 7)),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+             "written permission", (16, 8)),
     Template("gpl-3", "gnu general public license version 3", (1, 5)),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", (0, 7)),
+    Template("lgpl", "lesser general public license", (0, 4)),
+    Template("mpl-2.0", "mozilla public license version 2 0", (0, 3)),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", (0, 7)),
     Template("cc-by-nc", "cc by nc", (0, 3)),
     Template("cc-by-sa", "cc by sa", (0, 3)),
     Template("cc", "creative commons attribution", (0, 2)),
-    Template("mpl-2.0", "mozilla public license version 2 0", (0, 3)),
-    Template("lgpl", "lesser general public license", (0, 4)),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", (0, 6)),
     Template("public-domain", "dedicated to the public domain", (3, 2)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", (0, 7)),
 )
+_PLACES = "array<int>"
 
 
-def document_frequency(df: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> dict[str, int]:
-    """Documents in whose lower-cased text each key-phrase word stands, be it inside a longer word.
+def templates_of(table: DataFrame) -> tuple[Template, ...]:
+    """Templates from a table (label, text, key_first, key_words), one a row; it is the stated query set and read whole."""
+    def words(t: str) -> str:
+        return " ".join(w for w in re.split(WORD_GAP, t.translate(str.maketrans(UPPER, LOWER))) if w)
 
-    One aggregate over all rows: a row with a count per word reaches the driver.
-    """
-    vocabulary = sorted({w for t in templates for w in t.words[t.key_span[0] : sum(t.key_span)]})
-    lower = rows(df, id_col, text_col).select(F.lower("text").alias("_low"))
-    counts = lower.agg(*(F.count_if(F.contains("_low", F.lit(w))).alias(w) for w in vocabulary)).first()
-    return counts.asDict()
+    found = (Template(r["label"], words(r["text"]), None if r["key_first"] is None else (r["key_first"], r["key_words"])) for r in table.collect())
+    return tuple(t for t in found if t.words)
 
 
-def lookups(templates, df: dict[str, int], n_docs: int) -> list[tuple[int, str]]:
-    """For each template, the offset and the word of highest IDF within its key phrase."""
-    idf = lambda w: math.log((1 + n_docs) / (1 + df.get(w, 0)))
-    out = []
-    for t in templates:
-        first, n = t.key_span
-        out.append(min(((-idf(w), i, w) for i, w in enumerate(t.words[first : first + n], first)), key=lambda x: x)[1:])
-    return out
+def document_frequency(df: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> dict[str, int]:
+    """Documents that hold each key-phrase word. A row with a count per word reaches the driver."""
+    vocabulary = sorted({w for t in templates for w in t.key_words})
+    held = F.array_distinct(F.filter(F.transform(split_words(F.col("text")), ascii_lower), lambda w: w.isin(vocabulary)))
+    return {r["w"]: r["n"] for r in rows(df, id_col, text_col).select(F.explode(held).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def scan(df: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_words, and hits as array<struct<label,start,n,support,base>>."""
     counts = document_frequency(df, templates, id_col, text_col)
-    chosen = lookups(templates, counts, max(counts.values(), default=0))
-    rare = sorted({w for _, w in chosen})
+    rare = lambda w: (counts.get(w, 0), w)
+    vocabulary = sorted({w for t in templates for w in t.key_words}, key=rare)
     t = rows(df, id_col, text_col).select("doc_id", split_words(F.col("text")).alias("_words"), F.lower("text").alias("_low"))
-    # most files hold none of the looked-up words: a substring test spares them the walk over their words
+    # most files lack some word of every key phrase: substring tests, rarest words first, spare them the walk over their words
     may = F.lit(False)
-    for w in rare:
-        may = may | F.contains("_low", F.lit(w))
+    for key in sorted({tuple(sorted(set(t.key_words), key=rare)) for t in templates}):
+        may = may | reduce(Column.__and__, [F.contains("_low", F.lit(w)) for w in key])
     t = t.select("doc_id", "_words", may.alias("_may"))
     hit_type = "array<struct<label:string,start:bigint,n:bigint,support:double,base:boolean>>"
 
     index = F.array(*(F.struct(
-        F.lit(t.label).alias("label"), F.array(*map(F.lit, t.words)).alias("words"), F.lit(t.key_span[0]).alias("first"),
-        F.array(*map(F.lit, t.words[t.key_span[0] : sum(t.key_span)])).alias("key"), F.lit(t.base).alias("base"),
-        F.lit(offset).alias("offset"), F.lit(word).alias("word"),
-    ) for t, (offset, word) in zip(templates, chosen, strict=True)))
-
-    def template_hits(ws: Column, posts: Column) -> Column:
-        return F.flatten(F.transform(index, lambda t: hits_of(t, ws, posts))).cast(hit_type)
+        F.lit(t.label).alias("label"), F.array(*map(F.lit, t.words)).alias("words"), F.lit(t.key_span[0]).alias("first"), F.lit(t.base).alias("base"),
+        F.array(*map(F.lit, t.key_words)).alias("key"),
+        F.array(*(F.struct(F.lit(w).alias("w"), F.lit(i).alias("at")) for i, w in sorted(enumerate(t.key_words), key=lambda x: (rare(x[1]), x[0])))).alias("posting"),
+    ) for t in templates))
 
-    def hits_of(t: Column, ws: Column, posts: Column) -> Column:
-        starts = F.transform(F.filter(posts, lambda p: p["w"] == t["word"]), lambda p: p["at"] - t["offset"] + t["first"])
-        # the key phrase must lie inside the text; template words around it may stick out
-        full = F.filter(starts, lambda k: F.when(k >= 0, F.slice(ws, k + 1, F.size(t["key"])) == t["key"]).otherwise(False))
+    def hits_of(t: Column, ws: Column, places: Column) -> Column:
+        starts_by = lambda p: F.transform(F.coalesce(F.element_at(places, p["w"]), F.array().cast(_PLACES)), lambda at: at - p["at"])
+        rest = F.slice(t["posting"], F.lit(2), F.size(t["posting"]))
+        agreed = F.aggregate(rest, starts_by(F.get(t["posting"], F.lit(0))), lambda s, p: F.when(F.size(s) > 0, F.array_intersect(s, starts_by(p))).otherwise(s))
+        full = F.filter(agreed, lambda k: F.when(k >= 0, F.slice(ws, k + 1, F.size(t["key"])) == t["key"]).otherwise(False))
 
         def hit(k: Column) -> Column:
+            # template words around the key phrase may stick out of the text
             agree = F.filter(t["words"], lambda w, i: F.get(ws, k - t["first"] + i) == w)
             n = F.size(t["words"])
             return F.struct(t["label"].alias("label"), k.cast("long").alias("start"), n.cast("long").alias("n"),
@@ -126,9 +139,19 @@ def scan(df: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: s
         return F.filter(F.transform(full, hit), lambda h: h["support"] >= MIN_SUPPORT)
 
     def hits(ws: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: ws[i].isin(rare))
-        posts = F.transform(places, lambda i: F.struct(ws[i].alias("w"), i.alias("at")))
-        return let(posts, lambda p: F.when(F.size(p) > 0, template_hits(ws, p)).otherwise(F.array().cast(hit_type)))
+        posts = F.filter(F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda p: p["w"].isin(vocabulary))
+
+        def matched(ps: Column) -> Column:
+            held = F.array_distinct(F.transform(ps, lambda p: p["w"]))
+            places = F.map_from_entries(F.transform(held, lambda w: F.struct(w, F.transform(F.filter(ps, lambda p: p["w"] == w), lambda p: p["at"]))))
+
+            def found(at: Column) -> Column:
+                possible = F.filter(index, lambda t: F.size(F.array_except(t["key"], F.map_keys(at))) == 0)
+                return F.flatten(F.transform(possible, lambda t: hits_of(t, ws, at))).cast(hit_type)
+
+            return F.when(F.size(ps) > 0, let(places, found)).otherwise(F.array().cast(hit_type))
+
+        return let(posts, matched)
 
     found = F.when(F.col("_may") & (F.size("_words") > 0), let(F.transform("_words", ascii_lower), hits)).otherwise(F.array().cast(hit_type))
     return t.select("doc_id", F.size("_words").cast("long").alias("n_words"), found.alias("hits"))

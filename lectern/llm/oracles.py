@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontamination, license_scan, quality_rules, secret_scan, warc
+from lectern.llm import decontamination, license_scan, pii, quality_rules, secret_scan, warc
 
 WORDS = r"""
 words AS (
@@ -93,6 +93,40 @@ FROM b
 """
 
 
+def pii_sql() -> str:
+    email, ip = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr({digits}, length({digits}) - i + 1, 1)::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr({digits}, length({digits}) - i + 1, 1)::INT + 1] END)) % 10 = 0"
+    forms = (("email", email, "true"), ("ip", ip, "list_bool_and(list_transform(string_split(m, '.'), lambda x: coalesce(try_cast(x AS HUGEINT) <= 255, false)))"),
+             ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 12 AND 19 AND {luhn}"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"))
+
+    def found(kind: str, k: int, pattern: str, source: str) -> str:
+        place = "list_sum(list_transform(p[1 : i + 1], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(a[1 : i], lambda x: length(x))), 0)::BIGINT"
+        return (f"SELECT rid, {k} AS k, '{kind}' AS kind, {place} AS s, a[i + 1] AS m FROM (SELECT rid, a, p, unnest(range(len(a))) AS i FROM "
+                f"(SELECT rid, regexp_extract_all(t, {_quote(pattern)}) AS a, regexp_split_to_array(t, {_quote(pattern)}) AS p FROM {source}))")
+
+    base = " UNION ALL ".join(f"SELECT rid, k, kind, s, s + length(m) AS e, m FROM ({found(kind, k, pattern, 'd')}) WHERE {ok}" for k, (kind, pattern, ok) in enumerate(forms))
+    text = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k), '')"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT count(*)::DOUBLE AS n FROM d),
+b AS MATERIALIZED ({base}),
+held AS (SELECT DISTINCT rid, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN regexp_replace(m, '[^0-9]', '', 'g') ELSE lower(m) END AS entity FROM b),
+ne AS (SELECT entity, count(*) AS n_e FROM held GROUP BY 1 HAVING count(*) >= {pii.MIN_SUPPORT} AND count(*) < (SELECT n FROM n)),
+w AS MATERIALIZED (SELECT DISTINCT rid, lower(w) AS term FROM (SELECT rid, unnest(regexp_split_to_array(t, {_quote(pii.TERM_GAP)})) AS w FROM d) WHERE length(w) >= 3),
+nt AS (SELECT term, count(*) AS n_t FROM w GROUP BY 1),
+p AS MATERIALIZED (SELECT held.rid, entity, n_e, term, n_t FROM held JOIN ne USING (entity) JOIN w USING (rid) JOIN nt USING (term)),
+et AS (SELECT entity, term, count(*) AS n_et, any_value(n_e) AS n_e, any_value(n_t) AS n_t FROM p GROUP BY 1, 2 HAVING count(*) >= {pii.MIN_SUPPORT}),
+sc AS (SELECT entity, term, (log2(n) + log2(n_et) - log2(n_e) - log2(n_t)) / (log2(n) - log2(n_e)) AS x FROM et, n),
+fl AS (SELECT rid, term, max(x) AS x FROM p JOIN sc USING (entity, term) WHERE x >= {pii.GENERALISE_AT} GROUP BY 1, 2),
+pl AS ({found("", 0, pii.TERM, "(SELECT * FROM d WHERE rid IN (SELECT rid FROM fl))")}),
+mo AS (SELECT pl.rid, CASE WHEN x >= {pii.REMOVE_AT} THEN 4 ELSE 5 END AS k, CASE WHEN x >= {pii.REMOVE_AT} THEN 'remove' ELSE 'generalise' END AS kind, s, s + length(m) AS e FROM pl JOIN fl ON fl.rid = pl.rid AND fl.term = lower(m)
+  WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rid = pl.rid AND b.s < pl.s + length(pl.m) AND pl.s < b.e)),
+x AS (SELECT rid, k, kind, s, e FROM b UNION ALL SELECT rid, k, kind, s, e FROM mo),
+g AS (SELECT rid, {text} AS spans, {text.replace(" ORDER BY s, k)", " ORDER BY s, k) FILTER (k < 4)")} AS bs, {', '.join(f"count(*) FILTER (k = {k})::BIGINT AS n_{kind}" for k, (kind, _, _) in enumerate(forms))} FROM x GROUP BY 1)
+SELECT doc_id, {', '.join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind, _, _ in forms)}, sha256(coalesce(bs, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
+"""
+
+
 def decontamination_sql() -> str:
     n = decontamination.WINDOW
     return rf"""
@@ -124,4 +158,4 @@ FROM q LEFT JOIN f ON q.h = f.h AND n >= {warc.REVISIT_BYTES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op2_secret_scan": secret_sql(), "op3_warc": warc_sql(), "op6_quality_rules": quality_sql(), "op10_decontamination": decontamination_sql()}
+    return {"op1_license_scan": license_sql(), "op2_secret_scan": secret_sql(), "op3_warc": warc_sql(), "op6_quality_rules": quality_sql(), "op9_pii": pii_sql(), "op10_decontamination": decontamination_sql()}

@@ -40,41 +40,37 @@ RULES = (
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
-#: Bits that hold a word's place in a packed window key; longer texts sort pairs of hash and place instead.
-PLACE_BITS = 20
+#: Bits that hold a window's place in its key; the hash has the rest.
+PLACE_BITS = 31
 
 
 def repeated_words(words: Column) -> Column:
     """Words in three-word windows that the text holds twice or more.
 
-    Windows are sorted by hash, so equal ones stand side by side and the cost
-    is n log n whatever repeats; neighbours are compared word by word. Hash and
-    place share one long, which sorts as a primitive.
+    Windows are sorted by hash, so equal ones come together and the cost is
+    n log n whatever repeats. Hash and place share one long, which sorts as a
+    primitive. Windows whose hashes agree are then sorted by their words, so
+    what the hash does not tell apart the words do.
     """
-    def digest(ws: Column, i: Column) -> Column:
-        return F.xxhash64(ws[i], ws[i + 1], ws[i + 2])
-
-    def packed(ws: Column) -> Column:
-        keys = F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.shiftleft(digest(ws, i), PLACE_BITS).bitwiseOR(i.cast("long")))
+    def places(ws: Column) -> Column:
+        key = lambda i: F.shiftleft(F.xxhash64(ws[i], ws[i + 1], ws[i + 2]), PLACE_BITS).bitwiseOR(i.cast("long"))
         place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-        return let(F.sort_array(keys), lambda g: covered(ws, g, lambda x: F.shiftright(x, PLACE_BITS), place))
-
-    def paired(ws: Column) -> Column:
-        keys = F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.struct(digest(ws, i).alias("h"), i.alias("at")))
-        return let(F.sort_array(keys), lambda g: covered(ws, g, lambda x: x["h"], lambda x: x["at"]))
+        alike = lambda g: neighbours(g, lambda x, y: F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS), place)
+        return let(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(ws) - 3), key)), alike)
 
-    def covered(ws: Column, g: Column, hash_of, place) -> Column:
-        # most windows differ in hash from the one before: one comparison settles them
-        again = F.filter(F.sequence(F.lit(1), F.size(g) - 1), lambda k: hash_of(g[k]) == hash_of(g[k - 1]))
+    def neighbours(g: Column, same, place) -> Column:
+        again = F.filter(F.sequence(F.lit(1), F.greatest(F.size(g) - 1, F.lit(1))), lambda k: F.coalesce(same(F.get(g, k), g[k - 1]), F.lit(False)))
+        return F.array_distinct(F.flatten(F.transform(again, lambda k: F.array(place(g[k - 1]), place(g[k])))))
 
-        def both(k: Column) -> Column:
-            a, b = place(g[k - 1]), place(g[k])
-            same = (ws[a] == ws[b]) & (ws[a + 1] == ws[b + 1]) & (ws[a + 2] == ws[b + 2])
-            return F.when(same, F.array(a, a + 1, a + 2, b, b + 1, b + 2)).otherwise(F.array().cast("array<int>"))
+    def covered(ws: Column, at: Column) -> Column:
+        said = F.transform(at, lambda i: F.struct(F.concat_ws(" ", ws[i], ws[i + 1], ws[i + 2]).alias("t"), i.alias("at")))
+        twice = let(F.sort_array(said), lambda g: neighbours(g, lambda x, y: x["t"] == y["t"], lambda x: x["at"]))
+        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda i: F.array(i, i + 1, i + 2)))))
 
-        return F.size(F.array_distinct(F.flatten(F.transform(again, both))))
+    def counted(ws: Column) -> Column:
+        return let(places(ws), lambda at: F.when(F.size(at) > 0, covered(ws, at)).otherwise(0))
 
-    return F.when(F.size(words) < 4, 0).when(F.size(words) < 1 << PLACE_BITS, let(words, packed)).otherwise(let(words, paired))
+    return F.when(F.size(words) < 4, 0).otherwise(let(words, counted))
 
 
 def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,8 +81,7 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(SPACES)) != "")
     t = t.select(
         "doc_id", words.alias("_words"), lines.alias("_lines"),
-        (F.length(text) - F.length(reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SYMBOLS, text))).cast("long").alias("n_symbols"),
-            )
+        (F.length(text) - F.length(reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SYMBOLS, text))).cast("long").alias("n_symbols"))
     return t.select(
         "doc_id", F.size("_words").cast("long").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"), "n_symbols",
         F.size(F.filter("_words", lambda w: w.isin(STOP_FORMS))).cast("long").alias("n_stop_words"),

@@ -1,31 +1,35 @@
 """Secret scans over a trigram inverted index.
 
 1. Each rule's regex gives a Boolean query over trigrams (:mod:`lectern.llm.trigrams`).
-2. :func:`build_index` lists, for every trigram that some query names, the
-   documents that hold it: one narrow row a posting, hash-dealt by document.
-3. :func:`candidates` intersects and unites the postings by each query. Rows
-   meet by document, never by trigram, so a trigram that stands in a third of
-   all documents makes no hot task.
-4. :func:`scan` joins the candidates back and runs a rule's regex only over its
-   candidates. Rules without a mandatory trigram scan every document.
-
-A posting list may hold more than the documents that match, never fewer, so the
-result is the same as a full scan's.
-
-Defined results: null or empty text has no spans; rows that share an id share
-candidates and are verified one by one; null ids are joined null-safely; an
-empty table gives an empty table.
+2. :func:`build_index` writes the postings (trigram, document) of every trigram
+   that some query names, sorted by trigram within each file, so that a look-up
+   reads the row groups of its trigrams and no others.
+3. :func:`candidates` looks each rule's trigrams up and intersects and unites the
+   postings by its query. Postings meet by document, never by trigram, so a
+   trigram that stands in a third of all documents makes no hot task.
+4. :func:`annotate` runs a rule's regex only over its candidates. Rules without a
+   mandatory trigram scan every document. The candidates are a written table of
+   numbers: while Spark finds it small, it is broadcast and no text is shuffled;
+   beyond that both sides are dealt by document.
+
+Documents are named by a hash of id and text, so null ids are no hot key. Rows
+that agree in it share candidates, and a posting list may hold more than the
+documents that match, never fewer: the result is the same as a full scan's.
+
+Defined results: null or empty text has no spans; rows that share an id are
+verified one by one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import trigrams
-from lectern.llm.common import SPANS, ascii_lower, folded, let, rows, span_text, spans_where
+from lectern.llm.common import SPANS, ascii_lower, durable, folded, forget, let, rows, span_text, spans_where
 
 MARK = "[SECRET]"
 
@@ -58,23 +62,35 @@ RULES = (
 )
 
 
+def document_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def build_index(df: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (trigram, doc_id) for every trigram that a rule's query names."""
+    """Written postings (trigram, doc) for every trigram that a rule's query names."""
     wanted = sorted(set().union(*(trigrams.trigrams(trigrams.query(r.pattern)) for r in rules)))
-    t = rows(df, id_col, text_col).select("doc_id", ascii_lower(F.col("text")).alias("_low"))
+    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+    t = df.select(document_key(id_col, text_col).alias("doc"), ascii_lower(text).alias("_low"))
     held = F.array_compact(F.array(*(F.when(F.contains("_low", F.lit(g)), F.lit(g)) for g in wanted)))
-    return t.select("doc_id", F.explode(held).alias("trigram"))
+    return durable(t.select("doc", F.explode(held).alias("trigram")).sortWithinPartitions("trigram"), "secret-index")
 
 
 def candidates(index: DataFrame, rules=RULES) -> DataFrame:
-    """(doc_id, rules): the rules whose query the document's postings satisfy."""
-    merged = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("_held"))
-    tests = []
+    """(doc, rules): the rules whose query the document's postings satisfy."""
+    found = []
     for r in rules:
         q = trigrams.query(r.pattern)
-        if q is not True:
-            tests.append(F.when(trigrams.holds(q, lambda g: F.array_contains("_held", g)), F.lit(r.kind)))
-    return merged.select("doc_id", F.array_compact(F.array(*tests)).alias("rules")).where(F.size("rules") > 0)
+        if q is True:
+            continue
+        names = sorted(trigrams.trigrams(q))
+        bit = {g: F.bit_or(F.when(F.col("trigram") == g, F.lit(1)).otherwise(0)) for g in names}
+        posted = index.where(F.col("trigram").isin(names)).groupBy("doc").agg(*(c.alias(f"g{k}") for k, c in enumerate(bit.values())))
+        place = {g: k for k, g in enumerate(names)}
+        met = trigrams.holds(q, lambda g, place=place: F.col(f"g{place[g]}") == 1)
+        found.append(posted.where(met).select("doc", F.lit(r.kind).alias("rule")))
+    if not found:
+        return index.select("doc", F.array().cast("array<string>").alias("rules")).limit(0)
+    return reduce(DataFrame.unionByName, found).groupBy("doc").agg(F.collect_set("rule").alias("rules"))
 
 
 def verified(text: Column, may: Column, rules=RULES) -> Column:
@@ -94,13 +110,15 @@ def _long_enough(n: int):
 
 def annotate(df: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", index: DataFrame | None = None) -> DataFrame:
     """``df`` with a column ``spans``, by way of the index; a column of that name is replaced."""
-    c = candidates(index if index is not None else build_index(df, rules, id_col, text_col), rules)
-    c = c.select(F.col("doc_id").alias("_id"), F.col("rules").alias("_may"))
-    t = df.drop("spans", "_id", "_may")
-    t = t.join(c, t[id_col].eqNullSafe(c["_id"]), "left")
+    own = build_index(df, rules, id_col, text_col) if index is None else index
+    c = durable(candidates(own, rules).withColumnsRenamed({"doc": "_doc", "rules": "_may"}), "secret-candidates")
+    if index is None:
+        forget(own)
+    t = df.drop("spans", "_doc", "_may")
+    t = t.join(c, document_key(id_col, text_col) == c["_doc"], "left")
     may = F.coalesce("_may", F.array().cast("array<string>"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return t.withColumn("spans", verified(text, may, rules)).drop("_id", "_may")
+    return t.withColumn("spans", verified(text, may, rules)).drop("_doc", "_may")
 
 
 def scan(df: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", index: DataFrame | None = None) -> DataFrame:

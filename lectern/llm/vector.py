@@ -7,7 +7,8 @@ array operations a word and no Python object is made for one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,9 @@ _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S32, _S29 = np.uint64(32), np.uint64(29)
 
+#: Drops what an operator keeps in a Python worker between its tasks; called when the worker turns to another one.
+kept: list[Callable[[], None]] = []
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     h = h * _K1
@@ -61,6 +65,10 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 21, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about ``size`` bytes of text and ``rows`` rows at most, one row at least: bounds the arrays made of a part."""
+    if kept:
+        while kept:
+            kept.pop()()
+        gc.collect()
     for batch in batches:
         _, off = text_bytes(batch.column(column))
         at = 0

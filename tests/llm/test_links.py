@@ -83,3 +83,15 @@ def test_rows_are_told_apart_whatever_their_ids(spark):
     kept = sorted((r["doc_id"] or "", r["class_id"] or "") for r in got.where("kept").collect())
     assert kept == [("", ""), ("1", "1"), ("1", "1"), ("2", "2"), ("3", "3")]
     assert got.count() == 9 and got.where("class_id = '3'").count() == 3 and got.where("class_id = '2'").count() == 2
+
+
+def test_classes_of_the_test_documents_equal_brute_force(spark):
+    """Every pair of 1,000 documents; no link may be missing or made up."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    data = sorted(map(tuple, docs.collect()))
+    first: dict[str, int] = {}
+    for i, t in data:
+        first.setdefault(t, i)
+    want = dict(zip(first.values(), (list(first.values())[k] for k in _classes(list(first))), strict=True))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()}
+    assert got == {i: want[first[t]] for i, t in data}
