@@ -38,7 +38,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     empty table; columns other than COLUMNS are not read.
     """
     numbered = durable(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "pipeline-numbered")
-    gone = minhash.judge(numbered, row_col="_row").where(~F.col("kept")).select(F.col("row").alias("_row"))
+    # written, so that Spark knows its size: while it is small, no text is shuffled
+    gone = durable(minhash.judge(numbered, row_col="_row").where(~F.col("kept")).select(F.col("row").alias("_row")), "pipeline-gone")
     return numbered.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
