@@ -89,20 +89,28 @@ def aligned(docs: DataFrame, gap: float = 0.3, method: str = "global", least: fl
 
 
 def clusters(boxes: Sequence[tuple[float, float, float, float]], pad: float) -> list[int]:
-    """Single linkage of padded boxes that touch, grown boxes included: a label per box."""
-    label = list(range(len(boxes)))
-    area = [list(b) for b in boxes]
-    merged = True
-    while merged:
-        merged = False
-        live = sorted(set(label))
-        for x, i in enumerate(live):
-            for j in live[x + 1 :]:
-                p, q = area[i], area[j]
-                if label[i] == i and label[j] == j and p[0] - pad <= q[2] and q[0] - pad <= p[2] and p[1] - pad <= q[3] and q[1] - pad <= p[3]:
-                    area[i] = [min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3])]
-                    label = [i if k == j else k for k in label]
-                    merged = True
+    """Single linkage of padded boxes that touch, grown boxes included: the number of its first box per box.
+
+    A box is added to clusters that don't touch each other and takes in those it touches, until it touches none; the
+    outcome is the same in any order, and each box is compared with each cluster there is.
+    """
+    apart: list[tuple[list[float], list[int]]] = []
+    for k, box in enumerate(boxes):
+        area, mine = list(box), [k]
+        while True:
+            near = [p[0] - pad <= area[2] and area[0] - pad <= p[2] and p[1] - pad <= area[3] and area[1] - pad <= p[3] for p, _ in apart]
+            if not any(near):
+                break
+            for (p, ids), touches in zip(apart, near, strict=True):
+                if touches:
+                    area = [min(area[0], p[0]), min(area[1], p[1]), max(area[2], p[2]), max(area[3], p[3])]
+                    mine += ids
+            apart = [c for c, touches in zip(apart, near, strict=True) if not touches]
+        apart.append((area, mine))
+    label = [0] * len(boxes)
+    for _, mine in apart:
+        for k in mine:
+            label[k] = min(mine)
     return label
 
 

@@ -119,3 +119,23 @@ def split_valid(rows: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
 def replicate(source: DataFrame, target_columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """The columns both sides know, and those dropped on the way."""
     return source.select(*(c for c in source.columns if c in target_columns)), [c for c in source.columns if c not in target_columns]
+
+
+def orphans(rows: DataFrame, kept: DataFrame, keys: Sequence[str], guard: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows to stay, rows to delete): those without a key in ``kept`` go, but never where ``guard`` holds. Nothing is deleted by asking."""
+    lost = rows.join(kept.select(*keys).distinct().withColumn("_kept", F.lit(True)), list(keys), "left").withColumn("_gone", F.col("_kept").isNull() & ~F.coalesce(guard, F.lit(False)))
+    return lost.where("not _gone").drop("_kept", "_gone"), lost.where("_gone").drop("_kept", "_gone")
+
+
+def verified_copy(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Replicates ``source`` into ``target``'s columns and counts: (copied, expected, ok), from the keys found after the merge."""
+    common, _ = replicate(source, target.columns)
+    after = merge_upsert(target, common, list(keys))
+    found = after.select(*keys).distinct().join(common.select(*keys).distinct(), list(keys), "left_semi").agg(F.count(F.lit(1)).alias("copied"))
+    return found.crossJoin(common.select(*keys).distinct().agg(F.count(F.lit(1)).alias("expected"))).withColumn("ok", F.col("copied") == F.col("expected"))
+
+
+def cascade_repoint(children: DataFrame, key: str, mapping: DataFrame) -> DataFrame:
+    """Rows that point to a collapsed duplicate point to the row that stays (old, new); equal rows are one."""
+    j = children.join(mapping.select(F.col("old").alias(key), "new"), key, "left")
+    return j.select(*(F.coalesce("new", key).alias(key) if c == key else F.col(c) for c in children.columns)).distinct()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import banks, cleaning, documents, extracts, segments, sequences, streams
+from lectern.plans import banks, cleaning, documents, extracts, segments, sequences, stores, streams
 
-PARTS = (banks, sequences, documents, cleaning, extracts, segments, streams)
+PARTS = (banks, sequences, documents, cleaning, extracts, segments, stores, streams)
 
 
 def queries() -> dict:

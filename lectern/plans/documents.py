@@ -169,7 +169,12 @@ def bbox_cluster(spark, sf):
     return align.bbox_clusters(table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.sort_array(F.collect_list(box)).alias("boxes")))
 
 
-@register()
+@register(r"""WITH t AS (SELECT conv_id AS doc, string_agg(CASE role WHEN 'user' THEN (turn + 1) || '. ' WHEN 'assistant' THEN 'Answer: ' ELSE '' END || text, chr(10) ORDER BY turn, CASE role WHEN 'user' THEN (turn + 1) || '. ' WHEN 'assistant' THEN 'Answer: ' ELSE '' END || text) AS t FROM conversations GROUP BY 1),
+l AS (SELECT doc, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM t),
+q AS (SELECT *, regexp_matches(line, '^\d{1,2}[.)]') AS q, sum(regexp_matches(line, '^\d{1,2}[.)]')::INT) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS block FROM l),
+m AS (SELECT *, NOT q AND regexp_matches(line, '(?i)^ans(wer)?\b') AS a FROM q WHERE block > 0), n AS (SELECT *, max(CASE WHEN q OR a THEN pos END) OVER w AS mark, arg_max(a, CASE WHEN q OR a THEN pos END) OVER w AS told FROM m WINDOW w AS (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, min(CASE WHEN told AND trim(line) = '' THEN pos END) OVER (PARTITION BY doc, mark) AS gap FROM n), p AS (SELECT *, CASE WHEN NOT told THEN 'question' WHEN gap IS NULL OR pos < gap THEN 'answer' ELSE 'explanation' END AS part FROM f)
+SELECT doc, block, part, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (gap IS NULL OR pos <> gap), '')) AS content FROM p GROUP BY doc, block, mark, part""")
 def line_state_machine(spark, sf):
     turns = F.struct("turn", F.concat(F.when(F.col("role") == "user", F.concat(F.col("turn") + 1, F.lit(". "))).when(F.col("role") == "assistant", "Answer: ").otherwise(""), F.col("text")).alias("t"))
     c = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(turns)), lambda x: x["t"]), "\n").alias("text"))

@@ -10,13 +10,23 @@ from pyspark.sql.window import Window
 def json_items(spark: SparkSession, path: str, schema: str, field: str = "questions") -> DataFrame:
     """Records of JSON files that hold an array, or an object with the array under ``field``.
 
-    A file is one value; ``path`` may be a folder or a pattern. Files that don't parse give no rows.
+    A file is one value; ``path`` may be a folder or a pattern. Files that don't parse give no rows; :func:`json_warnings` names them.
     """
+    return _parsed(spark, path, schema, field).select("file", F.posexplode("items").alias("index", "r")).select("file", "index", "r.*")
+
+
+def json_warnings(spark: SparkSession, path: str, schema: str, field: str = "questions", key: str = "id") -> DataFrame:
+    """(file, warning): files that don't parse, and how many records of the others lack ``key``."""
+    p = _parsed(spark, path, schema, field).withColumn("lost", F.size(F.filter("items", lambda x: F.coalesce(x[key].cast("string"), F.lit("")) == "")))
+    warning = F.when(F.col("items").isNull(), "not parsed").when(F.col("lost") > 0, F.concat_ws(" ", F.col("lost").cast("string"), F.lit(f"without {key}")))
+    return p.select("file", warning.alias("warning")).where("warning is not null")
+
+
+def _parsed(spark: SparkSession, path: str, schema: str, field: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     bare = F.from_json("value", f"array<struct<{schema}>>")
     held = F.from_json("value", f"struct<{field}:array<struct<{schema}>>>")[field]
-    is_array = F.startswith(F.ltrim("value"), F.lit("["))
-    return raw.select("file", F.posexplode(F.when(is_array, bare).otherwise(held)).alias("index", "r")).select("file", "index", "r.*")
+    return raw.select("file", F.when(F.startswith(F.ltrim("value"), F.lit("[")), bare).otherwise(held).alias("items"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, where: str | None = None) -> DataFrame:

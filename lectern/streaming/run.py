@@ -13,8 +13,10 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """spark.checkpoint.dir; where that is unset the warehouse, or in local mode (tests) a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        at = spark.conf.get("spark.sql.warehouse.dir")
     if not at and not _own:
         _own.append(tempfile.mkdtemp(prefix="lectern-stream-"))
     return (at or f"file://{_own[0]}").rstrip("/")
