@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm import vector
 
-#: Entries that each lazy table holds before it starts anew; bounds memory, never changes a result.
-TABLE_SIZE = 1 << 19
+#: Entries that the table of pieces and those of arcs hold before they start anew; they bound memory and never change a result.
+TABLE_SIZE, ARCS = 1 << 19, 1 << 18
 #: Longer pieces are run through the transducer each time instead of being kept whole.
 KEPT_PIECE = 64
 _NEVER = 1 << 62
@@ -94,7 +94,7 @@ class Transducer:
         """
         got = self.apart.get((u, t))
         if got is None:
-            if len(self.apart) >= TABLE_SIZE:
+            if len(self.apart) >= ARCS:
                 self.apart.clear()
             got, ranks = bool(self._edges(t)), self.ranks
             for a, made_a, used_a in self._edges(u)[0]:
@@ -173,13 +173,13 @@ class Transducer:
     def run(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.arcs) >= TABLE_SIZE:
+        if len(self.arcs) >= ARCS:
             self.reset()
         state, out, arcs = 0, [], self.arcs
         for byte in piece:
             arc = arcs.get(state << 8 | byte)
             if arc is None:
-                if len(arcs) >= 2 * TABLE_SIZE:  # inside one very long piece: start the tables anew from this state
+                if len(arcs) >= 2 * ARCS:  # inside one very long piece: start the tables anew from this state
                     held = self.states[state]
                     self.reset()
                     arcs, state = self.arcs, self.known.setdefault(held[:2], len(self.states))
@@ -287,13 +287,13 @@ def coder(path: str, pattern: str) -> tuple[Encoder, Decoder]:
     return _loaded[path, pattern]
 
 
-def annotate(df: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def annotate(df: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = False, keep_text: bool = True) -> DataFrame:
     """``df`` and, per row, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (binary, little-endian uint32).
 
-    Columns of the input with these names are replaced. ``path`` is the vocabulary file, on every machine.
+    Columns of the input with these names are replaced. Without ``keep_text`` the text is left out and passed to Python once. ``path`` is the vocabulary file, on every machine.
     """
     added = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "binary"} if with_ids else {})
-    keep = [c for c in df.columns if c not in added]
+    keep = [c for c in df.columns if c not in added and (keep_text or c != text_col)]
     src = df.select(*(df[c] for c in keep), F.col(text_col).cast("binary").alias("_bytes"))
     out_schema = df.select(*(df[c] for c in keep), *(F.lit(None).cast(t).alias(n) for n, t in added.items())).schema
 

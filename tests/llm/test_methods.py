@@ -33,6 +33,7 @@ def test_bpe_equals_the_library_and_round_trips(text):
 
 def test_bpe_survives_a_full_table(monkeypatch):
     monkeypatch.setattr(bpe, "TABLE_SIZE", 64)
+    monkeypatch.setattr(bpe, "ARCS", 64)
     enc = bpe.Encoder(RANKS, tokenizers.PATTERN)
     for text in ("ab" * 700, "the quick brown fox " * 50, "=-" * 400, "".join(random.Random(1).choices("abcdefgh", k=900))):
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == ORACLE.encode_ordinary(text)
@@ -269,3 +270,24 @@ def test_resampling_prefers_target_and_counts_exactly(spark):
     ranked = sorted((r["v"] for r in df.collect()), reverse=True)
     for k in (1, 4500, 9000):
         assert quality_classifier.kth_largest(df, "v", k) == ranked[k - 1]
+
+
+def test_templates_from_a_table_match_like_a_plain_search(spark):
+    from lectern.llm import license_scan
+
+    table = spark.createDataFrame([("own", "You may NOT use, copy or sell x without leave", 0, 4), ("two", "sell x", None, None), ("none", "...", None, None)], "label string, text string, key_first int, key_words int")
+    templates = license_scan.templates_of(table)
+    assert [(t.label, t.key_words) for t in templates] == [("own", ["you", "may", "not", "use"]), ("two", ["sell", "x"])]
+    rng = random.Random(6)
+    words = "you may not use copy or sell x without leave and".split()
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) + rng.choice(["", " you may not use copy or sell x"]) for _ in range(120)]
+    got = {r["doc_id"]: sorted((h["label"], h["start"], round(h["support"], 6)) for h in r["hits"]) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect()}
+    for k, t in enumerate(texts):
+        w, want = t.split(), []
+        for tpl in templates:
+            first, n = tpl.key_span
+            for p in range(len(w) - n + 1):
+                if w[p : p + n] == tpl.key_words:
+                    agree = sum(0 <= p - first + i < len(w) and w[p - first + i] == x for i, x in enumerate(tpl.words)) / len(tpl.words)
+                    want += [(tpl.label, p, round(agree, 6))] if agree >= license_scan.MIN_SUPPORT else []
+        assert got[k] == sorted(want)
