@@ -74,7 +74,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one; an empty table gives an empty table; columns other than COLUMNS are not
     read.
     """
-    coded = bpe.annotate(docs.select(*COLUMNS), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    coded = bpe.annotate(docs.select(*COLUMNS), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, keep_text=False)
     return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
