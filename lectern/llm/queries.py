@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, decontamination, license_scan, minhash, pii, quality_classifier, quality_rules, secret_scan, toxicity, warc
+from lectern.llm import bpe, decontamination, license_scan, minhash, pii, quality_classifier, quality_rules, runs, secret_scan, toxicity, warc
 from lectern.llm.common import table
 
 
@@ -52,8 +53,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def echoed(doc_id: str | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents, by id, says its end over and over; a null id leaves the words as they are."""
+    if doc_id is None or not words:
+        return words
+    g, h = divmod(zlib.crc32(doc_id.encode()), 10)
+    if h:
+        return words
+    n, a = len(words), g % len(words)
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"), rewrite=echoed)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_warc, op4_quality_classifier, op5_toxicity, op6_quality_rules, op7_byte_bpe, op8_minhash, op9_pii, op10_decontamination)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_warc, op4_quality_classifier, op5_toxicity, op6_quality_rules, op7_byte_bpe, op8_minhash, op9_pii, op10_decontamination,
+                                   op11_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
