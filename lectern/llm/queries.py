@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, decontamination, license_scan, minhash, pii, quality_classifier, quality_rules, runs, secret_scan, toxicity, warc
+from lectern.llm import bpe, decontamination, license_scan, minhash, packing, pii, quality_classifier, quality_rules, runs, secret_scan, toxicity, warc
 from lectern.llm.common import table
 
 
@@ -69,9 +69,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(table(spark, sf_dir, "documents"), rewrite=echoed)
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_warc, op4_quality_classifier, op5_toxicity, op6_quality_rules, op7_byte_bpe, op8_minhash, op9_pii, op10_decontamination,
-                                   op11_periodic_runs)}
+                                   op11_periodic_runs, op12_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
