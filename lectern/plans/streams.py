@@ -112,6 +112,17 @@ def ttl_cache(spark, sf):
     return state.cached(e)
 
 
+@register("""WITH RECURSIVE x AS (SELECT user_id AS key, epoch_us(ts) // 20 AS us, event_id, row_number() OVER (ORDER BY epoch_us(ts) // 20, event_id) AS k FROM events),
+r AS (SELECT 0::BIGINT AS key, 0::BIGINT AS us, 0::BIGINT AS event_id, 0::BIGINT AS k, []::STRUCT(key BIGINT, us BIGINT)[] AS held, false AS hit
+  UNION ALL SELECT key, us, event_id, k, CASE WHEN v THEN held ELSE list_append(CASE WHEN len(rest) >= 100 THEN rest[2:] ELSE rest END, {'key': key, 'us': us}) END, v FROM (
+    SELECT x.key, x.us, x.event_id, x.k, r.held, list_filter(r.held, lambda e: e.key <> x.key) AS rest, len(list_filter(r.held, lambda e: e.key = x.key AND x.us - e.us < 21600000000)) > 0 AS v FROM r JOIN x ON x.k = r.k + 1))
+SELECT key, us, event_id AS request_id, hit FROM r WHERE k > 0""")
+def capped_cache(spark, sf):
+    # a month of events in a day and a half, so that the cap bites
+    us = F.expr("unix_micros(cast(ts as timestamp)) div 20")
+    return state.capped_cache(table(spark, sf, "events").select(F.col("user_id").alias("key"), us.alias("us"), F.col("event_id").alias("request_id")), cap=100, size=2048)
+
+
 @register("""SELECT event_id, list_filter(list_distinct_in_order, lambda x: NOT list_contains(down, x))[1] AS model FROM (
  SELECT event_id, CASE WHEN event_type IN ('view', 'click', 'error') THEN [event_type] || list_filter(['view', 'click', 'error'], lambda x: x <> event_type) ELSE ['view', 'click', 'error'] END AS list_distinct_in_order,
   CASE user_id % 4 WHEN 0 THEN ['view'] WHEN 1 THEN ['click', 'view'] WHEN 2 THEN ['view', 'click', 'error'] ELSE []::VARCHAR[] END AS down FROM events)""")

@@ -6,12 +6,14 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from lectern.operators.progress import SRS_DAYS
+from lectern.sources.scratch import Scratch, durable
 
 DAY = 86_400_000_000
 
@@ -129,6 +131,74 @@ def cached(requests: DataFrame, ttl_us: int = 6 * 3_600_000_000) -> DataFrame:
     return ordered(requests.select("key", "us", "request_id"), "key", "us", "request_id").mapInPandas(run, "key long, us long, request_id long, hit boolean")
 
 
+#: Requests of one range, which is one task's.
+RANGE = 1 << 18
+
+
+def capped_cache(requests: DataFrame, ttl_us: int = 6 * 3_600_000_000, cap: int = 500, size: int = RANGE) -> DataFrame:
+    """``requests`` (key, us, request_id) with ``hit`` for a cache over all keys: an entry answers while it is younger than the TTL, and where
+    ``cap`` entries are held the one stored first goes before another is stored.
+
+    The requests of all keys are one sequence, so they are dealt out by ranges of it (of about ``size`` each), and every range is run through from
+    the entries that the range before it left in the last round; the first starts empty. A round runs those whose entries to start with have
+    changed, side by side; when none has, all are right: the first range is after one round, and each round makes one more right at least. What
+    was held before a range soon leaves the cache, so a few rounds do. A range's state, and what is passed on, is ``cap`` entries; keys don't
+    matter to the dealing, so a hot one does no harm.
+    """
+    key_type = requests.schema["key"].dataType.simpleString()
+    held = f"array<struct<key:{key_type},us:bigint>>"
+    schema = f"block long, key {key_type}, us long, request_id long, hit boolean, held {held}"
+
+    def through(rows: pa.Table, start: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pos")
+        cache = {e["key"]: e["us"] for e in (start["held"][0].as_py() if start.num_rows else [])}
+        hits = []
+        for key, us in zip(rows["key"].to_pylist(), rows["us"].to_pylist(), strict=True):
+            since = cache.get(key)
+            hit = since is not None and us - since < ttl_us
+            if not hit:
+                if since is not None:
+                    del cache[key]
+                elif len(cache) >= cap:
+                    del cache[next(iter(cache))]
+                cache[key] = us
+            hits.append(hit)
+        n, kinds = rows.num_rows, pa.list_(pa.struct([("key", rows.schema.field("key").type), ("us", pa.int64())]))
+        left = pa.array([None] * n + [[{"key": k, "us": u} for k, u in cache.items()]], kinds)
+        block = rows["block"].to_pylist()
+        pad = lambda c, t: pa.array([*rows[c].to_pylist(), None], t)
+        return pa.table({"block": pa.array([*block, block[0]], pa.int64()), "key": pad("key", rows.schema.field("key").type), "us": pad("us", pa.int64()),
+                         "request_id": pad("request_id", pa.int64()), "hit": pa.array([*hits, None], pa.bool_()), "held": left})
+
+    with Scratch() as scratch:
+        rows = requests.select("key", F.col("us").cast("long").alias("us"), F.col("request_id").cast("long").alias("request_id"))
+        n = max(1, -(-rows.count() // size))
+        placed = rows.repartitionByRange(n, "us", "request_id").sortWithinPartitions("us", "request_id").withColumn("pos", F.monotonically_increasing_id())
+        placed = scratch(placed.withColumn("block", F.shiftright("pos", 33)), "cache-placed")
+        # ranges that hold no request are not there: each follows the one before it that is
+        follows = placed.select("block").distinct().withColumn("next", F.lead("block").over(Window.orderBy("block")))
+        follows = scratch(follows, "cache-follows")
+        starts = placed.select("block").limit(0).withColumn("held", F.lit(None).cast(held))
+        todo, rounds = follows.select("block"), []
+        while not rounds or not todo.isEmpty():
+            rows_of, starts_of = (placed.join(todo, "block", "left_semi"), starts.join(todo, "block", "left_semi")) if rounds else (placed, starts)
+            run = rows_of.groupBy("block").cogroup(starts_of.groupBy("block")).applyInArrow(through, schema)
+            rounds.append(scratch(run, "cache-round"))
+            left = rounds[-1].where("held is not null").join(follows.where("next is not null"), "block").select(F.col("next").alias("block"), "held")
+            new = scratch(starts.join(left.select("block"), "block", "left_anti").unionByName(left), "cache-starts")
+            same = new.alias("a").join(starts.alias("b"), (F.col("a.block") == F.col("b.block")) & F.col("a.held").eqNullSafe(F.col("b.held")), "left_anti")
+            todo, starts = scratch(same.select("a.block"), "cache-todo"), new
+        last = rounds[0].select("block", F.lit(0).alias("round")).where(F.lit(False))
+        for k, done in enumerate(rounds):
+            last = last.unionByName(done.where("held is not null").select("block", F.lit(k).alias("round")))
+        last = last.groupBy("block").agg(F.max("round").alias("round"))
+        every = rounds[0].withColumn("round", F.lit(0))
+        for k, done in enumerate(rounds[1:], 1):
+            every = every.unionByName(done.withColumn("round", F.lit(k)))
+        out = every.where("held is null").join(last, ["block", "round"], "left_semi")
+        return durable(out.select("key", "us", "request_id", "hit"), "cache")
+
+
 def failover(requests: DataFrame, pool: list[tuple[str, str]], wanted: str = "wanted", down: str = "down") -> DataFrame:
     """The model that answers: the wanted one, else the pool in order, leaving out those that are down; null if none is up."""
     names = F.array(*(F.lit(n) for n, _ in pool))

@@ -207,3 +207,26 @@ def test_more_text_functions(spark):
     assert one(spark, text.split_at_parts(F.lit("1. x\n(a) y\n(a) z"))) == ["1. x\n", "(a) y\n", "(a) z"]
     assert one(spark, text.break_paragraph(F.lit("One e.g. This. " + "Two is here. " * 30))).count("\n") >= 29
     assert align.seeded_locate("the quick brown fox jumps", "zz " * 9 + "the quick brown fax jumps over", seed=8) == 27
+
+
+def test_capped_cache_equals_one_plain_pass(spark):
+    import random
+
+    from lectern.streaming import state
+
+    rng = random.Random(4)
+    requests = [(None if k % 97 == 0 else rng.choice([1, rng.randrange(40)]), rng.randrange(5000), k) for k in range(1500)]
+    requests = [r for r in requests if r[0] is not None]
+    held, want = {}, {}
+    for key, us, k in sorted(requests, key=lambda r: (r[1], r[2])):
+        want[k] = key in held and us - held[key] < 300
+        if not want[k]:
+            if key in held:
+                del held[key]
+            elif len(held) >= 12:
+                del held[next(iter(held))]
+            held[key] = us
+    df = spark.createDataFrame(requests, "key long, us long, request_id long")
+    for size in (100, 5000):
+        assert {r["request_id"]: r["hit"] for r in state.capped_cache(df, 300, 12, size).collect()} == want
+    assert state.capped_cache(df.limit(0), 300, 12).count() == 0
