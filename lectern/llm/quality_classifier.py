@@ -28,8 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lectern.llm import vector
 from lectern.llm.common import durable, rows
@@ -52,10 +53,15 @@ def buckets(column) -> tuple[np.ndarray, np.ndarray]:
     return h.astype(np.int64), np.concatenate((text, text[pair]))
 
 
+def id_number(df: DataFrame) -> Column:
+    """A whole number for an id of any type: itself, or the 64-bit hash of what is none."""
+    return F.col("doc_id").cast("long") if isinstance(df.schema["doc_id"].dataType, IntegralType) else F.xxhash64("doc_id")
+
+
 def target_ids(labels: DataFrame) -> np.ndarray:
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    few = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TARGET).collect()
-    return np.sort(np.array([r["doc_id"] for r in few], np.int64))
+    few = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TARGET).select(id_number(labels).alias("n")).collect()
+    return np.sort(np.array([r["n"] for r in few], np.int64))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
@@ -67,13 +73,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         for batch in vector.slices(batches, 1):
             h, text = buckets(batch.column(1))
             total[0] += np.bincount(h, minlength=BUCKETS)
-            ids = batch.column(0)
-            good = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), shared.value) & ids.is_valid().to_numpy(zero_copy_only=False)
+            good = np.isin(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), shared.value) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             total[1] += np.bincount(h[good[text]], minlength=BUCKETS) if len(h) else 0
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["bucket", "raw", "target"])
 
-    summed = rows(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "bucket long, raw long, target long")
+    src = rows(docs)
+    known = F.when(F.col("doc_id").isNotNull(), id_number(src))
+    summed = src.select(known.alias("n"), "text").mapInArrow(count, "bucket long, raw long, target long")
     out = np.zeros((2, BUCKETS))
     for r in summed.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         out[:, r["bucket"]] = r["raw"], r["target"]
@@ -90,11 +97,13 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             h, text = buckets(batch.column(1))
             n = np.bincount(text, minlength=batch.num_rows)
             weight = np.bincount(text, weights=shared.value[h], minlength=batch.num_rows)
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column(2).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             u = ((vector.mix(ids.view(np.uint64) ^ _SEED) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array(weight - np.log(-np.log(u)), pa.float64())], ["doc_id", "n_grams", "log_weight", "key"])
 
-    return rows(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double, key double")
+    src = rows(docs)
+    src = src.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), id_number(src)).alias("n"))
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_grams long, log_weight double, key double")
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
