@@ -45,9 +45,10 @@ def alnum_key(c: Column, zero_for_o: bool = False) -> Column:
 
 def drop_lines(c: Column, patterns, trimmed: bool = False) -> Column:
     """The text without the lines, trimmed if asked, that hold a pattern; idempotent."""
-    line = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "") if trimmed else x
-    keep = F.filter(F.split(c, "\n"), lambda x: ~reduce(Column.__or__, [F.regexp_like(line(x), F.lit(p)) for p in patterns]))
-    return F.array_join(keep, "\n")
+    # one look at each line, trimmed once
+    any_of = F.lit("|".join(f"(?:{p})" for p in patterns))
+    seen = F.transform(F.split(c, "\n"), lambda x: F.struct(x.alias("line"), (F.regexp_replace(x, r"^\s+|\s+$", "") if trimmed else x).alias("told")))
+    return F.array_join(F.transform(F.filter(seen, lambda x: ~F.regexp_like(x["told"], any_of)), lambda x: x["line"]), "\n")
 
 
 def clean_furniture(c: Column) -> Column:

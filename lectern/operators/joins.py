@@ -100,22 +100,26 @@ def positional_fallback(questions: DataFrame, starts: DataFrame, group: str, num
     return j.select(*questions.columns, F.coalesce("_exact", "_nth").alias("start"), how.alias("how"))
 
 
-def window_containment(pages: DataFrame, needles: DataFrame, size: int = 30, stride: int = 15) -> DataFrame:
+def window_containment(pages: DataFrame, needles: DataFrame, size: int = 30, stride: int = 15, least: int = 24, tail: int = 25) -> DataFrame:
     """(item, first page) where a page holds some window of the item, compared on letters and digits.
 
-    Every run of a page is tried, but only runs whose hash is some window's are
-    shuffled: a table of at most :data:`SIEVE` hashed windows is broadcast.
+    Windows of ``size`` start every ``stride`` places below the length less ``tail`` (at 0 in any case); one that the item's end cuts short
+    counts from ``least`` letters on. Every run of a page is tried by its first ``least`` letters, but only runs whose hash is some
+    window's are shuffled: a table of at most :data:`SIEVE` hashed windows is broadcast.
     """
     norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    n = needles.select("item", norm(F.col("needle")).alias("t")).where(F.length("t") >= size)
-    n = n.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - size + 1, F.lit(stride)), lambda i: F.substring(F.col("t"), i, F.lit(size)))).alias("w")).distinct()
-    slot = F.pmod(F.xxhash64("w"), F.lit(SIEVE)).cast("int")
-    sieve = n.select(slot.alias("slot")).distinct()
-    p = pages.select("page", norm(F.col("content")).alias("t")).where(F.length("t") >= size)
+    head = lambda c: F.substring(c, 1, least)
+    n = needles.select("item", norm(F.col("needle")).alias("t"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(1), F.length("t") - tail) - 1, F.lit(stride))
+    n = n.select("item", F.explode(F.transform(starts, lambda i: F.substring(F.col("t"), i + 1, F.lit(size)))).alias("w")).where(F.length("w") >= least).distinct()
+    slot = lambda c: F.pmod(F.xxhash64(head(F.col(c))), F.lit(SIEVE)).cast("int")
+    sieve = n.select(slot("w").alias("slot")).distinct()
+    p = pages.select("page", norm(F.col("content")).alias("t"))
     # all runs at one offset modulo the size come from one pass, so the cost is linear in the page
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda o: F.regexp_extract_all(F.substr(F.col("t"), o), F.lit(f".{{{size}}}"), F.lit(0))))
-    p = p.select("page", F.explode(runs).alias("w")).join(F.broadcast(sieve), slot == F.col("slot"), "left_semi")
-    return p.join(n, "w").groupBy("item").agg(F.min("page").alias("page"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda o: F.regexp_extract_all(F.substr(F.col("t"), o), F.lit(f".{{{least},{size}}}"), F.lit(0))))
+    p = p.select("page", F.explode(runs).alias("run")).join(F.broadcast(sieve), slot("run") == F.col("slot"), "left_semi")
+    met = p.select("page", "run", head(F.col("run")).alias("head")).join(n.select("item", "w", head(F.col("w")).alias("head")), "head")
+    return met.where(F.startswith("run", "w")).groupBy("item").agg(F.min("page").alias("page"))
 
 
 def longest_prefix(df: DataFrame, stem: str, hay: str, least: int = 8) -> DataFrame:
@@ -125,16 +129,26 @@ def longest_prefix(df: DataFrame, stem: str, hay: str, least: int = 8) -> DataFr
     return df.withColumn("prefix_length", F.when(F.length(stem) >= least, F.get(fit, F.lit(0))))
 
 
-def interpolate(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
-    """Unknown values between two known ones are filled along the line; at the ends the nearest known one holds."""
+def interpolate(df: DataFrame, by: Sequence[str], order: str, value: str, total: str) -> DataFrame:
+    """``filled``: unknown starts of a group's parts in order, as whole numbers.
+
+    Between two known ones they lie on the line, by place in the order. Beyond the last known one they go on by the average stride (``total``,
+    the group's length, over its parts), before the first one they are spread evenly from where that stride leads back to, but not
+    below 0; with none known they are multiples of the stride.
+    """
     w = Window.partitionBy(*by)
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
+    d = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_s", F.floor(F.first(total).over(w) / F.count(F.lit(1)).over(w)))
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("o"), F.col(value).cast("long").alias("v")))
     # the next known one is the last one seen from the end: a growing frame instead of a shrinking one
-    before, after = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(order), F.col(order).desc()))
-    d = df.withColumn("_a", F.last(known, True).over(before)).withColumn("_b", F.last(known, True).over(after))
-    slope = (F.col("_b.v") - F.col("_a.v")) / (F.col("_b.o") - F.col("_a.o"))
-    line = F.when(F.col("_b.o") > F.col("_a.o"), F.col("_a.v") + (F.col(order) - F.col("_a.o")) * slope)
-    return d.withColumn("filled", F.coalesce(F.col(value).cast("double"), line, F.col("_a.v").cast("double"), F.col("_b.v").cast("double"))).drop("_a", "_b")
+    before, after = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("_i"), F.col("_i").desc()))
+    d = d.withColumn("_a", F.last(known, True).over(before)).withColumn("_b", F.last(known, True).over(after))
+    i, a, b = F.col("_i"), F.col("_a"), F.col("_b")
+    line = F.floor(a["v"] + (i - a["o"]) * ((b["v"] - a["v"]) / (b["o"] - a["o"])))
+    base = F.greatest(F.lit(0), b["v"] - b["o"] * F.col("_s"))
+    ahead = base + i * F.floor((b["v"] - base) / b["o"])
+    behind = a["v"] + (i - a["o"]) * F.col("_s")
+    filled = F.when(F.col(value).isNotNull(), F.col(value).cast("long")).when(a.isNotNull() & b.isNotNull(), line).when(b.isNotNull(), ahead).when(a.isNotNull(), behind).otherwise(i * F.col("_s"))
+    return d.withColumn("filled", filled.cast("long")).drop("_i", "_s", "_a", "_b")
 
 
 def near_duplicates(items: DataFrame, kept: DataFrame, by: str, share: int = 4, lead: int = 10, threshold: float = 0.45) -> tuple[DataFrame, DataFrame]:

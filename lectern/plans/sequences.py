@@ -225,10 +225,15 @@ def positional_fallback(spark, sf):
     return joins.positional_fallback(q, s, "grp", "n", "pos")
 
 
-@register("""WITH n AS (SELECT item_id AS item, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS t FROM benchmark), w AS (SELECT DISTINCT item, substr(t, i, 30) AS w FROM (SELECT item, t, unnest(range(1, length(t) - 28, 15)) AS i FROM n WHERE length(t) >= 30)),
+@register("""WITH n AS (SELECT item_id AS item, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS t FROM benchmark UNION ALL SELECT -1 - item_id, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1 + item_id % 7, 22 + item_id % 9) FROM benchmark),
+w AS (SELECT DISTINCT item, substr(t, i + 1, 30) AS w FROM (SELECT item, t, unnest(range(0, greatest(1, length(t) - 25), 15)) AS i FROM n) WHERE length(substr(t, i + 1, 30)) >= 24),
 p AS (SELECT doc_id AS page, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS t FROM documents) SELECT item, min(page) AS page FROM w JOIN p ON contains(t, w) GROUP BY item""")
 def window_containment(spark, sf):
-    return joins.window_containment(table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.col("text").alias("content")), table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("needle")))
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("needle"))
+    # and short stretches of the items, about as long as the shortest window
+    letters = F.regexp_replace(F.lower("needle"), "[^a-z0-9]", "")
+    short = b.select((-1 - F.col("item")).alias("item"), letters.substr((1 + F.col("item") % 7).cast("int"), (22 + F.col("item") % 9).cast("int")).alias("needle"))
+    return joins.window_containment(table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.col("text").alias("content")), b.unionByName(short))
 
 
 @register("""WITH x AS (SELECT c.conv_id, c.turn, d.text AS stem, c.text AS hay FROM conversations c JOIN documents d ON d.doc_id = c.conv_id)
@@ -239,12 +244,14 @@ def longest_prefix(spark, sf):
     return joins.longest_prefix(x, "stem", "text", 2).where("prefix_length is not null").groupBy("conv_id", "turn").agg(F.max("prefix_length").alias("prefix_length"))
 
 
-@register("""WITH i AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT AS pos, CASE WHEN max(l_quantity)::BIGINT % 3 = 0 THEN max(l_quantity)::BIGINT END AS v FROM lineitem GROUP BY 1, 2),
-k AS (SELECT doc, pos, v, max(CASE WHEN v IS NOT NULL THEN pos END) OVER (PARTITION BY doc ORDER BY pos) AS a, min(CASE WHEN v IS NOT NULL THEN pos END) OVER (PARTITION BY doc ORDER BY pos DESC) AS b FROM i)
-SELECT k.doc, k.pos, round(coalesce(k.v::DOUBLE, CASE WHEN b > a THEN x.v + (k.pos - a) * ((y.v - x.v) / (b - a)::DOUBLE) END, x.v, y.v), 6) AS filled FROM k LEFT JOIN i x ON x.doc = k.doc AND x.pos = a LEFT JOIN i y ON y.doc = k.doc AND y.pos = b""")
+@register("""WITH i AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT AS pos, CASE WHEN max(l_quantity)::BIGINT % 3 = 0 THEN max(l_quantity)::BIGINT * 7 END AS v FROM lineitem GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS i, (100 + doc % 900) // count(*) OVER (PARTITION BY doc) AS stride FROM i),
+k AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY doc ORDER BY i) AS a, min(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY doc ORDER BY i DESC) AS b FROM r),
+m AS (SELECT k.*, x.v AS av, y.v AS bv, greatest(0, y.v - b * k.stride) AS base FROM k LEFT JOIN r x ON x.doc = k.doc AND x.i = a LEFT JOIN r y ON y.doc = k.doc AND y.i = b)
+SELECT doc, pos, (CASE WHEN v IS NOT NULL THEN v WHEN a IS NULL AND b IS NULL THEN i * stride WHEN b IS NULL THEN av + (i - a) * stride WHEN a IS NULL THEN base + i * ((bv - base) // b) ELSE floor(av + (i - a) * ((bv - av) / (b - a)::DOUBLE)) END)::BIGINT AS filled FROM m""")
 def interpolated_starts(spark, sf):
-    i = _items(spark, sf).select("doc", "pos", F.when(F.col("qty") % 3 == 0, F.col("qty")).alias("v"))
-    return joins.interpolate(i, ["doc"], "pos", "v").select("doc", "pos", F.round("filled", 6).alias("filled"))
+    i = _items(spark, sf).select("doc", "pos", F.when(F.col("qty") % 3 == 0, F.col("qty") * 7).alias("v"), (100 + F.col("doc") % 900).alias("length"))
+    return joins.interpolate(i, ["doc"], "pos", "v", "length").select("doc", "pos", "filled")
 
 
 @register("""WITH t AS (SELECT doc_id AS id, lang, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM documents),
