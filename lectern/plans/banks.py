@@ -65,12 +65,19 @@ def point_lookup_usage(spark, sf):
 
 @register(f"""WITH {QUESTIONS}, p AS (SELECT * FROM q WHERE id = 17)
 SELECT q.id, (3 * len(list_filter(p.kps, lambda x: list_contains(q.kps, x))) + coalesce((q.subject = p.subject)::INT, 0) + 2 * (q.topic IS NOT DISTINCT FROM p.topic)::INT
-  + coalesce((q.command_term = p.command_term)::INT, 0) + (q.paper_type IS NOT DISTINCT FROM p.paper_type)::INT)::BIGINT AS score
+  + coalesce((q.command_term = p.command_term AND q.command_term <> '')::INT, 0) + (q.paper_type IS NOT DISTINCT FROM p.paper_type)::INT)::BIGINT AS score
 FROM q, p WHERE q.id <> 17 ORDER BY score DESC, q.id LIMIT 12""")
 def similar_topk(spark, sf):
     return search.similar(questions(spark, sf), 17)
 
 
+@register(f"""WITH {QUESTIONS}, x AS (SELECT p.id, q.id AS similar_id, (3 * len(list_filter(p.kps, lambda x: list_contains(q.kps, x))) + coalesce((q.subject = p.subject)::INT, 0) + 2 * (q.topic IS NOT DISTINCT FROM p.topic)::INT
+  + coalesce((q.command_term = p.command_term AND q.command_term <> '')::INT, 0) + (q.paper_type IS NOT DISTINCT FROM p.paper_type)::INT)::BIGINT AS score FROM q, q AS p WHERE q.id <> p.id)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY score DESC, similar_id) AS rank, similar_id, score FROM x WHERE score > 0 QUALIFY rank <= 12""")
+def similar_all(spark, sf):
+    return search.similar_all(questions(spark, sf))
+
+
 @register(f"""WITH {ATTEMPTS}
 SELECT question_id, count(*) FILTER (kind IN ('correct', 'incorrect')) AS attempts, count(*) FILTER (kind = 'correct') AS correct_count, count(*) FILTER (kind = 'incorrect') AS wrong_count,
   CASE WHEN arg_max(kind, (ts, event_id)) = 'incorrect' THEN 'wrong' ELSE arg_max(kind, (ts, event_id)) END AS status,

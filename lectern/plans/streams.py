@@ -8,7 +8,7 @@ from lectern.operators import progress
 from lectern.plans import banks
 from lectern.plans.bindings import attempts, table
 from lectern.plans.registry import registry
-from lectern.streaming import run, state, windows
+from lectern.streaming import limits, run, state, windows
 
 QUERIES, ORACLES, register = registry()
 _TUMBLING = """SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"""
@@ -91,6 +91,21 @@ def model_quota(spark, sf):
     return state.quota_ledger(e, 9, 120, 20_000)
 
 
+@register(ORACLES["rate_limit"].replace("CASE WHEN before >= 900 THEN 'global' ELSE verdict END", "verdict"))
+def stream_rate_limit(spark, sf):
+    us = F.expr("unix_micros(cast(ts as timestamp)) div 2000")
+    calls = table(spark, sf, "events").select((F.col("user_id") % 20).alias("caller"), us.alias("us"), F.col("event_id").alias("call_id"))
+    return run.appended(limits.rate_limited_stream(spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(run.staged(calls, ["us"], 3))))
+
+
+@register(ORACLES["model_quota"])
+def stream_model_quota(spark, sf):
+    us, k = F.expr("unix_micros(cast(ts as timestamp)) div 2000"), F.col("event_id")
+    retry = F.when(k % 37 == 0, k % 400).when(k % 41 == 0, 0)
+    calls = table(spark, sf, "events").select((F.col("user_id") % 20).alias("model"), us.alias("us"), k.alias("call_id"), (k % 400).alias("tokens"), retry.alias("retry_s"))
+    return run.appended(limits.quota_stream(spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(run.staged(calls, ["us"], 3)), 9, 120, 20_000))
+
+
 _MATRIX = {"simple": {"short": "s1", "medium": "m1", "long": "l1"}, "standard": {"short": "m1", "medium": "q1", "long": "q1"}, "deep": {"short": "d1", "medium": "d1", "long": "gone"}}
 
 

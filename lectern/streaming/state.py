@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,8 +13,7 @@ from pyspark.sql.window import Window
 
 from lectern.operators.progress import SRS_DAYS
 from lectern.sources.scratch import Scratch, durable
-
-DAY = 86_400_000_000
+from lectern.streaming.limits import DAY, Ledger
 
 
 def srs_stream(events: DataFrame) -> DataFrame:
@@ -56,19 +54,13 @@ def rate_limited(calls: DataFrame, per_minute: int = 15, per_day: int = 300, all
     rejected. So that call is found once the callers have been judged apart.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        caller, recent, day, used = object(), deque(), None, 0
+        caller, ledger = object(), Ledger()
         for pdf in batches:
             verdicts = []
             for who, us in zip(pdf["caller"], pdf["us"], strict=True):
-                if who != caller or us // DAY != day:
-                    caller, recent, day, used = who, deque(), us // DAY, 0
-                while recent and recent[0] <= us - 60_000_000:
-                    recent.popleft()
-                verdict = "minute" if len(recent) >= per_minute else "day" if used >= per_day else "ok"
-                if verdict == "ok":
-                    recent.append(us)
-                    used += 1
-                verdicts.append(verdict)
+                if who != caller:
+                    caller, ledger = who, Ledger()
+                verdicts.append(ledger.call(us, per_minute, per_day))
             yield pdf[["caller", "us", "call_id"]].assign(verdict=verdicts)
 
     judged = ordered(calls.select("caller", "us", "call_id"), "caller", "us", "call_id").mapInPandas(run, "caller long, us long, call_id long, verdict string")
@@ -91,23 +83,13 @@ def quota_ledger(calls: DataFrame, per_minute: int, per_day: int, tokens_per_day
     the day. A day begins at UTC midnight. The state is one model's.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, day, requests, tokens, until, out, recent = object(), None, 0, 0, 0, False, deque()
+        model, ledger = object(), Ledger()
         for pdf in batches:
             verdicts = []
             for who, us, n, retry in zip(pdf["model"], pdf["us"], pdf["tokens"], pdf["retry_s"], strict=True):
-                if who != model or us // DAY != day:
-                    model, day, requests, tokens, until, out, recent = who, us // DAY, 0, 0, 0, False, deque()
-                while recent and recent[0] <= us - 60_000_000:
-                    recent.popleft()
-                verdict = ("cooldown" if us < until else "server" if out else "requests" if requests >= per_day else "tokens" if tokens >= tokens_per_day
-                           else "minute" if len(recent) >= per_minute else "ok")
-                if verdict == "ok" and not pd.isna(retry):
-                    wait = int(max(1, min(retry or 20, 3600)))
-                    until, out = us + wait * 1_000_000, out or wait > 300
-                elif verdict == "ok":
-                    requests, tokens, until = requests + 1, tokens + (0 if pd.isna(n) else int(n)), 0
-                    recent.append(us)
-                verdicts.append(verdict)
+                if who != model:
+                    model, ledger = who, Ledger()
+                verdicts.append(ledger.model(us, n, retry, per_minute, per_day, tokens_per_day))
             yield pdf[["model", "us", "call_id"]].assign(verdict=verdicts)
 
     rows = calls.select("model", "us", "call_id", "tokens", "retry_s")

@@ -230,3 +230,42 @@ def test_capped_cache_equals_one_plain_pass(spark):
     for size in (100, 5000):
         assert {r["request_id"]: r["hit"] for r in state.capped_cache(df, 300, 12, size).collect()} == want
     assert state.capped_cache(df.limit(0), 300, 12).count() == 0
+
+
+def test_limit_stream_goes_on_from_its_checkpoint_and_equals_the_batch(spark, tmp_path):
+    import random
+
+    from lectern.streaming import limits, run, state
+
+    rng, schema = random.Random(2), "caller long, us long, call_id long"
+    at = sorted(rng.randrange(3 * 86_400_000_000) // 400 * 400 for _ in range(900)) + [3 * 86_400_000_000 + k * 1_000_000 for k in range(100)]
+    calls = [(k % 3, us // 60, k) for k, us in enumerate(at)]
+    for k, part in enumerate((calls[:400], calls[400:700], calls[700:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if k != 1:  # the first run sees one file, the second goes on with two
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            got = run.appended(limits.rate_limited_stream(stream, 4, 30, "0 seconds"), f"file://{tmp_path}/run")
+    want = state.rate_limited(spark.createDataFrame(calls, schema), 4, 30)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r["verdict"] for r in got.collect()} == {"ok", "minute", "day"}
+
+
+def test_similar_items_of_all_equal_each_probe(spark):
+    import random
+
+    from lectern.operators import search
+
+    rng = random.Random(6)
+    pick = lambda *xs: rng.choice(xs)
+    data = [(k, pick("m", "p", None), pick("t", "u", None), pick("State", "", None, "Find"), pick("P1", None), [pick("a", "b", "c", "d") for _ in range(rng.randrange(4))]) for k in range(150)]
+    df = spark.createDataFrame(data, "id long, subject string, topic string, command_term string, paper_type string, knowledge_point_ids array<string>")
+    got = {}
+    for r in search.similar_all(df, 5).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["similar_id"], r["score"]))
+
+    def score(p, q):
+        return 3 * sum(k in q[5] for k in p[5]) + (p[1] is not None and p[1] == q[1]) + 2 * (p[2] == q[2]) + bool(p[3] and p[3] == q[3]) + (p[4] == q[4])
+
+    for p in data:
+        ranked = sorted((-score(p, q), q[0]) for q in data if q[0] != p[0] and score(p, q) > 0)[:5]
+        assert sorted(got.get(p[0], [])) == [(i + 1, x, -s) for i, (s, x) in enumerate(ranked)]
