@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import similarity, text
-from lectern.operators import align
+from lectern.operators import align, locate
 from lectern.plans.bindings import table
 from lectern.plans.registry import registry
 
@@ -135,6 +135,28 @@ def fuzzy_locate(spark, sf):
     return align.fuzzy_locate(_passages(spark, sf), window=None, step=8, refine=5)
 
 
+@register()
+def located_everywhere(spark, sf):
+    """Every benchmark item in every document."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("needle"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("hay"))
+    return locate.located_everywhere(b, d)
+
+
+@register()
+def paper_repair(spark, sf):
+    """A conversation is a paper, what its users say are the questions, and what stands after a question is its answer."""
+    c = table(spark, sf, "conversations")
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    papers = c.groupBy(F.col("conv_id").alias("paper")).agg(F.array_join(turns, "\n").alias("text"))
+    current = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("old Examiners report "), "text")).when(F.col("turn") % 4 == 2, F.col("text"))
+    # every third question was scanned badly
+    asked = F.when(F.col("turn") % 3 == 2, F.reverse("text")).otherwise(F.translate("text", "ea", "3"))
+    records = c.where("role = 'user'").select(F.col("conv_id").alias("paper"), F.col("turn").alias("n"), asked.alias("question"), current.alias("current"))
+    done = locate.repaired_papers(records, papers, least=0.6, step=24)
+    return done.select("paper", "n", "start", "score", "action", F.md5(F.col("answer").cast("binary")).alias("answer"))
+
+
 @register()
 def seeded_locate(spark, sf):
     return align.seeded_places(_passages(spark, sf))
