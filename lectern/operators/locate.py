@@ -105,7 +105,7 @@ class Index:
         return out
 
 
-def located_everywhere(needles: DataFrame, texts: DataFrame, least: float = 0.85, step: int = 8) -> DataFrame:
+def located_everywhere(needles: DataFrame, texts: DataFrame, least: float = 0.9, step: int = 8) -> DataFrame:
     """(needle, doc, found_at, score) for each needle (key, needle) and text (key, hay) with a window, at a multiple of ``step``, of that ratio.
 
     It is the best window's first place, as a scan of all windows would give it. Runs of characters that a window as good as

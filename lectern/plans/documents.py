@@ -145,14 +145,14 @@ def located_everywhere(spark, sf):
 
 @register()
 def paper_repair(spark, sf):
-    """A conversation is a paper, what its users say are the questions, and what stands after a question is its answer."""
+    """A conversation is a paper, the first lines of what its users say are the questions, and what stands after a question is its answer."""
     c = table(spark, sf, "conversations")
     turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
     papers = c.groupBy(F.col("conv_id").alias("paper")).agg(F.array_join(turns, "\n").alias("text"))
     current = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("old Examiners report "), "text")).when(F.col("turn") % 4 == 2, F.col("text"))
     # every third question was scanned badly
-    asked = F.when(F.col("turn") % 3 == 2, F.reverse("text")).otherwise(F.translate("text", "ea", "3"))
-    records = c.where("role = 'user'").select(F.col("conv_id").alias("paper"), F.col("turn").alias("n"), asked.alias("question"), current.alias("current"))
+    asked = F.when(F.col("turn") % 3 == 2, F.reverse("line")).otherwise(F.translate("line", "ea", "3"))
+    records = c.where("role = 'user'").withColumn("line", F.substring_index("text", "\n", 1)).select(F.col("conv_id").alias("paper"), F.col("turn").alias("n"), asked.alias("question"), current.alias("current"))
     done = locate.repaired_papers(records, papers, least=0.6, step=24)
     return done.select("paper", "n", "start", "score", "action", F.md5(F.col("answer").cast("binary")).alias("answer"))
 
