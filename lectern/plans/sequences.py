@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import tables
 from lectern.operators import joins, sequence
 from lectern.plans.bindings import LINES, lines, table
 from lectern.plans.registry import registry
@@ -67,6 +68,14 @@ def expected_walk(spark, sf):
     return h.select("doc", F.explode(sequence.expected_walk(F.col("hits"))).alias("x")).select("doc", "x.pos", "x.n")
 
 
+@register(ORACLES["expected_walk"])
+def walk_numbers(spark, sf):
+    """The same walk from SQL."""
+    tables.register(spark)
+    _items(spark, sf).select("doc", "pos", (F.col("qty") % 4 + 1).alias("n")).createOrReplaceTempView("lectern_hits")
+    return spark.sql("SELECT * FROM walk_numbers(TABLE(lectern_hits) PARTITION BY doc ORDER BY pos)")
+
+
 @register(f"""WITH RECURSIVE {_ITEM}, h AS (SELECT doc, qty % 12 AS n, row_number() OVER (PARTITION BY doc ORDER BY pos) AS k FROM i),
 r AS (SELECT doc, 0::BIGINT AS k, NULL::BIGINT AS last, 0::BIGINT AS taken FROM (SELECT DISTINCT doc FROM h)
   UNION ALL SELECT h.doc, h.k, CASE WHEN (r.last IS NULL AND h.n <= 3) OR h.n BETWEEN r.last AND r.last + 3 THEN h.n ELSE r.last END,

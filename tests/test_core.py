@@ -269,3 +269,17 @@ def test_similar_items_of_all_equal_each_probe(spark):
     for p in data:
         ranked = sorted((-score(p, q), q[0]) for q in data if q[0] != p[0] and score(p, q) > 0)[:5]
         assert sorted(got.get(p[0], [])) == [(i + 1, x, -s) for i, (s, x) in enumerate(ranked)]
+
+
+def test_walk_numbers_from_sql(spark):
+    from lectern.functions import tables
+
+    tables.register(spark)
+    rows = [("a", 1, 2), ("a", 2, 1), ("a", 3, None), ("a", 4, 2), ("a", 5, 4), ("a", 6, 3), ("b", 9, 1), ("b", 8, 2), (None, 1, 1)]
+    spark.createDataFrame(rows, "doc string, pos int, n int").createOrReplaceTempView("walked")
+    got = spark.sql("SELECT * FROM walk_numbers(TABLE(walked) PARTITION BY doc ORDER BY pos)").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("a", 2, 1), ("a", 4, 2), ("a", 6, 3), ("b", 9, 1), (None, 1, 1)], key=repr)
+    got = spark.sql("SELECT pos FROM walk_numbers(rows => TABLE(walked) PARTITION BY doc ORDER BY pos, first => 2, cap => 2)").collect()
+    assert sorted(r["pos"] for r in got) == [1, 8]
+    with pytest.raises(Exception, match="column n"):
+        spark.sql("SELECT * FROM walk_numbers(TABLE(SELECT 1 AS m))").collect()
