@@ -29,12 +29,12 @@ class WalkNumbers:
     def __init__(self) -> None:
         self.expected: int | None = None
 
-    def eval(self, row, first: int = 1, cap: int | None = None):
+    def eval(self, rows, first: int = 1, cap: int | None = None):
         if self.expected is None:
             self.expected = first
-        if row["n"] == self.expected and (cap is None or self.expected <= cap):
+        if rows["n"] == self.expected and (cap is None or self.expected <= cap):
             self.expected += 1
-            yield tuple(row)
+            yield tuple(rows)
 
 
 def register(spark: SparkSession) -> None:
