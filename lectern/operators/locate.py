@@ -21,6 +21,8 @@ NEEDLES = 1 << 20
 #: Places of a text that one row stands for.
 CHUNK = 1 << 16
 _LONGEST_GRAM = 12
+#: Hashed slots that tell most runs that no needle holds.
+_SIEVE = 1 << 20
 
 
 def seeds(size: int, least: float) -> tuple[int, int, int]:
@@ -58,7 +60,7 @@ class Index:
     def __init__(self, needles: list[tuple[int, str]], least: float):
         self.needles, self.least = needles, least
         self.rules = [seeds(len(t), least) for _, t in needles]
-        self.by_q: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.by_q: dict[int, tuple[np.ndarray, ...]] = {}
         for q in {r[0] for r in self.rules} - {1}:
             h, of, at = [], [], []
             for k, (_, t) in enumerate(needles):
@@ -69,7 +71,10 @@ class Index:
                     at.append(np.arange(len(g)))
             h, of, at = np.concatenate(h), np.concatenate(of), np.concatenate(at)
             by = np.argsort(h, kind="stable")
-            self.by_q[q] = h[by], of[by], at[by]
+            sieve = np.zeros(_SIEVE, bool)
+            sieve[h % np.uint64(_SIEVE)] = True
+            self.by_q[q] = h[by], of[by], at[by], sieve
+        self.hits = np.array([r[1] for r in self.rules])
 
     def places(self, codes: np.ndarray, n_places: int, step: int) -> dict[int, list[int]]:
         """Per needle the places (multiples of ``step`` below ``n_places``) whose window may be like it."""
@@ -77,14 +82,19 @@ class Index:
         for k, (q, _, _) in enumerate(self.rules):
             if q == 1:  # no run is sure to be shared: every place is looked at
                 out[k] = list(range(0, min(n_places, len(codes) - len(self.needles[k][1]) + 1), step))
-        for q, (h, of, at) in self.by_q.items():
+        for q, (h, of, at, sieve) in self.by_q.items():
             g = _grams(codes, q)
-            lo, hi = np.searchsorted(h, g, "left"), np.searchsorted(h, g, "right")
-            j = np.repeat(np.arange(len(g)), hi - lo)
-            if not len(j):
+            may = np.flatnonzero(sieve[g % np.uint64(_SIEVE)])
+            lo = np.searchsorted(h, g[may], "left")
+            n = np.searchsorted(h, g[may], "right") - lo
+            j = np.repeat(may, n)
+            p = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(j))
+            needle = of[p]
+            # a needle with fewer hits in all than one window needs is nowhere
+            enough = (np.bincount(needle, minlength=len(self.hits)) >= self.hits)[needle]
+            if not enough.any():
                 continue
-            p = np.repeat(lo - np.append(0, np.cumsum(hi - lo)[:-1]), hi - lo) + np.arange(len(j))
-            needle, diagonal = of[p], j - at[p]
+            needle, diagonal = needle[enough], (j - at[p])[enough]
             by = np.lexsort((diagonal, needle))
             needle, diagonal = needle[by], diagonal[by]
             cut = np.flatnonzero(np.append(True, needle[1:] != needle[:-1]))
