@@ -154,6 +154,7 @@ def book_outline(spark, sf):
     return segment.sections(h, ["doc"], "pos", F.when(q < 3, "practice").when(q == 3, "stop"), "name", F.lit(99).cast("long"), F.when(F.col("doc") % 3 == 0, 5).cast("long"))
 
 
+# Fixed value: how a stem opens.
 _STEM = r"(?i)^(A(?=\s|[a-z])|An\s|The\s|Two\s|Three\s|Four\s|Five\s|Six\s|Seven\s|Eight\s|Nine\s|Ten\s)"
 
 
