@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.cleaning import option_state
+from lectern.functions.cleaning import option_state, position_map
 from lectern.functions.fold import gathered
 from lectern.functions.text import let
 
@@ -21,6 +21,10 @@ ANCHORS = ("Maximum total", "Maximum mark", "Section A", "Mark allocation", "Mar
 # A numbered line, and the declared range of an option.
 NUMBERED = r"^(\d{1,3})[.):]?\s+\S"
 OPTION_RANGE = r"(?i)Option\s+([A-D])\s+[—–-]\s*[^\r\n]+?(\d+)\s*[–-]\s*(\d+)"
+# Fixed value: a question's number inside a line, which a capital or a bracket follows.
+INLINE = r"(?<![A-Za-z0-9./])([1-9]\d{0,2})[.):]?\s+(?=[A-Z(])"
+# Fixed value: the label of a question's first part.
+FIRST_PART = r"(?i)(?:^|\s)(?:\((?:a|b|c|i|ii)\)|(?:a|b|c|i|ii|iii|iv|v)\.)\s"
 INSTRUCTION = r"(?i)follow\s+the\s+markscheme"
 #: A number between its neighbours in a walk: what a fold of one returns.
 _FOUND = "array<struct<n:bigint,at:bigint>>"
@@ -73,6 +77,51 @@ def split_by_label(questions: DataFrame, solutions: DataFrame, label: str = "lab
     return found.select(label, F.col("a.n").alias("number"), F.col("a.content").alias("answer")).where(F.length("answer") > least)
 
 
+def inline_answers(pending: DataFrame, questions: DataFrame, solutions: DataFrame, label: str = "label", least: int = 10) -> DataFrame:
+    """(label, number, answer) of the ``pending`` (label, number) whose numbers stand inside the solution lines (label, pos, line) of their label.
+
+    The lines of a label are one stream of characters. Each pending number in turn is sought after the one found before, before a capital or a
+    bracket and not within a word, a path or a decimal; its answer ends where the least later number of ``questions`` that follows it stands, else
+    with the stream. Answers of ``least`` characters or fewer don't count, but move the cursor. A number's places are looked up in an index of the
+    label, so a step costs the number's own occurrences and never the stream.
+    """
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("line", F.lit("")).alias("line")))), lambda x: x["line"])
+    numbers = lambda d, name: d.where("number is not null").groupBy(label).agg(F.sort_array(F.collect_set(F.col("number").cast("long"))).alias(name))
+    t = solutions.groupBy(label).agg(F.array_join(lines, "\n").alias("_t")).join(numbers(questions, "_all"), label).join(numbers(pending, "_p"), label)
+
+    def place(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["t"])
+        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
+        return end, F.array(F.struct(x["n"].try_cast("long").alias("n"), start.cast("long").alias("at"), end.cast("long").alias("end")))
+
+    every = lambda k: F.regexp_extract_all("_t", F.lit(INLINE), F.lit(k))
+    pieces = F.arrays_zip(F.split("_t", INLINE, -1).alias("t"), every(0).alias("m"), every(1).alias("n"))
+    marks = F.filter(gathered(pieces, F.lit(0), "bigint", "struct<n:bigint,at:bigint,end:bigint>", place), lambda m: F.array_contains("_all", m["n"]))
+    m = t.select(label, F.explode(marks).alias("m")).groupBy(label, F.col("m.n").alias("n")).agg(F.sort_array(F.collect_list(F.struct("m.at", "m.end"))).alias("o"))
+    index = m.groupBy(label).agg(F.map_from_entries(F.collect_list(F.struct("n", "o"))).alias("_i"))
+
+    def after(n: Column, since: Column) -> Column:
+        return F.get(F.filter(F.try_element_at("_i", n), lambda o: o["at"] >= since), F.lit(0))
+
+    def answer(since: Column, n: Column) -> tuple[Column, Column]:
+        hit = after(n, since)
+        nothing = F.lit(None).cast("bigint")
+        end = F.aggregate(F.filter("_all", lambda q: q > n), nothing, lambda found, q: F.when(found.isNotNull(), found).otherwise(after(q, hit["end"])["at"]))
+        one = F.struct(n.alias("n"), hit["at"].alias("at"), F.coalesce(end, F.length("_t").cast("long")).alias("fin"))
+        return F.coalesce(hit["end"], since), F.when(hit.isNotNull(), F.array(one)).otherwise(F.array().cast("array<struct<n:bigint,at:bigint,fin:bigint>>"))
+
+    found = t.join(index, label).select(label, "_t", F.explode(gathered(F.col("_p"), F.lit(0), "bigint", "struct<n:bigint,at:bigint,fin:bigint>", answer)).alias("a"))
+    body = F.substr("_t", (F.col("a.at") + 1).cast("int"), (F.col("a.fin") - F.col("a.at")).cast("int"))
+    return found.select(label, F.col("a.n").alias("number"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("answer")).where(F.length("answer") > least)
+
+
+def paired_answers(questions: DataFrame, solutions: DataFrame, label: str = "label", least: int = 10) -> DataFrame:
+    """(label, number, answer, found): by numbers at the start of lines, and by numbers inside them for the questions that those leave without one."""
+    first = split_by_label(questions, solutions, label, least)
+    left = questions.select(label, F.col("number").cast("long").alias("number")).distinct().join(first.select(label, "number"), [label, "number"], "left_anti")
+    return first.withColumn("found", F.lit("line")).unionByName(inline_answers(left, questions, solutions, label, least).withColumn("found", F.lit("inside")))
+
+
 def anchored_walk(text: Column, last: Column) -> Column:
     """Where the answers 1 to ``last`` start: array<struct<n,at>>, places from 0.
 
@@ -197,6 +246,34 @@ def located_prompts(text: Column, prompts: Column, sizes: Sequence[int] = (60, 3
     return let(norm(text), lambda h: let(F.transform(prompts, norm), lambda w: F.when(F.size(w) > 0, find_in(h, w)).otherwise(F.array().cast(_FOUND))))
 
 
+def projected_prompts(text: Column, prompts: Column, part: int = 80, sizes: Sequence[int] = (60, 40), least: int = 8) -> Column:
+    """array<struct<n,at>>: where each prompt (in order, numbered from 1) starts in ``text``, compared by letters and digits alone.
+
+    Text and prompts are reduced to lower-case letters and digits with single spaces, so a prompt is found although the text has lost or
+    changed its symbols. A prompt is sought from its first part's label (``part`` characters), then by its first ``sizes`` characters; needles of
+    fewer than ``least`` count as not there. Places are those of the raw text; the cursor moves past each place found, and a prompt that is not
+    there is left out.
+    """
+    chars = lambda c: F.array_join(F.transform(position_map(c), lambda x: x["ch"]), "")
+
+    def needles(p: Column) -> Column:
+        opened = F.regexp_instr(p, F.lit(FIRST_PART))
+        from_part = F.when(opened > 0, F.substring(F.trim(chars(F.substr(p, opened))), 1, part)).otherwise("")
+        return F.array(F.trim(from_part), *(F.trim(F.substring(F.trim(chars(p)), 1, k)) for k in sizes))
+
+    def find_in(places: Column, hay: Column, wanted: Column) -> Column:
+        def find(n: Column, since: Column) -> Column:
+            at = lambda x: F.when(F.length(x) >= least, F.nullif(F.call_function("locate", x, hay, (since + 1).cast("int")), F.lit(0)))
+            one = F.element_at(wanted, n.cast("int"))
+            return F.coalesce(*(at(F.get(one, F.lit(k))) for k in range(len(sizes) + 1))) - 1
+
+        found = _cursor_fold(F.sequence(F.lit(1), F.size(wanted)), F.lit(0), find)
+        return F.transform(found, lambda x: F.struct(x["n"].alias("n"), F.get(places, x["at"].cast("int"))["at"].cast("long").alias("at")))
+
+    there = let(position_map(text), lambda m: let(F.array_join(F.transform(m, lambda x: x["ch"]), ""), lambda h: let(F.transform(prompts, needles), lambda w: find_in(m, h, w))))
+    return F.when(F.size(prompts) > 0, there).otherwise(F.array().cast(_FOUND))
+
+
 def bounded_answers(text: Column, places: Column, opening: str = r"(?i)(?:markscheme|answer)s?:?", least: int = 1) -> Column:
     """array<struct<n,answer>>: a prompt's region ends where the next one starts; its answer follows the last opening mark in it, else its first
     blank line. Regions without either, or with fewer than ``least`` characters of answer, are rejected (null)."""

@@ -115,6 +115,30 @@ def label_answers(spark, sf):
     return segment.split_by_label(q, s).select("label", F.col("number").cast("int").alias("number"), _md5(F.col("answer")).alias("answer"))
 
 
+@register(f"""WITH RECURSIVE {LINES}, l AS (SELECT doc_id AS label, pos, CASE pos % 5 WHEN 0 THEN (pos % 20 // 5 + 1) || '. ' || line WHEN 2 THEN left(line, 25) || ' ' || (pos % 45 // 5 + 1) || ') Thus ' || substr(line, 26) WHEN 3 THEN left(line, 9) || ' 1.' || (pos % 9) || ' Km/' || (pos % 9) || ' At (' || (pos % 7 + 3) || ' (' || line ELSE line END AS line FROM lines),
+s AS (SELECT *, nullif(regexp_extract(line, '^(\\d{{1,3}})[.):]?\\s+\\S', 1), '')::BIGINT AS n FROM l), q AS (SELECT DISTINCT doc_id AS label, m AS number FROM documents, (VALUES (1), (2), (4), (5), (7), (9)) v(m)), w AS (SELECT label, number, row_number() OVER (PARTITION BY label ORDER BY number) AS k FROM q),
+r AS (SELECT label, 0::BIGINT AS k, 0::BIGINT AS since, NULL::BIGINT AS number, NULL::BIGINT AS at_pos FROM (SELECT DISTINCT label FROM w)
+  UNION ALL SELECT w.label, w.k, coalesce(f.p + 1, r.since), w.number, f.p FROM r JOIN w ON w.label = r.label AND w.k = r.k + 1 LEFT JOIN LATERAL (SELECT min(s.pos) AS p FROM s WHERE s.label = r.label AND s.pos >= r.since AND s.n = w.number) f ON true),
+e AS (SELECT r.label, r.number, r.at_pos, (SELECT min(s.pos) FROM s JOIN q ON q.label = s.label AND q.number = s.n WHERE s.label = r.label AND s.pos > r.at_pos AND s.n > r.number) AS fin FROM r WHERE at_pos IS NOT NULL),
+b AS (SELECT e.label, e.number, {r"regexp_replace(string_agg(s.line, chr(10) ORDER BY s.pos), '^\s+|\s+$', '', 'g')"} AS answer FROM e JOIN s ON s.label = e.label AND s.pos >= e.at_pos AND (e.fin IS NULL OR s.pos < e.fin) GROUP BY 1, 2), b1 AS (SELECT * FROM b WHERE length(answer) > 10),
+t AS (SELECT label, string_agg(line, chr(10) ORDER BY pos) AS t FROM l GROUP BY 1), c0 AS (SELECT label, line, line || chr(10) || coalesce(lead(line) OVER o || chr(10) || coalesce(lead(line, 2) OVER o, ''), '') AS t, coalesce(sum(length(line) + 1) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l WINDOW o AS (PARTITION BY label ORDER BY pos)),
+c AS (SELECT label, off, t, unnest(range(1, length(line) + 1)) AS i FROM c0 WHERE regexp_matches(t, '[1-9][0-9]?[0-9]?[.):]?\\s+[A-Z(]')), c1 AS (SELECT label, off, i, substr(t, i, 60) AS x FROM c WHERE substr(t, i, 1) BETWEEN '1' AND '9' AND (i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '[A-Za-z0-9./]'))),
+m AS (SELECT c1.label, off + i - 1 AS at_pos, regexp_extract(x, '^([1-9]\\d{{0,2}})', 1)::BIGINT AS n, off + i - 1 + length(regexp_extract(x, '^[1-9]\\d{{0,2}}[.):]?\\s+')) AS fin FROM c1 WHERE regexp_matches(x, '^[1-9]\\d{{0,2}}[.):]?\\s+[A-Z(]')),
+p AS (SELECT label, number, row_number() OVER (PARTITION BY label ORDER BY number) AS k FROM (SELECT label, number FROM q EXCEPT SELECT label, number FROM b1)),
+r2 AS (SELECT label, 0::BIGINT AS k, 0::BIGINT AS since, NULL::BIGINT AS number, NULL::BIGINT AS at_pos FROM (SELECT DISTINCT label FROM p)
+  UNION ALL SELECT p.label, p.k, coalesce(f.f::BIGINT, r2.since), p.number, f.p::BIGINT FROM r2 JOIN p ON p.label = r2.label AND p.k = r2.k + 1 LEFT JOIN LATERAL (SELECT min(m.at_pos) AS p, min(m.fin) AS f FROM m WHERE m.label = r2.label AND m.at_pos >= r2.since AND m.n = p.number) f ON true),
+h AS (SELECT label, number, at_pos, since FROM r2 WHERE at_pos IS NOT NULL), x AS (SELECT h.label, h.number, m.n, min(m.at_pos) AS fin FROM h JOIN q ON q.label = h.label AND q.number > h.number JOIN m ON m.label = h.label AND m.n = q.number AND m.at_pos >= h.since GROUP BY 1, 2, 3),
+y AS (SELECT label, number, arg_min(fin, n) AS fin FROM x GROUP BY 1, 2), z AS (SELECT h.label, h.number, {r"regexp_replace(substr(t, at_pos::BIGINT + 1, coalesce(fin, length(t))::BIGINT - at_pos::BIGINT), '^\s+|\s+$', '', 'g')"} AS answer FROM h JOIN t USING (label) LEFT JOIN y USING (label, number))
+SELECT label, number, md5(answer) AS answer, 'line' AS found FROM b1 UNION ALL SELECT label, number, md5(answer), 'inside' FROM z WHERE length(answer) > 10""")
+def answers_inside_lines(spark, sf):
+    p, line = F.col("pos"), F.col("line")
+    inside = F.concat(F.substring(line, 1, 25), F.lit(" "), F.floor(p % 45 / 5) + 1, F.lit(") Thus "), F.substr(line, F.lit(26)))
+    decoys = F.concat(F.substring(line, 1, 9), F.lit(" 1."), p % 9, F.lit(" Km/"), p % 9, F.lit(" At ("), p % 7 + 3, F.lit(" ("), line)
+    s = lines(spark, sf).select(F.col("doc_id").alias("label"), "pos", F.when(p % 5 == 0, F.concat(F.floor(p % 20 / 5) + 1, F.lit(". "), line)).when(p % 5 == 2, inside).when(p % 5 == 3, decoys).otherwise(line).alias("line"))
+    q = table(spark, sf, "documents").select(F.col("doc_id").alias("label"), F.explode(F.array(*map(F.lit, (1, 2, 4, 5, 7, 9)))).alias("number")).distinct()
+    return segment.paired_answers(q, s).select("label", F.col("number").cast("int").alias("number"), _md5(F.col("answer")).alias("answer"), "found")
+
+
 @register(f"""WITH RECURSIVE {LINES}, l AS (SELECT doc_id, pos, CASE WHEN pos % 4 < 2 THEN CASE WHEN pos % 8 = 0 THEN 'A' ELSE '' END || (pos % 12 // 4 + 1) || '. ' ELSE '' END || line AS line FROM lines),
 n AS (SELECT doc_id, pos, regexp_extract(line, '^\\s*(?:([A-Z])\\d{{1,2}}|\\d{{1,2}})\\.', 1) AS prefix, regexp_extract(line, '^\\s*[A-Z]?(\\d{{1,2}})\\.', 1) AS n FROM l WHERE regexp_matches(line, '^\\s*[A-Z]?\\d{{1,2}}\\.')),
 x AS (SELECT doc_id, pos, prefix, n::BIGINT AS n, row_number() OVER (PARTITION BY doc_id, prefix ORDER BY pos) AS k FROM n),
@@ -207,6 +231,22 @@ def prompt_answers(spark, sf):
     return g.select("doc", F.explode(segment.bounded_answers(F.col("text"), F.col("places"))).alias("r")).select("doc", "r.n", _md5(F.col("r.answer")).alias("answer"))
 
 
+@register(r"""WITH RECURSIVE c AS (SELECT conv_id AS doc, turn, role, text, regexp_replace(text, '[,.;:-]', '', 'g') AS lost FROM conversations WHERE text IS NOT NULL), u AS (SELECT doc, text AS p, row_number() OVER (PARTITION BY doc ORDER BY turn, text) AS n FROM c WHERE role = 'user'),
+d AS (SELECT doc, string_agg(CASE WHEN role = 'user' THEN lost ELSE text END, chr(10) ORDER BY turn, role, text) AS t FROM c GROUP BY 1), h AS (SELECT doc, t, ltrim(regexp_replace(regexp_replace(lower(t), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g')) AS hay FROM d),
+k AS (SELECT doc, list(i ORDER BY i) AS at_pos FROM (SELECT doc, i, k, lag(k) OVER (PARTITION BY doc ORDER BY i) AS b FROM (SELECT doc, i - 1 AS i, CASE WHEN regexp_matches(substr(t, i, 1), '^\s$') THEN 1 WHEN regexp_matches(substr(t, i, 1), '^[\p{L}\p{N}]$') THEN 2 ELSE 0 END AS k FROM (SELECT doc, t, unnest(range(1, length(t) + 1)) AS i FROM d)) WHERE k > 0) WHERE k = 2 OR b = 2 GROUP BY 1),
+w AS (SELECT doc, n, trim(left(x, 60)) AS a, trim(left(x, 40)) AS b, trim(left(y, 80)) AS f FROM (SELECT doc, n, trim(regexp_replace(regexp_replace(lower(p), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g')) AS x, trim(regexp_replace(regexp_replace(lower(regexp_extract(p, '(?is)(?:^|\s)(?:\((?:a|b|c|i|ii)\)|(?:a|b|c|i|ii|iii|iv|v)\.)\s.*')), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g')) AS y FROM u)),
+r AS (SELECT doc, 0::BIGINT AS n, 0::BIGINT AS since, NULL::BIGINT AS at_pos FROM h UNION ALL
+  SELECT doc, n, coalesce(at_pos + 1, since), at_pos FROM (SELECT w.doc, w.n, r.since, coalesce(CASE WHEN length(f) >= 8 AND contains(substr(hay, r.since + 1), f) THEN r.since + instr(substr(hay, r.since + 1), f) - 1 END, CASE WHEN length(a) >= 8 AND contains(substr(hay, r.since + 1), a) THEN r.since + instr(substr(hay, r.since + 1), a) - 1 END, CASE WHEN length(b) >= 8 AND contains(substr(hay, r.since + 1), b) THEN r.since + instr(substr(hay, r.since + 1), b) - 1 END) AS at_pos FROM r JOIN w ON w.doc = r.doc AND w.n = r.n + 1 JOIN h ON h.doc = r.doc) z)
+SELECT r.doc, n, k.at_pos[r.at_pos + 1]::BIGINT AS place FROM r JOIN k USING (doc) WHERE r.at_pos IS NOT NULL""")
+def prompt_places(spark, sf):
+    """Users' turns sought in texts that have lost their marks."""
+    c = table(spark, sf, "conversations").where("text is not null")
+    t = F.when(F.col("role") == "user", F.regexp_replace("text", "[,.;:-]", "")).otherwise(F.col("text"))
+    in_order = lambda x: F.transform(F.array_sort(F.collect_list(x)), lambda y: y["t"])
+    g = c.groupBy(F.col("conv_id").alias("doc")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", t.alias("t")))), lambda y: y["t"]).alias("all"), in_order(F.when(F.col("role") == "user", F.struct("turn", F.col("text").alias("t")))).alias("p"))
+    return g.select("doc", F.explode(segment.projected_prompts(F.array_join("all", "\n"), F.col("p"))).alias("x")).select("doc", "x.n", F.col("x.at").alias("place"))
+
+
 @register()
 def paper_parts(spark, sf):
     p = lines(spark, sf)

@@ -129,3 +129,52 @@ def test_upper_median_and_percentile(spark):
     for at in (0.1, 0.5):
         want = {g: sorted(v for h, v in data if h == g)[int(sum(h == g for h, _ in data) * at)] for g in range(5)}
         assert {r["g"]: r["median"] for r in sequence.upper_median(df, ["g"], "v", at).collect()} == want
+
+
+def plain_inside(stream, pending, numbers, least=10):
+    """Answers of pending numbers inside a stream, by scanning it for each."""
+    at, out = 0, {}
+    seek = lambda n, since: re.compile(rf"(?<![A-Za-z0-9./]){n}[.):]?\s+(?=[A-Z(])").search(stream, since)
+    for n in sorted(pending):
+        m = seek(n, at)
+        if not m:
+            continue
+        later = next((x for x in (seek(k, m.end()) for k in sorted(numbers) if k > n) if x), None)
+        body = stream[m.start() : later.start() if later else len(stream)].strip()
+        if len(body) > least:
+            out[n] = body
+        at = m.end()
+    return out
+
+
+def test_answers_inside_lines_are_those_of_the_plain_scan(spark):
+    r = random.Random(3)
+    words = ["km", "1. Then", "2) So", "3 (", "x/3 No", "1.2 No", "12: Twelve", "4.", "then", "Now", "5 5 Up", "7: It follows", "2 M", "a3 No", "é3. Yes"]
+    texts = {k: [" ".join(r.choice(words) for _ in range(r.randrange(0, 9))) for _ in range(r.randrange(1, 12))] for k in range(60)}
+    s = spark.createDataFrame([(k, p, x if x else None, "clash") for k, ls in texts.items() for p, x in enumerate(ls)], "label long, pos long, line string, answer string")
+    numbers = (1, 2, 3, 4, 5, 7, 12)
+    q = spark.createDataFrame([(k, n, "clash") for k in texts for n in numbers] * 2 + [(0, None, None)], "label long, number long, answer string")
+    pending = q.where("number <> 4 and (label + number) % 3 > 0")
+    got = {k: {} for k in texts}
+    for x in segment.inline_answers(pending, q, s).collect():
+        assert x["number"] not in got[x["label"]]
+        got[x["label"]][x["number"]] = x["answer"]
+    assert got == {k: plain_inside("\n".join(ls), [n for n in numbers if n != 4 and (k + n) % 3], numbers) for k, ls in texts.items()}
+    assert sum(map(len, got.values())) > 40
+    assert segment.inline_answers(pending, q, s.limit(0)).count() == segment.inline_answers(pending.limit(0), q, s).count() == 0
+
+
+def test_answers_come_from_lines_first(spark):
+    s = spark.createDataFrame([("a", 0, "1. the first answer"), ("a", 1, "so x = 4 and 2. Then the second"), ("a", 2, "3. third of them"), ("b", 0, "1. short")], "label string, pos long, line string")
+    q = spark.createDataFrame([(k, n) for k in "abc" for n in (1, 2, 3)], "label string, number int")
+    got = {(x["label"], x["number"]): (x["answer"], x["found"]) for x in segment.paired_answers(q, s).collect()}
+    assert got == {("a", 1): ("1. the first answer\nso x = 4 and 2. Then the second", "line"), ("a", 2): ("2. Then the second\n3. third of them", "inside"), ("a", 3): ("3. third of them", "line")}
+
+
+def test_prompts_are_found_without_their_symbols(spark):
+    text = "Cover\n1. Let z = 1-cos(2t), where t is real!\na. Find z*z in form  a + b [2 marks]\n2. Prove: it holds; for all n\n(b) again: Prove it holds for all n\nend"
+    prompts = ["Let . where t is real\n(a) Find zz, in form a + b", "Prove it holds, for all n", "nowhere to be seen", "it holds for all", "short"]
+    got = one(spark, segment.projected_prompts(F.lit(text), F.array(*map(F.lit, prompts))))
+    assert [(x["n"], text[x["at"] :][:12]) for x in got] == [(1, "a. Find z*z "), (2, "Prove: it ho"), (4, "it holds; fo")]
+    assert one(spark, segment.projected_prompts(F.lit(None).cast("string"), F.array(F.lit("long enough")))) in (None, [])
+    assert one(spark, segment.projected_prompts(F.lit(""), F.array(F.lit("long enough")))) == [] and one(spark, segment.projected_prompts(F.lit("x"), F.array().cast("array<string>"))) == []
