@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import banks, cleaning, documents, extracts, pages, segments, sequences, stores, streams
+from lectern.plans import banks, cleaning, documents, extracts, pages, papers, segments, sequences, stores, streams
 
-PARTS = (banks, sequences, documents, cleaning, extracts, segments, pages, stores, streams)
+PARTS = (banks, sequences, documents, cleaning, extracts, segments, pages, papers, stores, streams)
 
 
 def queries() -> dict:
