@@ -35,6 +35,26 @@ def no_orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.join(parent.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("detail")).select((F.col("detail") == 0).alias("ok"), "detail")
 
 
+def same_total(rows: DataFrame, declared: DataFrame, n: str) -> DataFrame:
+    """The rows are as many as ``declared`` counts in sum; ``detail`` is by how many they differ."""
+    one = rows.agg(F.count(F.lit(1)).alias("x")).unionByName(declared.agg((-F.coalesce(F.sum(n), F.lit(0))).cast("long").alias("x")))
+    d = one.agg(F.abs(F.sum("x")).alias("detail"))
+    return d.select((F.col("detail") == 0).alias("ok"), "detail")
+
+
+def totals_agree(parents: DataFrame, children: DataFrame, key: str, n: str) -> DataFrame:
+    """Every parent declares in ``n`` as many children as it has; a null declares nothing and is no fault."""
+    c = children.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+    return none_where(parents.join(c, key, "left"), F.col(n) != F.coalesce("_c", F.lit(0)))
+
+
+def unshared(df: DataFrame, path: str) -> DataFrame:
+    """No two rows have the same path; ``detail`` counts the rows after the first of each. Nulls share nothing."""
+    g = df.where(F.col(path).isNotNull()).groupBy(path).agg(F.count(F.lit(1)).alias("n"))
+    d = g.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("detail"))
+    return d.select((F.col("detail") == 0).alias("ok"), "detail")
+
+
 def coverage(parents: DataFrame, children: DataFrame, key: str, answer: Column, has_answers: str) -> DataFrame:
     """Per parent: items, answered items, misleading flag and a four-state status."""
     c = children.groupBy(key).agg(F.count(F.lit(1)).alias("n_items"), F.count_if(answer).alias("n_answered"))

@@ -315,6 +315,31 @@ def integrity(spark, sf):
         ("no furniture", quality.none_where(d, F.contains("text", F.lit("All rights reserved")))), ("lengths agree", quality.none_where(d, F.col("n_chars") != F.length("text")))])
 
 
+@register("""WITH q AS (SELECT l_suppkey AS book_id, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber < 6 THEN 'fig' || (l_partkey % 400) || '.png' END AS image, CASE l_returnflag WHEN 'R' THEN 'R e v i e w set' WHEN 'N' THEN 'Section ' || l_linestatus END AS section FROM lineitem),
+b AS (SELECT s_suppkey AS book_id, CASE WHEN s_suppkey % 10 <> 3 THEN count(q.id) + CASE WHEN s_suppkey % 10 = 7 THEN 1 ELSE 0 END END AS total FROM supplier LEFT JOIN q ON q.book_id = s_suppkey GROUP BY 1), f AS (SELECT 'fig' || p_partkey || '.png' AS image FROM part),
+n AS (SELECT DISTINCT section, len(list_filter(string_split(section, ' '), lambda t: regexp_matches(t, '^[A-Za-z]$'))) AS ones, len(string_split(section, ' ')) AS toks FROM q)
+SELECT 'rows equal the declared sum' AS check_name, (SELECT count(*) FROM q) = (SELECT sum(total) FROM b) AS ok, abs((SELECT count(*) FROM q) - (SELECT sum(total) FROM b))::BIGINT AS detail
+UNION ALL SELECT 'ids unique', count(*) = 0, count(*) FROM (SELECT id FROM q GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'images resolve', count(*) = 0, count(*) FROM q WHERE image IS NOT NULL AND image NOT IN (SELECT image FROM f)
+UNION ALL SELECT 'images unshared', coalesce(sum(n - 1), 0) = 0, coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT image, count(*) AS n FROM q WHERE image IS NOT NULL GROUP BY 1)
+UNION ALL SELECT 'section names whole', count(*) = 0, count(*) FROM n WHERE section IS NULL OR (toks >= 4 AND ones >= 0.45 * toks)
+UNION ALL SELECT 'totals agree', count(*) = 0, count(*) FROM b JOIN (SELECT s_suppkey AS book_id, count(id) AS c FROM supplier LEFT JOIN q ON q.book_id = s_suppkey GROUP BY 1) USING (book_id) WHERE total <> c""")
+def book_integrity(spark, sf):
+    """A bank's books: declared sums and totals, ids, images and section names."""
+    line = F.col("l_linenumber")
+    q = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("book_id"), (F.col("l_orderkey") * 10 + line).alias("id"), F.when(line < 6, F.concat(F.lit("fig"), F.col("l_partkey") % 400, F.lit(".png"))).alias("image"),
+                                            F.when(F.col("l_returnflag") == "R", "R e v i e w set").when(F.col("l_returnflag") == "N", F.concat(F.lit("Section "), "l_linestatus")).alias("section"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("book_id"))
+    b = s.join(q.groupBy("book_id").agg(F.count(F.lit(1)).alias("c")), "book_id", "left")
+    b = b.select("book_id", F.when(F.col("book_id") % 10 != 3, F.coalesce("c", F.lit(0)) + (F.col("book_id") % 10 == 7).cast("int")).alias("total"))
+    f = table(spark, sf, "part").select(F.concat(F.lit("fig"), "p_partkey", F.lit(".png")).alias("image"))
+    tokens = F.split("section", " ")
+    ones = F.size(F.filter(tokens, lambda t: F.regexp_like(t, F.lit("^[A-Za-z]$"))))
+    broken = F.col("section").isNull() | ((F.size(tokens) >= 4) & (ones >= 0.45 * F.size(tokens)))
+    return quality.integrity([("rows equal the declared sum", quality.same_total(q, b, "total")), ("ids unique", quality.unique(q, "id")), ("images resolve", quality.no_orphans(q.where("image is not null"), f, "image")),
+                              ("images unshared", quality.unshared(q, "image")), ("section names whole", quality.none_where(q.select("section").distinct(), broken)), ("totals agree", quality.totals_agree(b, q, "book_id", "total"))])
+
+
 @register("SELECT l_suppkey, l_returnflag AS section, count(*) AS n_items, min(l_orderkey) AS first_item FROM lineitem GROUP BY 1, 2")
 def book_sections(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_suppkey", F.coalesce("l_returnflag", F.lit("General")).alias("section")).agg(F.count(F.lit(1)).alias("n_items"), F.min("l_orderkey").alias("first_item"))

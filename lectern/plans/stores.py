@@ -11,7 +11,7 @@ from lectern.functions import text
 from lectern.operators import search, state
 from lectern.plans.bindings import QUESTIONS, questions, table
 from lectern.plans.registry import registry
-from lectern.sources import readers, writers
+from lectern.sources import readers, resume, writers
 from lectern.streaming.run import shared_dir
 
 QUERIES, ORACLES, register = registry()
@@ -79,6 +79,17 @@ def stored_partitions(spark, sf):
     return spark.read.schema("id long, version string, part string").parquet(path).select("id", "part", "version")
 
 
+@register("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'first' WHEN c_custkey % 3 = 1 AND c_nationkey < 12 THEN 'second' ELSE 'third' END AS run, CASE WHEN c_acctbal < 0 THEN 'failed' ELSE 'ok' END AS status FROM customer""")
+def resumed_jobs(spark, sf):
+    """Three runs over growing lists of jobs into one table: each does what those before left."""
+    path = _folder(spark, "jobs")
+    jobs = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_acctbal")
+    k = F.col("id") % 3
+    for name, wanted in (("first", k == 0), ("second", (k < 2) & ((k == 0) | (F.col("c_nationkey") < 12))), ("third", F.lit(True))):
+        resume.run_pending(jobs.where(wanted), path, "id", lambda j, name=name: j.select("id", F.lit(name).alias("run"), F.when(F.col("c_acctbal") < 0, "failed").otherwise("ok").alias("status")))
+    return spark.read.schema("id long, run string, status string").parquet(path)
+
+
 @register("SELECT c_custkey AS id, c_mktsegment AS segment, c_acctbal AS balance FROM customer")
 def snapshot_versions(spark, sf):
     base = _folder(spark, "snapshots")
