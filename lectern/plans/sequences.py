@@ -140,7 +140,8 @@ def asof_page(spark, sf):
 @register("""WITH e AS (SELECT user_id, event_id, ts, event_type, epoch(ts)::BIGINT AS sec FROM events), s AS (SELECT user_id, sec, max(event_id) AS banner FROM e WHERE event_type = 'view' GROUP BY 1, 2)
 SELECT e.user_id, e.event_id, s.banner FROM e ASOF LEFT JOIN s ON e.user_id = s.user_id AND e.sec >= s.sec WHERE event_type <> 'view'""")
 def asof_section(spark, sf):
-    e = table(spark, sf, "events").withColumn("at", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    # whole seconds by rounding, half to even, as a cast of SQL does
+    e = table(spark, sf, "events").withColumn("at", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long"))
     s = e.where("event_type = 'view'").groupBy("user_id", "at").agg(F.max("event_id").alias("banner"))
     l = e.where("event_type <> 'view'").select("user_id", "event_id", "at")
     return joins.asof_backward(l, s, ["user_id"], "at", ["banner"]).select("user_id", "event_id", "banner")
