@@ -214,8 +214,10 @@ def pair_by_code(spark, sf):
 @register("""WITH x AS (SELECT l_partkey AS code, l_orderkey * 10 + l_linenumber AS seq, l_suppkey AS body FROM lineitem)
 SELECT code, arg_min(body, seq) AS question, CASE WHEN count(*) > 1 THEN arg_max(body, seq) END AS markscheme, count(*) AS occurrences FROM x GROUP BY 1""")
 def occurrence_join(spark, sf):
-    x = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("code"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_suppkey").alias("body"))
-    return joins.occurrence_pairs(x, "code", "seq", "body")
+    # rows of one order and line are taken as they stand in the files
+    x = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("code"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_suppkey").alias("body"),
+                                            F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return joins.occurrence_pairs(x, "code", "seq", "body", "file", "row")
 
 
 @register("""SELECT c_custkey AS id FROM customer WHERE c_mktsegment IS NULL OR c_custkey % 10 = 0 OR (c_nationkey || ':' || (c_custkey % 40)) NOT IN (SELECT s_nationkey || ':' || (s_suppkey % 40) FROM supplier)""")
