@@ -54,10 +54,14 @@ def code_page_spans(hits: DataFrame, by: Sequence[str], code: str, page: str, re
     return first.withColumn("last_page", F.greatest(F.lead("first_page").over(w) - 1, F.col("first_page")))
 
 
-def markscheme_rows(lines: DataFrame, by: Sequence[str], order: str, line: str) -> DataFrame:
-    """Lines grouped under the last number (and letter) that opened a row: (by, number, letter, content)."""
-    number = F.nullif(F.regexp_extract(line, r"^\s*(\d{1,2})\b", 1), F.lit("")).cast("int")
-    letter = F.nullif(F.regexp_extract(line, r"^\s*(?:\d{1,2}\W*)?\(?([a-h])\)", 1), F.lit(""))
+def markscheme_rows(lines: DataFrame, by: Sequence[str], order: str, line: str, opens: str | None = None) -> DataFrame:
+    """Lines grouped under the last number (and letter) that opened a row: (by, number, letter, content).
+
+    One or two digits open a row, more of them only before a point or bracket. ``opens`` is the column that is looked at, if not the line.
+    """
+    head = opens or line
+    number = F.nullif(F.regexp_extract(head, r"^\s*(\d{1,2}\b|\d+(?=[.)]))", 1), F.lit("")).try_cast("int")
+    letter = F.nullif(F.regexp_extract(head, r"^\s*(?:(?:\d{1,2}\b|\d+(?=[.)]))\W*)?\(?([a-h])\)", 1), F.lit(""))
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     key = F.when(number.isNotNull() | letter.isNotNull(), F.struct(number.isNotNull().alias("fresh"), letter.alias("letter")))
     d = lines.withColumn("number", F.last(number, True).over(w)).withColumn("_k", F.last(key, True).over(w))
