@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions import matching
+
 
 def overlap(a: Column, b: Column) -> Column:
     """Shared tokens over the smaller set."""
@@ -27,4 +27,4 @@ def trigrams(c: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio, which is neither an edit distance nor a Jaccard."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(matching.ratios([x or "" for x in a], [y or "" for y in b]), dtype="float64")

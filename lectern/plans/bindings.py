@@ -53,3 +53,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES = """
 lines AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"""
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Few bytes that are dear to work on, dealt by key to many tasks: a file's splits and merged partitions would go by bytes."""
+    return df.repartition(max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import similarity, text
 from lectern.operators import align, locate
-from lectern.plans.bindings import table
+from lectern.plans.bindings import dealt, table
 from lectern.plans.registry import registry
 
 QUERIES, ORACLES, register = registry()
@@ -164,7 +164,7 @@ def seeded_locate(spark, sf):
 
 @register()
 def sequence_ratio(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = dealt(table(spark, sf, "conversations"), "conv_id", "turn")
     return c.select("conv_id", "turn", F.round(similarity.sequence_ratio(F.col("text"), F.reverse("text")), 6).alias("ratio"))
 
 
