@@ -7,7 +7,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.functions import matching
 
 
 def ratio(a: str, b: str) -> float:
@@ -42,50 +46,87 @@ def fuzzy_locate(pairs: DataFrame, least: float = 0.3, window: int | None = 14_0
     return pairs.select("key", "needle", "hay").mapInPandas(run, "key long, found_at long, score double")
 
 
+def similarities(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """The ratio of each element of ``a`` with each of ``b``."""
+    return matching.ratios([x for x in a for _ in b], [*b] * len(a)).reshape(len(a), len(b))
+
+
 def align(a: Sequence[str], b: Sequence[str], gap: float) -> list[tuple[int, int]]:
     """Monotone alignment of greatest total similarity less ``gap`` for every element left out."""
-    score = np.array([[ratio(x, y) for y in b] for x in a]).reshape(len(a), len(b))
-    best = np.zeros((len(a) + 1, len(b) + 1))
-    best[1:, 0] = -gap * np.arange(1, len(a) + 1)
-    best[0, 1:] = -gap * np.arange(1, len(b) + 1)
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            best[i, j] = max(best[i - 1, j - 1] + score[i - 1, j - 1], best[i - 1, j] - gap, best[i, j - 1] - gap)
-    out, i, j = [], len(a), len(b)
+    return best_path(similarities(a, b), gap)
+
+
+def greedy(a: Sequence[str], b: Sequence[str], least: float) -> list[tuple[int, int]]:
+    """Each element of ``a`` in turn takes the most similar later unused one of ``b``, if similar enough."""
+    return taken_in_turn(similarities(a, b), least)
+
+
+def best_path(score: np.ndarray, gap: float) -> list[tuple[int, int]]:
+    """:func:`align` by the similarities there are."""
+    n, m = score.shape
+    s = score.tolist()
+    best = [[-gap * j if j else 0.0 for j in range(m + 1)]]
+    for i in range(1, n + 1):
+        above, row = best[-1], [-gap * i]
+        for j in range(1, m + 1):
+            row.append(max(above[j - 1] + s[i - 1][j - 1], above[j] - gap, row[j - 1] - gap))
+        best.append(row)
+    out, i, j = [], n, m
     while i and j:
-        if best[i, j] == best[i - 1, j - 1] + score[i - 1, j - 1]:
+        if best[i][j] == best[i - 1][j - 1] + s[i - 1][j - 1]:
             i, j = i - 1, j - 1
             out.append((i, j))
-        elif best[i, j] == best[i - 1, j] - gap:
+        elif best[i][j] == best[i - 1][j] - gap:
             i -= 1
         else:
             j -= 1
     return out[::-1]
 
 
-def greedy(a: Sequence[str], b: Sequence[str], least: float) -> list[tuple[int, int]]:
-    """Each element of ``a`` in turn takes the most similar later unused one of ``b``, if similar enough."""
+def taken_in_turn(score: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """:func:`greedy` by the similarities there are."""
     out, after = [], 0
-    for i, x in enumerate(a):
-        got = max(((ratio(x, y), -j) for j, y in enumerate(b[after:], after)), default=(0.0, 0))
-        if got[0] >= least:
-            out.append((i, -got[1]))
-            after = 1 - got[1]
+    for i, row in enumerate(score):
+        if after == len(row):
+            break
+        j = after + int(row[after:].argmax())
+        if row[j] >= least:
+            out.append((i, j))
+            after = j + 1
     return out
 
 
-def aligned(docs: DataFrame, gap: float = 0.3, method: str = "global", least: float = 0.3) -> DataFrame:
-    """``docs`` (doc, left array, right array) -> (doc, left_pos, right_pos, score); a document is one row."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc, left, right in zip(pdf["doc"], pdf["left"], pdf["right"], strict=True):
-                left, right = ([] if x is None else [y or "" for y in x] for x in (left, right))
-                pairs = align(left, right, gap) if method == "global" else greedy(left, right, least)
-                out += [(doc, i, j, round(ratio(left[i], right[j]), 6)) for i, j in pairs]
-            yield pd.DataFrame(out, columns=["doc", "left_pos", "right_pos", "score"])
+#: Pairs that one row of work holds, about.
+PAIRS = 512
 
-    return docs.select("doc", "left", "right").mapInPandas(run, "doc long, left_pos long, right_pos long, score double")
+
+def aligned(docs: DataFrame, gap: float = 0.3, method: str = "global", least: float = 0.3, tasks: int = 64) -> DataFrame:
+    """``docs`` (doc, left array, right array) -> (doc, left_pos, right_pos, score).
+
+    A document's pairs are compared by blocks of its left elements, dealt to ``tasks`` tasks, so a long one is many rows; only numbers
+    come together again.
+    """
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                left, right = ([y or "" for y in x] for x in (left, right))
+                out.append(similarities(left, right).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.list_(pa.float64())))], ["doc", "block", "scores"])
+
+    def pairs(table: pa.Table) -> pa.Table:
+        score = np.array([row for some in table.sort_by("block")["scores"].to_pylist() for row in some])
+        got = best_path(score, gap) if method == "global" else taken_in_turn(score, least)
+        i, j = ([p[k] for p in got] for k in range(2))
+        return pa.table({"doc": pa.array([table["doc"][0].as_py()] * len(got), pa.int64()), "left_pos": pa.array(i, pa.int64()), "right_pos": pa.array(j, pa.int64()),
+                         "score": pa.array([round(float(score[p]), 6) for p in got], pa.float64())})
+
+    step = F.greatest(F.lit(1), F.floor(F.lit(PAIRS) / F.size("right"))).cast("int")
+    some = docs.where("size(left) > 0 and size(right) > 0").select("doc", "left", "right", step.alias("step"))
+    blocks = some.select("doc", F.explode(F.sequence(F.lit(0), F.floor((F.size("left") - 1) / F.col("step")).cast("int"))).alias("block"), "left", "right", "step")
+    blocks = blocks.select("doc", "block", F.slice("left", F.col("block") * F.col("step") + 1, F.col("step")).alias("left"), "right").repartition(tasks, "doc", "block")
+    told = blocks.mapInArrow(scores, "doc long, block int, scores array<array<double>>")
+    return told.groupBy("doc").applyInArrow(pairs, "doc long, left_pos long, right_pos long, score double")
 
 
 def clusters(boxes: Sequence[tuple[float, float, float, float]], pad: float) -> list[int]:
