@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions import matching
 from lectern.operators.joins import interpolate
 from lectern.operators.segment import repaired_answers
 
@@ -180,7 +181,7 @@ def projected(text: str) -> tuple[str, np.ndarray]:
 def window_scores(needle: str, hay: str, least: float, step: int) -> list[tuple[int, float]]:
     """(place, ratio) of the windows at multiples of ``step`` that reach ``least``.
 
-    What needle and window have in common as bags of characters bounds the ratio; windows below are not compared.
+    What needle and window have in common as bags of characters, and then as sequences, bounds the ratio; windows below are not compared.
     """
     n = len(needle)
     if n < 12 or len(hay) < n:
@@ -190,15 +191,40 @@ def window_scores(needle: str, hay: str, least: float, step: int) -> list[tuple[
     for c, k in Counter(needle).items():
         seen = np.append(0, np.cumsum(codes == ord(c)))
         common += np.minimum(seen[places + n] - seen[places], k)
-    match = difflib.SequenceMatcher(None, autojunk=False)
-    match.set_seq2(needle)
-    out = []
-    for p in places[common >= least * n - 1e-9]:
-        match.set_seq1(hay[p : p + n])
-        score = match.ratio()
-        if score >= least:
-            out.append((int(p), score))
-    return out
+    some = places[common >= least * n - 1e-9]
+    some = some[longest_common(needle, codes, some) >= least * n - 1e-9].tolist()
+    score = matching.ratios([hay[p : p + n] for p in some], [needle] * len(some)).tolist()
+    return [(p, s) for p, s in zip(some, score, strict=True) if s >= least]
+
+
+#: Bits of a word that hold places of the needle; the one above them takes the carry.
+_BITS = 62
+
+
+def longest_common(needle: str, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of the needle and of the window at each place: no ratio's blocks hold more.
+
+    A bit for each place of the needle, a row of words for each window: the windows' k-th characters are taken together.
+    """
+    n, one, full = len(needle), np.uint64(1), np.uint64((1 << _BITS) - 1)
+    letters, at = np.unique(_codes(needle), return_inverse=True)
+    words = -(-n // _BITS)
+    mask = np.zeros((len(letters) + 1, words), np.uint64)
+    for k, c in enumerate(at.tolist()):
+        mask[c, k // _BITS] |= one << np.uint64(k % _BITS)
+    found = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
+    which = np.where(letters[found] == codes, found, len(letters))
+    v = np.full((words, len(places)), full)
+    for k in range(n):
+        c = which[places + k]
+        carry = np.zeros(len(places), np.uint64)
+        for w in range(words):
+            u = v[w] & mask[c, w]
+            total = v[w] + u + carry
+            carry = total >> np.uint64(_BITS)
+            v[w] = (total & full) | (v[w] - u)
+    used = [full if w < words - 1 else np.uint64((1 << (n - w * _BITS)) - 1) for w in range(words)]
+    return sum((np.bitwise_count(~v[w] & used[w]).astype(np.int64) for w in range(words)), np.zeros(len(places), np.int64))
 
 
 def heaviest_chain(places: list[list[tuple[int, float]]]) -> list[tuple[int, float] | None]:
@@ -231,11 +257,11 @@ def heaviest_chain(places: list[list[tuple[int, float]]]) -> list[tuple[int, flo
     return out
 
 
-def repaired_papers(records: DataFrame, papers: DataFrame, least: float = 0.30, step: int = 8, tail: int = 90, sign: str = "Examiners report") -> DataFrame:
+def repaired_papers(records: DataFrame, papers: DataFrame, least: float = 0.30, step: int = 8, tail: int = 90, sign: str = "Examiners report", tasks: int = 64) -> DataFrame:
     """``records`` (paper, n, question, current) and ``papers`` (paper, text) -> paper, n, start, score, action, answer.
 
     A record's places are those of its question, or of its last ``tail`` characters, in the paper, compared on letters and digits; a record is a
-    row, so a paper's are searched side by side. The heaviest chain of places that rise with the records gives the sure starts, the
+    row, so a paper's are searched side by side, in ``tasks`` tasks. The heaviest chain of places that rise with the records gives the sure starts, the
     average stride and the line between neighbours the others (:func:`interpolate`). An answer reaches to the next start and is cut
     at ``sign``; it replaces the current one by the rule of :func:`repaired_answers`.
     """
@@ -262,7 +288,7 @@ def repaired_papers(records: DataFrame, papers: DataFrame, least: float = 0.30,
         return pa.table({"paper": table["paper"], "n": table["n"], "known": pa.array([g and g[0] for g in got], pa.int64()), "score": pa.array([g[1] if g else 0.0 for g in got], pa.float64())})
 
     text = papers.select("paper", F.coalesce("text", F.lit("")).alias("text"))
-    both = records.select("paper", "n", "question").join(text, "paper").repartition("paper", "n")
+    both = records.select("paper", "n", "question").join(text, "paper").repartition(tasks, "paper", "n")
     placed = both.mapInArrow(search, "paper long, n long, places array<struct<at:bigint,score:double>>")
     starts = placed.groupBy("paper").applyInArrow(chain, "paper long, n long, known long, score double")
     starts = starts.join(text.select("paper", F.length("text").alias("length")), "paper")
