@@ -174,8 +174,13 @@ def located_everywhere(needles: DataFrame, texts: DataFrame, least: float = 0.9,
 
 def projected(text: str) -> tuple[str, np.ndarray]:
     """Letters and digits of a text in lower case, and where each stands in it."""
-    kept = [(c, k) for k, c in enumerate(text) for c in c.lower() if c.isascii() and c.isalnum()]
-    return "".join(c for c, _ in kept), np.array([k for _, k in kept], np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    letters = np.array([ord(c.lower()) if (c := chr(k)).isalnum() else 0 for k in range(128)], np.uint8)
+    kept = np.where(codes < 128, letters[np.minimum(codes, 127)], 0).astype(np.uint8)
+    # beyond ASCII, two letters have one of it in lower case
+    kept[codes == ord("\u0130")], kept[codes == ord("\u212a")] = ord("i"), ord("k")
+    at = np.flatnonzero(kept)
+    return kept[at].tobytes().decode("ascii"), at
 
 
 def window_scores(needle: str, hay: str, least: float, step: int) -> list[tuple[int, float]]:
