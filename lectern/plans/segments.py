@@ -65,9 +65,9 @@ def grown_bands(spark, sf):
 t1 AS (SELECT doc_id, min(w) AS w FROM t WHERE w <> '' GROUP BY 1), j AS (SELECT w.doc_id, pos, lower(trim(word)) = t1.w AS same FROM w JOIN t1 USING (doc_id) WHERE starts_with(lower(trim(word)), left(t1.w, 5)))
 SELECT doc_id, coalesce(min(pos) FILTER (same), min(pos))::BIGINT * 2 AS top FROM j GROUP BY 1""")
 def first_word_tops(spark, sf):
-    w = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word")).withColumn("top", F.col("pos").cast("long") * 2)
+    w = table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words"))
     c = table(spark, sf, "conversations").where("turn = 0 and role = 'user'").select(F.col("conv_id").alias("doc_id"), F.lower(F.regexp_extract("text", "[A-Za-z]{4,}", 0)).alias("w")).where("w <> ''")
-    return layout.first_word_top(w, c.groupBy("doc_id").agg(F.min("w").alias("text")), ["doc_id"], "pos")
+    return layout.first_word_top(w, c.groupBy("doc_id").agg(F.min("w").alias("text")), ["doc_id"], lambda k: k * 2)
 
 
 @register(f"""WITH RECURSIVE {_I}, h AS (SELECT doc, pos, 9.0 + qty % 4 AS size, (v % 3) * 20 AS x0, pos * 14 AS top, pos * 14 + 10 AS bottom, 't' || v AS t FROM i), b AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) AS k FROM h WHERE size >= 11),
