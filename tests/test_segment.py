@@ -178,3 +178,28 @@ def test_prompts_are_found_without_their_symbols(spark):
     assert [(x["n"], text[x["at"] :][:12]) for x in got] == [(1, "a. Find z*z "), (2, "Prove: it ho"), (4, "it holds; fo")]
     assert one(spark, segment.projected_prompts(F.lit(None).cast("string"), F.array(F.lit("long enough")))) in (None, [])
     assert one(spark, segment.projected_prompts(F.lit(""), F.array(F.lit("long enough")))) == [] and one(spark, segment.projected_prompts(F.lit("x"), F.array().cast("array<string>"))) == []
+
+
+def test_near_duplicates_shuffle_no_pairs(spark):
+    # blocks of two documents: links are the same, and the plan joins no postings
+    from collections import Counter
+
+    docs = [(k, "a", " ".join(f"w{(k * j) % 11}" for j in range(1, 14 + k % 3))) for k in range(12)]
+    before, joins.DOCUMENTS = joins.DOCUMENTS, 2
+    try:
+        d = spark.createDataFrame(docs, "id long, s string, text string")
+        _, links = joins.near_duplicates(d, d, "s")
+        got = {(r["a"], r["b"]): r["jaccard"] for r in links.collect()}
+    finally:
+        joins.DOCUMENTS = before
+    bags = {i: Counter(t.split()) for i, _, t in docs}
+    rep = {i: min(j for j, _, u in docs if u == t) for i, _, t in docs}
+    want = {}
+    for a in set(rep.values()):
+        for b in set(rep.values()) - {a}:
+            j = (bags[a] & bags[b]).total() / (bags[a] | bags[b]).total()
+            if j >= 0.45 and len(set(list(bags[a].elements())[:10]) & set(bags[b])) >= 4:
+                want[a, b] = j
+    assert got == want and want
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join LeftOuter" not in plan
