@@ -7,7 +7,8 @@ transducer can read bytes left to right. Its state is the last token emitted and
 the bytes read since; it emits as soon as every split that a further byte could
 still ask for passes through one point (bounded lookahead: no longer than a
 token). States and arcs are made when first met (lazy determinisation) and kept
-in a table of bounded size; so are the composed arcs of whole pieces.
+in a table of bounded size; so are the composed arcs of whole pieces. Of a short
+piece only the arcs of its first bytes are kept.
 
 Decoding. Token bytes run through an incremental UTF-8 state machine whose state
 is the unfinished sequence; an ill-formed sequence gives U+FFFD. Arcs over whole
@@ -21,7 +22,9 @@ U+FFFD.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +36,12 @@ from lectern.llm import vector
 
 #: Entries that the table of pieces and those of arcs hold before they start anew; they bound memory and never change a result.
 TABLE_SIZE, ARCS = 1 << 19, 1 << 18
+#: Bytes of a piece whose arcs are kept; later ones are met seldom, and to make them anew takes less time than to look them up in large tables.
+HEAD = 4
 #: Longer pieces are run through the transducer each time instead of being kept whole.
 KEPT_PIECE = 64
 _NEVER = 1 << 62
+_BYTES = [bytes([k]) for k in range(256)]
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -50,7 +56,7 @@ class Transducer:
         self.longest = max(map(len, ranks))  # bounds the lookahead
         self.size = {i: len(t) for t, i in ranks.items()}
         self.edges: dict[int, tuple[list, list] | None] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -92,7 +98,7 @@ class Transducer:
 
         Among merges of one rank the leftmost runs first: before one inside t, after one inside u.
         """
-        got = self.apart.get((u, t))
+        got = self.apart.get(u << 32 | t)
         if got is None:
             if len(self.apart) >= ARCS:
                 self.apart.clear()
@@ -102,32 +108,30 @@ class Transducer:
                     r = ranks.get(a + b)
                     if r is not None and made_a < r < used_a and made_b < r <= used_b:
                         got = False
-            self.apart[u, t] = got
+            self.apart[u << 32 | t] = got
         return got
 
     def _last(self, before: int | None, buffer: bytes, last: tuple[int, ...]) -> int:
         # exactly one start fits, so the order of trial is free: most tokens are short
-        ranks, n, apart = self.ranks, len(buffer), self.apart
+        token, n, apart = self.ranks.get, len(buffer), self.apart.get
         for start in range(n - 1, max(0, n - self.longest) - 1, -1):
-            t = ranks.get(buffer[start:])
+            t = token(buffer[start:])
             if t is not None:
                 u = last[start - 1] if start else before
                 if u is None:
                     if self._edges(t):
                         return t
                     continue
-                fits = apart.get((u, t))
+                fits = apart(u << 32 | t)
                 if self._stay_apart(u, t) if fits is None else fits:
                     return t
         raise ValueError("the vocabulary lacks a byte")
 
     def _commit(self, buffer: bytes, last: tuple[int, ...]) -> int:
-        """The last place that every split still open passes through.
+        """The last place that every split still open of a buffer that begins no token passes through.
 
         A later token may start at a place only if what stands from there on begins some token.
         """
-        if buffer in self.prefixes:
-            return 0
         n, size, prefixes = len(buffer), self.size, self.prefixes
         place = n
         for j in range(n - 1, max(1, n - self.longest + 1) - 1, -1):
@@ -150,18 +154,18 @@ class Transducer:
 
     def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         before, buffer, last = self.states[state]
-        buffer += bytes([byte])
-        last += (self._last(before, buffer, last),)
-        commit = self._commit(buffer, last)
+        buffer += _BYTES[byte]
+        last = (*last, self._last(before, buffer, last))
         out: tuple[int, ...] = ()
-        if commit:
+        if buffer not in self.prefixes and (commit := self._commit(buffer, last)):
             out = self._tokens(last, commit)
             before, buffer, last = out[-1], buffer[commit:], last[commit:]
-        key = (before, buffer)
-        if key not in self.known:
-            self.known[key] = len(self.states)
+        key = before, buffer
+        known = self.known.get(key)
+        if known is None:
+            known = self.known[key] = len(self.states)
             self.states.append((before, buffer, last))
-        return self.known[key], out
+        return known, out
 
     def _tokens(self, last: tuple[int, ...], place: int) -> tuple[int, ...]:
         out = []
@@ -176,7 +180,7 @@ class Transducer:
         if len(self.arcs) >= ARCS:
             self.reset()
         state, out, arcs = 0, [], self.arcs
-        for byte in piece:
+        for byte in piece if len(piece) > KEPT_PIECE else piece[:HEAD]:
             arc = arcs.get(state << 8 | byte)
             if arc is None:
                 if len(arcs) >= 2 * ARCS:  # inside one very long piece: start the tables anew from this state
@@ -189,23 +193,49 @@ class Transducer:
             state, emitted = arc
             if emitted:
                 out += emitted
-        _, _, last = self.states[state]
+        before, buffer, last = self.states[state]
+        if HEAD < len(piece) <= KEPT_PIECE:
+            last = self._ahead(before, buffer + piece[HEAD:], last)
         return [*out, *self._tokens(last, len(last))]
 
+    def _ahead(self, before: int | None, buffer: bytes, last: tuple[int, ...]) -> list[int]:
+        """The last token at each place of the buffer, of which ``last`` has the first ones: arcs that are not kept, up to a short piece's end."""
+        token, apart, longest, last = self.ranks.get, self.apart.get, self.longest, list(last)
+        for n in range(len(last) + 1, len(buffer) + 1):
+            for start in range(n - 1, max(0, n - longest) - 1, -1):
+                t = token(buffer[start:n])
+                if t is not None:
+                    u = last[start - 1] if start else before
+                    fits = bool(self._edges(t)) if u is None else apart(u << 32 | t)
+                    if self._stay_apart(u, t) if fits is None else fits:
+                        last.append(t)
+                        break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+        return last
+
 
 class Encoder(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers; the composed arcs of the transducer."""
+    """piece -> its ids as little-endian unsigned 32-bit integers; the composed arcs of the transducer.
+
+    Half the table is set aside when it is full; a piece met again is taken back from there, so frequent ones stay.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.fst, self.pattern = Transducer(ranks), regex.compile(pattern)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.fst.run(piece.encode()), "<u4").tobytes()
+        ids = self.older.pop(piece, None)
+        if ids is None:
+            got = self.fst.run(piece.encode())
+            ids = struct.pack(f"<{len(got)}I", *got)
         if len(piece) <= KEPT_PIECE:
-            if len(self) >= TABLE_SIZE:
+            if len(self) >= TABLE_SIZE >> 1:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -299,17 +329,23 @@ def annotate(df: DataFrame, path: str, pattern: str, text_col: str = "text", wit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, dec = coder(path, pattern)
-        for batch in batches:
-            n, ids_sha, text_sha, all_ids = [], [], [], []
-            for raw in batch.column(batch.num_columns - 1):
-                text = (raw.as_py() or b"").decode("utf-8", "replace")
-                ids = enc.encode(text)
-                back = dec.decode(np.frombuffer(ids, "<u4").tolist())
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(back.encode()).hexdigest())
-                all_ids += [ids] if with_ids else []
-            new = [pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)] + ([pa.array(all_ids, pa.binary())] if with_ids else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, *added])
+        # the tables are of tuples without cycles, which the collector would go through again and again
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            for batch in batches:
+                n, ids_sha, text_sha, all_ids = [], [], [], []
+                for raw in batch.column(batch.num_columns - 1):
+                    ids = enc.encode((raw.as_py() or b"").decode("utf-8", "replace"))
+                    back = dec.decode(np.frombuffer(ids, "<u4").tolist())
+                    n.append(len(ids) // 4)
+                    ids_sha.append(hashlib.sha256(ids).hexdigest())
+                    text_sha.append(hashlib.sha256(back.encode()).hexdigest())
+                    all_ids += [ids] if with_ids else []
+                new = [pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)] + ([pa.array(all_ids, pa.binary())] if with_ids else [])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, *added])
+        finally:
+            if collects:
+                gc.enable()
 
     return src.mapInArrow(run, out_schema)

@@ -31,6 +31,27 @@ def test_bpe_equals_the_library_and_round_trips(text):
     assert dec.decode(ids) == text
 
 
+def test_bpe_keeps_the_first_arcs_of_short_pieces_only(monkeypatch):
+    words = [a + b + c for a in (" antion", " èreêou", "zqxv") for b in ("thandat", "ñarc", "erre") for c in ("inst", "leleê", "")]
+    enc = bpe.Encoder(RANKS, tokenizers.PATTERN)
+    got = [enc[w] for w in words]
+    assert len(enc.fst.arcs) <= 3 * bpe.HEAD
+    monkeypatch.setattr(bpe, "KEPT_PIECE", 0)  # every arc is kept
+    whole = bpe.Encoder(RANKS, tokenizers.PATTERN)
+    assert got == [whole[w] for w in words] and len(whole.fst.arcs) > 3 * bpe.HEAD
+
+
+def test_bpe_takes_frequent_pieces_back(monkeypatch):
+    monkeypatch.setattr(bpe, "TABLE_SIZE", 8)
+    enc = bpe.Encoder(RANKS, tokenizers.PATTERN)
+    runs = []
+    run = enc.fst.run
+    monkeypatch.setattr(enc.fst, "run", lambda piece: runs.append(piece) or run(piece))
+    for k in range(20):
+        assert enc[" often"] and enc[f" w{k}"] and len(enc) + len(enc.older) <= 8
+    assert runs.count(b" often") == 1
+
+
 def test_bpe_survives_a_full_table(monkeypatch):
     monkeypatch.setattr(bpe, "TABLE_SIZE", 64)
     monkeypatch.setattr(bpe, "ARCS", 64)
