@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -22,8 +22,12 @@ NEEDLES = 1 << 20
 #: Places of a text that one row stands for.
 CHUNK = 1 << 16
 _LONGEST_GRAM = 12
-#: Hashed slots that tell most runs that no needle holds.
-_SIEVE = 1 << 20
+#: Bits of the hashes by which runs are looked up, at most.
+_SLOT_BITS = 22
+#: Characters of short texts that are looked through together: few, so that their votes stay in a core's cache.
+_TOGETHER = 1 << 14
+#: Classes of letters that are counted, votes held at once and windows compared at once.
+_CLASSES, _VOTES, _WINDOWS = 128, 1 << 20, 1 << 12
 
 
 def seeds(size: int, least: float) -> tuple[int, int, int]:
@@ -44,84 +48,142 @@ def seeds(size: int, least: float) -> tuple[int, int, int]:
 
 def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     """A hash of every run of q characters; equal runs have equal hashes."""
+    m = np.uint64(0x9E3779B97F4A7C15)
     h = np.zeros(max(0, len(codes) - q + 1), np.uint64)
     for k in range(q):
-        h = (h + codes[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
+        h = h * m + codes[k : k + len(h)]
+    return (h ^ (h >> np.uint64(32))) * m
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
 
 
+def _spread(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, lo[k], lo[k] + 1, ...) for n[k] numbers from each."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) + np.repeat(lo - np.cumsum(n) + n, n)
+
+
 class Index:
-    """Where runs of needles stand, by length of the run: what is broadcast."""
+    """Where runs of needles stand, by length of the run, and how many of which letters they have: what is broadcast."""
 
     def __init__(self, needles: list[tuple[int, str]], least: float):
         self.needles, self.least = needles, least
-        self.rules = [seeds(len(t), least) for _, t in needles]
-        self.by_q: dict[int, tuple[np.ndarray, ...]] = {}
-        for q in {r[0] for r in self.rules} - {1}:
-            h, of, at = [], [], []
-            for k, (_, t) in enumerate(needles):
-                if self.rules[k][0] == q:
-                    g = _grams(_codes(t), q)
-                    h.append(g)
-                    of.append(np.full(len(g), k))
-                    at.append(np.arange(len(g)))
-            h, of, at = np.concatenate(h), np.concatenate(of), np.concatenate(at)
-            by = np.argsort(h, kind="stable")
-            sieve = np.zeros(_SIEVE, bool)
-            sieve[h % np.uint64(_SIEVE)] = True
-            self.by_q[q] = h[by], of[by], at[by], sieve
-        self.hits = np.array([r[1] for r in self.rules])
-
-    def places(self, codes: np.ndarray, n_places: int, step: int) -> dict[int, list[int]]:
-        """Per needle the places (multiples of ``step`` below ``n_places``) whose window may be like it."""
-        out: dict[int, list[int]] = {}
-        for k, (q, _, _) in enumerate(self.rules):
-            if q == 1:  # no run is sure to be shared: every place is looked at
-                out[k] = list(range(0, min(n_places, len(codes) - len(self.needles[k][1]) + 1), step))
-        for q, (h, of, at, sieve) in self.by_q.items():
-            g = _grams(codes, q)
-            may = np.flatnonzero(sieve[g % np.uint64(_SIEVE)])
-            lo = np.searchsorted(h, g[may], "left")
-            n = np.searchsorted(h, g[may], "right") - lo
-            j = np.repeat(may, n)
-            p = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(j))
-            needle = of[p]
-            # a needle with fewer hits in all than one window needs is nowhere
-            enough = (np.bincount(needle, minlength=len(self.hits)) >= self.hits)[needle]
+        codes = [_codes(t) for _, t in needles]
+        self.size = np.array([len(c) for c in codes])
+        self.q, self.hits, self.shift = np.array([seeds(len(t), least) for _, t in needles]).T
+        # letters of one class are taken for equal, so none in common are missed
+        self.bags = np.stack([np.bincount(c.astype(np.int64) % _CLASSES, minlength=_CLASSES) for c in codes])
+        self.by_q: dict[int, tuple] = {}
+        for q in set(self.q.tolist()) - {1}:
+            mine = np.flatnonzero(self.q == q)
+            grams = [_grams(codes[k], q) for k in mine]
+            of, at = _spread(np.zeros(len(mine), np.int64), np.array([len(g) for g in grams]))
+            bits = min(_SLOT_BITS, (8 * len(of)).bit_length())
+            slot = np.concatenate(grams) >> np.uint64(64 - bits)
+            by = np.argsort(slot, kind="stable")
+            begin = np.searchsorted(slot[by], np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+            self.by_q[q] = bits, begin, mine[of[by]], at[by]
+
+    def places(self, codes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(needle, place): the multiples of ``step`` whose window may be like the needle.
+
+        A run votes for its diagonal. The votes for a window lie within 2 shift of each other, so in two bins side by side;
+        where two such bins hold too few, nothing is sorted.
+        """
+        needles, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in np.flatnonzero(self.q == 1):  # no run is sure to be shared: every place is looked at
+            at = np.arange(0, len(codes) - self.size[k] + 1, step)
+            needles.append(np.full(len(at), k))
+            places.append(at)
+        for q, (bits, begin, of, at) in self.by_q.items():
+            slot = (_grams(codes, q) >> np.uint64(64 - bits)).astype(np.int64)
+            lo = begin[slot].astype(np.int64)
+            n = begin[slot + 1] - lo
+            j = np.flatnonzero(n)
+            lo, n = lo[j], n[j]
+            same = self.q == q
+            width, ahead = 2 * int(self.shift[same].max()) + 1, int(self.size[same].max())
+            # a needle's bins: diagonals from -ahead on, and empty ones at both ends
+            bins = (len(codes) + ahead) // width + 3
+            span, zero = bins * width, ahead + width
+            base = of * span + zero - at
+            cuts = np.searchsorted(np.cumsum(n), np.arange(_VOTES, n.sum(), _VOTES)).tolist()
+            parts = list(itertools.pairwise([0, *cuts, len(n)]))
+
+            def diagonals(part: tuple[int, int], lo=lo, n=n, j=j, base=base) -> np.ndarray:
+                k, p = _spread(lo[slice(*part)], n[slice(*part)])
+                return base[p] + j[slice(*part)][k]
+
+            held = np.zeros(len(same) * bins, np.int64)
+            for part in parts:
+                votes = diagonals(part)
+                held += np.bincount(votes // width, minlength=len(held))
+            held = held.reshape(-1, bins)
+            both = held[:, :-1] + held[:, 1:] >= self.hits[:, None]
+            enough = np.zeros(held.shape, bool)
+            enough[:, :-1] = both
+            enough[:, 1:] |= both
             if not enough.any():
                 continue
-            needle, diagonal = needle[enough], (j - at[p])[enough]
-            by = np.lexsort((diagonal, needle))
-            needle, diagonal = needle[by], diagonal[by]
-            cut = np.flatnonzero(np.append(True, needle[1:] != needle[:-1]))
-            for a, b in zip(cut, np.append(cut[1:], len(needle)), strict=True):
-                k, d = int(needle[a]), diagonal[a:b]
-                _, hits, shift = self.rules[k]
-                last = min(n_places - 1, len(codes) - len(self.needles[k][1]))
-                if len(d) < hits:
-                    continue
-                # enough votes within a band of diagonals: the places it can belong to
-                first, after = d[hits - 1 :], d[: len(d) - hits + 1]
-                near = first - after <= 2 * shift
-                found: set[int] = set()
-                for x, y in zip(np.maximum(first[near] - shift, 0), np.minimum(after[near] + shift, last), strict=True):
-                    found.update(range(-(-int(x) // step) * step, int(y) + 1, step))
-                if found:
-                    out[k] = sorted(found)
-        return out
+            enough, told = enough.ravel(), []
+            for part in parts:
+                votes = votes if len(parts) == 1 else diagonals(part)
+                told.append(np.unique(votes[enough[votes // width]], return_counts=True))
+            votes, which = np.unique(np.concatenate([d for d, _ in told]), return_inverse=True)
+            total = np.append(0, np.cumsum(np.bincount(which, np.concatenate([c for _, c in told]), len(votes)))).astype(np.int64)
+            k = votes // span
+            first = np.flatnonzero(total[np.searchsorted(votes, votes + 2 * self.shift[k], "right")] - total[:-1] >= self.hits[k])
+            k = k[first]
+            last = np.searchsorted(total, total[first] + self.hits[k]) - 1
+            # enough votes within a band of diagonals: the places they can belong to
+            zeros = k * span + zero
+            x = -(-np.maximum(votes[last] - zeros - self.shift[k], 0) // step)
+            y = np.minimum(votes[first] - zeros + self.shift[k], len(codes) - self.size[k]) // step
+            # both ends rise within a needle: a place is taken once
+            x[1:] = np.where(k[1:] == k[:-1], np.maximum(x[1:], y[:-1] + 1), x[1:])
+            which, p = _spread(x, np.maximum(y - x + 1, 0))
+            needles.append(k[which])
+            places.append(p * step)
+        return np.concatenate(needles), np.concatenate(places)
+
+    def alike(self, codes: np.ndarray, needle: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the windows have letters enough in common with their needles."""
+        which, at = _spread(place, self.size[needle])
+        bags = np.bincount(which * _CLASSES + (codes[at] % np.uint64(_CLASSES)).astype(np.int64), minlength=len(needle) * _CLASSES)
+        return np.minimum(bags.reshape(-1, _CLASSES), self.bags[needle]).sum(axis=1) >= self.least * self.size[needle] - 1e-9
+
+    def found(self, parts: list[str], most: int, step: int) -> Iterator[tuple[int, int, int, float]]:
+        """(needle, part, place, ratio) of the windows as good as ``least`` at multiples of ``step`` below ``most`` of each part.
+
+        Parts are looked through one behind the other, each from a multiple of ``step`` on.
+        """
+        codes = [_codes(t) for t in parts]
+        size = np.array([len(c) for c in codes])
+        begin = np.append(0, np.cumsum(-(-size // step) * step))
+        line = np.zeros(begin[-1], np.uint64)
+        for b, c in zip(begin, codes, strict=False):
+            line[b : b + len(c)] = c
+        needle, at = self.places(line, step)
+        part = np.searchsorted(begin, at, "right") - 1
+        own = (at - begin[part] < most) & (at - begin[part] + self.size[needle] <= size[part])
+        needle, at, part = needle[own], at[own], part[own]
+        for a in range(0, len(at), _WINDOWS):
+            some = np.arange(a, min(a + _WINDOWS, len(at)))
+            some = some[self.alike(line, needle[some], at[some])]
+            rows = list(zip(needle[some].tolist(), part[some].tolist(), (at[some] - begin[part[some]]).tolist(), strict=True))
+            score = matching.ratios([parts[t][p : p + self.size[k]] for k, t, p in rows], [self.needles[k][1] for k, _, _ in rows])
+            yield from ((self.needles[k][0], t, p, s) for (k, t, p), s in zip(rows, score.tolist(), strict=True) if s >= self.least)
 
 
 def located_everywhere(needles: DataFrame, texts: DataFrame, least: float = 0.9, step: int = 8) -> DataFrame:
     """(needle, doc, found_at, score) for each needle (key, needle) and text (key, hay) with a window, at a multiple of ``step``, of that ratio.
 
     It is the best window's first place, as a scan of all windows would give it. Runs of characters that a window as good as
-    ``least`` must share with the needle vote for diagonals; only places with enough votes are compared. Texts are cut into
-    overlapping chunks, so a long one is many rows; needles are taken by blocks of :data:`NEEDLES` characters.
+    ``least`` must share with the needle vote for diagonals; only places with enough votes, and enough letters in common, are compared.
+    Texts are cut into overlapping chunks, so a long one is many rows, and short ones are looked through together; needles are
+    taken by blocks of :data:`NEEDLES` characters.
     """
     asked = needles.select("key", "needle").where("length(needle) >= 12")
     longest = asked.agg(F.max(F.length("needle"))).first()[0]
@@ -132,26 +194,23 @@ def located_everywhere(needles: DataFrame, texts: DataFrame, least: float = 0.9,
 
     def look(shared) -> callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            match = difflib.SequenceMatcher(None, autojunk=False)
-            for batch in batches:
-                out = []
-                for doc, k, part in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                    for n, places in index.places(_codes(part), CHUNK, step).items():
-                        key, needle = index.needles[n]
-                        match.set_seq2(needle)
-                        best, at = 0.0, -1
-                        for p in places:
-                            match.set_seq1(part[p : p + len(needle)])
-                            bound = match.quick_ratio()
-                            if bound > best and bound >= least:
-                                score = match.ratio()
-                                if score >= least and score > best:
-                                    best, at = score, p
-                        if at >= 0:
-                            out.append((key, doc, k * CHUNK + at, best))
+            index, names = shared.value, ["needle", "doc", "found_at", "score"]
+
+            def told(held: list[tuple[int, int, str]]) -> pa.RecordBatch:
+                out = [(key, held[t][0], held[t][1] * CHUNK + p, s) for key, t, p, s in index.found([part for _, _, part in held], CHUNK, step)]
                 cols = list(zip(*out, strict=True)) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["needle", "doc", "found_at", "score"])
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names)
+
+            held, size = [], 0
+            for batch in batches:
+                for row in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                    held.append(row)
+                    size += len(row[2])
+                    if size >= _TOGETHER:
+                        yield told(held)
+                        held, size = [], 0
+            if held:
+                yield told(held)
 
         return run
 

@@ -79,3 +79,23 @@ def test_a_paper_is_repaired(spark):
     assert all(got[1, k]["start"] == text.index(ask[k]) for k in range(4)) and got[2, 0]["start"] == 0
     assert got[1, 2]["answer"] == ask[2] + "\n" + answers[2].split(" Examiners")[0] and got[1, 1]["answer"] == "clean" and got[2, 0]["answer"] == bad
     assert np.array_equal(locate.projected("É a-B\n2")[1], [2, 4, 6])
+
+
+def test_short_texts_are_looked_through_together_and_few_windows_are_compared(monkeypatch):
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gam", "del é", "ep ", "zeta"]
+    needles = [(10 * k, " ".join(rng.choice(words) for _ in range(rng.choice([4, 9, 30])))) for k in range(6)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) + spoilt(rng, needles[k % 6][1], rng.choice([0, 0.04])) for k in range(24)] + ["", "é"]
+    compared = []
+    ratios = locate.matching.ratios
+    monkeypatch.setattr(locate.matching, "ratios", lambda a, b: compared.extend(a) or ratios(a, b))
+    index = locate.Index(needles, 0.9)
+    got = sorted(index.found(texts, 1 << 16, 8))
+    want = sorted((k, d, p, r) for k, n in needles for d, t in enumerate(texts) for p in range(0, len(t) - len(n) + 1, 8) if (r := align.ratio(t[p : p + len(n)], n)) >= 0.9)
+    assert got == want and len({(k, d) for k, d, _, _ in want}) >= 6
+    places = sum(max(0, (len(t) - len(n)) // 8 + 1) for _, n in needles for t in texts)
+    assert len(compared) * 5 < places
+    # votes and windows taken by small parts, and places of a chunk only
+    monkeypatch.setattr(locate, "_VOTES", 50)
+    monkeypatch.setattr(locate, "_WINDOWS", 3)
+    assert sorted(index.found(texts, 1 << 16, 8)) == want and sorted(index.found(texts, 40, 8)) == [w for w in want if w[2] < 40]
