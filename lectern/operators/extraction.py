@@ -31,11 +31,14 @@ def merge_parts(items: DataFrame) -> DataFrame:
 
 
 def split_bands(bands: DataFrame, cuts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Bands (y0, y1) split at the cuts (y) strictly inside them, renumbered from the top."""
+    """Bands (y0, y1) split at the cuts (y) strictly inside them, renumbered from the top; what stands twice counts once.
+
+    Equal starts of a band follow each other in its window, so the last of them is taken there: no task holds a table of all rows.
+    """
     inside = bands.join(cuts, list(by)).where("y > y0 and y < y1").select(*by, "y0", "y1", F.col("y").alias("start"))
-    starts = bands.select(*by, "y0", "y1", F.col("y0").alias("start")).unionByName(inside).distinct()
-    w = Window.partitionBy(*by, "y0", "y1").orderBy("start")
-    s = starts.withColumn("end", F.coalesce(F.lead("start").over(w), F.col("y1")))
+    starts = bands.select(*by, "y0", "y1", F.col("y0").alias("start")).unionByName(inside)
+    after = F.lead(F.struct("start")).over(Window.partitionBy(*by, "y0", "y1").orderBy("start"))
+    s = starts.withColumn("_next", after).where(F.col("_next").isNull() | ~F.col("_next.start").eqNullSafe(F.col("start"))).withColumn("end", F.coalesce("_next.start", "y1"))
     return s.withColumn("number", F.row_number().over(Window.partitionBy(*by).orderBy("start", "end", "y0"))).select(*by, "number", "start", "end")
 
 
