@@ -6,8 +6,11 @@ cursor, so documents spread over tasks and no line is met twice.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +26,7 @@ NUMBERED = r"^(\d{1,3})[.):]?\s+\S"
 OPTION_RANGE = r"(?i)Option\s+([A-D])\s+[—–-]\s*[^\r\n]+?(\d+)\s*[–-]\s*(\d+)"
 # Fixed value: a question's number inside a line, which a capital or a bracket follows.
 INLINE = r"(?<![A-Za-z0-9./])([1-9]\d{0,2})[.):]?\s+(?=[A-Z(])"
+_INLINE = re.compile(INLINE, re.ASCII)
 # Fixed value: the label of a question's first part.
 FIRST_PART = r"(?i)(?:^|\s)(?:\((?:a|b|c|i|ii)\)|(?:a|b|c|i|ii|iii|iv|v)\.)\s"
 INSTRUCTION = r"(?i)follow\s+the\s+markscheme"
@@ -77,49 +81,82 @@ def split_by_label(questions: DataFrame, solutions: DataFrame, label: str = "lab
     return found.select(label, F.col("a.n").alias("number"), F.col("a.content").alias("answer")).where(F.length("answer") > least)
 
 
-def inline_answers(pending: DataFrame, questions: DataFrame, solutions: DataFrame, label: str = "label", least: int = 10) -> DataFrame:
-    """(label, number, answer) of the ``pending`` (label, number) whose numbers stand inside the solution lines (label, pos, line) of their label.
+def inside_numbers(text: str, pending: list[int], every: list[int]) -> list[tuple[int, int, int]]:
+    """(n, at, end) of the pending numbers inside a text, both lists in order: each is sought after the one found before, and ends
+    where the least later number of ``every`` that follows it stands, else with the text. A step looks into the number's own places."""
+    places: dict[int, tuple[list[int], list[int]]] = {n: ([], []) for n in every}
+    for m in _INLINE.finditer(text):
+        at, end = places.get(int(m[1]), ([], []))
+        at.append(m.start())
+        end.append(m.end())
+
+    def after(n: int, since: int) -> tuple[int, int] | None:
+        at, end = places.get(n, ([], []))
+        k = bisect.bisect_left(at, since)
+        return (at[k], end[k]) if k < len(at) else None
+
+    out, since = [], 0
+    for n in pending:
+        if hit := after(n, since):
+            since = hit[1]
+            later = (after(q, since) for q in every[bisect.bisect_right(every, n) :])
+            out.append((n, hit[0], next((o[0] for o in later if o), len(text))))
+    return out
+
+
+def _with_insides(texts: DataFrame, label: str, kept: str, least: int) -> DataFrame:
+    """(label, number, answer, found): those of the array ``kept`` by line, and of ``_t`` the numbers ``_p`` inside, among ``_all``."""
+    kind = pa.list_(pa.struct([("n", pa.int64()), ("content", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("_t", "_p", "_all")), strict=True)
+            inside = [[{"n": n, "content": t[at:end]} for n, at, end in inside_numbers(t, p, every)] for t, p, every in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(label), batch.column(kept), pa.array(inside, kind)], [label, "_by_line", "_inside"])
+
+    answers = "array<struct<n:bigint,content:string>>"
+    done = texts.select(label, F.col(kept).cast(answers).alias(kept), "_t", "_p", "_all").mapInArrow(run, f"`{label}` {texts.schema[label].dataType.simpleString()}, _by_line {answers}, _inside {answers}")
+    tidy = F.transform("_inside", lambda a: F.struct(a["n"].alias("n"), F.regexp_replace(a["content"], r"^\s+|\s+$", "").alias("content"), F.lit("inside").alias("found")))
+    line = F.transform("_by_line", lambda a: F.struct(a["n"].alias("n"), a["content"].alias("content"), F.lit("line").alias("found")))
+    told = done.select(label, F.explode(F.concat(line, tidy)).alias("a"))
+    return told.select(label, F.col("a.n").alias("number"), F.col("a.content").alias("answer"), F.col("a.found").alias("found")).where(F.length("answer") > least)
 
-    The lines of a label are one stream of characters. Each pending number in turn is sought after the one found before, before a capital or a
-    bracket and not within a word, a path or a decimal; its answer ends where the least later number of ``questions`` that follows it stands, else
-    with the stream. Answers of ``least`` characters or fewer don't count, but move the cursor. A number's places are looked up in an index of the
-    label, so a step costs the number's own occurrences and never the stream.
-    """
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("line", F.lit("")).alias("line")))), lambda x: x["line"])
-    numbers = lambda d, name: d.where("number is not null").groupBy(label).agg(F.sort_array(F.collect_set(F.col("number").cast("long"))).alias(name))
-    t = solutions.groupBy(label).agg(F.array_join(lines, "\n").alias("_t")).join(numbers(questions, "_all"), label).join(numbers(pending, "_p"), label)
 
-    def place(at: Column, x: Column) -> tuple[Column, Column]:
-        start = at + F.length(x["t"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        return end, F.array(F.struct(x["n"].try_cast("long").alias("n"), start.cast("long").alias("at"), end.cast("long").alias("end")))
+def _stream(lines: Column) -> Column:
+    """The lines of a label as one stream of characters; a null one is empty."""
+    return F.array_join(F.transform(lines, lambda x: F.coalesce(x, F.lit(""))), "\n")
 
-    every = lambda k: F.regexp_extract_all("_t", F.lit(INLINE), F.lit(k))
-    pieces = F.arrays_zip(F.split("_t", INLINE, -1).alias("t"), every(0).alias("m"), every(1).alias("n"))
-    marks = F.filter(gathered(pieces, F.lit(0), "bigint", "struct<n:bigint,at:bigint,end:bigint>", place), lambda m: F.array_contains("_all", m["n"]))
-    m = t.select(label, F.explode(marks).alias("m")).groupBy(label, F.col("m.n").alias("n")).agg(F.sort_array(F.collect_list(F.struct("m.at", "m.end"))).alias("o"))
-    index = m.groupBy(label).agg(F.map_from_entries(F.collect_list(F.struct("n", "o"))).alias("_i"))
 
-    def after(n: Column, since: Column) -> Column:
-        return F.get(F.filter(F.try_element_at("_i", n), lambda o: o["at"] >= since), F.lit(0))
+def _numbers(name: str) -> Column:
+    return F.sort_array(F.collect_set(F.col("number").cast("long"))).alias(name)
 
-    def answer(since: Column, n: Column) -> tuple[Column, Column]:
-        hit = after(n, since)
-        nothing = F.lit(None).cast("bigint")
-        end = F.aggregate(F.filter("_all", lambda q: q > n), nothing, lambda found, q: F.when(found.isNotNull(), found).otherwise(after(q, hit["end"])["at"]))
-        one = F.struct(n.alias("n"), hit["at"].alias("at"), F.coalesce(end, F.length("_t").cast("long")).alias("fin"))
-        return F.coalesce(hit["end"], since), F.when(hit.isNotNull(), F.array(one)).otherwise(F.array().cast("array<struct<n:bigint,at:bigint,fin:bigint>>"))
 
-    found = t.join(index, label).select(label, "_t", F.explode(gathered(F.col("_p"), F.lit(0), "bigint", "struct<n:bigint,at:bigint,fin:bigint>", answer)).alias("a"))
-    body = F.substr("_t", (F.col("a.at") + 1).cast("int"), (F.col("a.fin") - F.col("a.at")).cast("int"))
-    return found.select(label, F.col("a.n").alias("number"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("answer")).where(F.length("answer") > least)
+def _lines() -> Column:
+    return F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+
+
+def inline_answers(pending: DataFrame, questions: DataFrame, solutions: DataFrame, label: str = "label", least: int = 10) -> DataFrame:
+    """(label, number, answer) of the ``pending`` (label, number) whose numbers stand inside the solution lines (label, pos, line) of their label.
+
+    The lines of a label are one stream of characters. Each pending number in turn is sought after the one found before, before a capital or a
+    bracket and not within a word, a path or a decimal; its answer ends where the least later number of ``questions`` that follows it stands, else
+    with the stream (:func:`inside_numbers`). Answers of ``least`` characters or fewer don't count, but move the cursor.
+    """
+    t = solutions.groupBy(label).agg(_stream(_lines()).alias("_t"))
+    t = t.join(questions.groupBy(label).agg(_numbers("_all")), label).join(pending.groupBy(label).agg(_numbers("_p")), label)
+    return _with_insides(t.withColumn("_none", F.array()), label, "_none", least).drop("found")
 
 
 def paired_answers(questions: DataFrame, solutions: DataFrame, label: str = "label", least: int = 10) -> DataFrame:
-    """(label, number, answer, found): by numbers at the start of lines, and by numbers inside them for the questions that those leave without one."""
-    first = split_by_label(questions, solutions, label, least)
-    left = questions.select(label, F.col("number").cast("long").alias("number")).distinct().join(first.select(label, "number"), [label, "number"], "left_anti")
-    return first.withColumn("found", F.lit("line")).unionByName(inline_answers(left, questions, solutions, label, least).withColumn("found", F.lit("inside")))
+    """(label, number, answer, found): by numbers at the start of lines, and by numbers inside them for the questions that those leave without one.
+
+    A label is one row with its lines, so both are told there and its lines are shuffled once.
+    """
+    both = questions.groupBy(label).agg(_numbers("_all")).join(solutions.groupBy(label).agg(_lines().alias("_lines")), label)
+    first = F.filter(located_numbers(F.col("_lines"), F.col("_all")), lambda a: F.length(a["content"]) > least)
+    both = both.select(label, "_all", _stream(F.col("_lines")).alias("_t"), first.alias("_first"))
+    left = F.array_except("_all", F.transform("_first", lambda a: a["n"]))
+    return _with_insides(both.withColumn("_p", left), label, "_first", least)
 
 
 def anchored_walk(text: Column, last: Column) -> Column:

@@ -203,3 +203,18 @@ def test_near_duplicates_shuffle_no_pairs(spark):
     assert got == want and want
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Join LeftOuter" not in plan
+
+
+def test_answers_shuffle_their_lines_once(spark, capsys):
+    s = spark.createDataFrame([("a", 1, None), ("a", 0, "1. é first answer"), ("a", 2, "so 2. Then the second "), ("b", 0, "2 M")], "label string, pos long, line string")
+    q = spark.createDataFrame([("a", 1), ("a", 2), ("a", None), ("b", 2), ("c", 1)], "label string, number int")
+    done = segment.paired_answers(q, s)
+    assert sorted(tuple(x) for x in done.collect()) == [("a", 1, "1. é first answer\nso 2. Then the second ", "line"), ("a", 2, "2. Then the second ", "inside")]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        segment.paired_answers(q, s).explain()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # a shuffle of the numbers and one of the lines
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
+    assert segment.inside_numbers("3 (a) 1. So 2) B x/3 No", [1, 3], [1, 2, 3]) == [(1, 6, 12)]
