@@ -125,12 +125,15 @@ def disambiguated(df: DataFrame, code: str, order: str, prefix: str = "CS-", nam
 
 
 def position_map(c: Column) -> Column:
-    """array<struct<ch,at>>: letters and digits in lower case and single spaces between them, each with its place in the raw text."""
-    kind = lambda ch: F.when(F.regexp_like(ch, F.lit(r"^\s$")), 1).when(F.regexp_like(ch, F.lit(r"^[\p{L}\p{N}]$")), 2).otherwise(0)
-    every = F.filter(F.transform(F.split(c, ""), lambda ch, i: F.struct(F.lower(ch).alias("ch"), i.alias("at"), kind(ch).alias("k"))), lambda x: x["k"] > 0)
+    """array<struct<ch,at>>: letters and digits in lower case and single spaces between them, each with its place in the raw text.
+
+    The text is worked on whole: letters and digits stand for themselves, blanks become spaces, all else one sign.
+    """
+    told = F.regexp_replace(F.regexp_replace(c, r"\s", " "), r"[^\p{L}\p{N} ]", "\u0001")
+    every = F.filter(F.transform(F.split(told, ""), lambda ch, i: F.struct(ch.alias("ch"), i.alias("at"))), lambda x: ~x["ch"].isin("", "\u0001"))
     # a space counts after a letter or digit only
-    kept = let(every, lambda e: F.filter(e, lambda x, i: (x["k"] == 2) | (F.get(e, i - 1)["k"] == 2)))
-    return F.transform(kept, lambda x: F.struct(F.when(x["k"] == 1, " ").otherwise(x["ch"]).alias("ch"), x["at"].alias("at")))
+    kept = let(every, lambda e: F.filter(e, lambda x, i: (x["ch"] != " ") | (F.get(e, i - 1)["ch"] != " ")))
+    return F.transform(kept, lambda x: F.struct(F.lower(x["ch"]).alias("ch"), x["at"].alias("at")))
 
 
 def math_pieces(c: Column) -> Column:
