@@ -218,3 +218,42 @@ def test_answers_shuffle_their_lines_once(spark, capsys):
     # a shuffle of the numbers and one of the lines
     assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
     assert segment.inside_numbers("3 (a) 1. So 2) B x/3 No", [1, 3], [1, 2, 3]) == [(1, 6, 12)]
+
+
+def test_near_duplicates_send_no_bag_to_each_block(spark, monkeypatch):
+    # documents that share their heads, but little else: before, each was sent with all its tokens to every block
+    docs = [(k, "a", " ".join([*"bcdef", *(f"x{k}y{j}" for j in range(20))])) for k in range(60)] + [(100, "a", "b c d e f g h"), (101, "a", "b c d e f g i")]
+    d = spark.createDataFrame(docs, "id long, s string, text string")
+    dealt, deal = [], type(d).repartition
+    monkeypatch.setattr(type(d), "repartition", lambda self, *a: dealt.append(self) or deal(self, *a))
+    monkeypatch.setattr(joins, "DOCUMENTS", 12)
+    _, links = joins.near_duplicates(d, d, "s")
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(100, 101), (101, 100)}
+    assert 0 < sum(x.count() for x in dealt if any(c.startswith("tokens") for c in x.columns)) < len(docs)
+
+
+def test_near_duplicates_by_many_blocks(spark, monkeypatch):
+    # pairs in pieces of two, long sketches beside short ones, items and kept ones that differ
+    from collections import Counter
+
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    docs = []
+    for k in range(60):
+        t = rng.choices(words, k=rng.choice([5, 9, 30, 60, 250]))
+        s = rng.choice(["a", "b", None])
+        # a word of its own, so that no two are copies
+        docs += [(i, s, " ".join([*(x if rng.random() < 0.8 else rng.choice(words) for x in t), f"u{i}"])) for i in (k, 100 + k)]
+    d = spark.createDataFrame(docs, "id long, s string, text string")
+    monkeypatch.setattr(joins, "DOCUMENTS", 12)
+    monkeypatch.setattr(joins, "PAIRS", 2, raising=False)
+    bags = {i: (s, Counter(t.split())) for i, s, t in docs}
+    for kept, of in ((d, list(bags)), (d.where("id % 3 > 0"), [i for i in bags if i % 3])):
+        _, links = joins.near_duplicates(d, kept, "s")
+        want = {}
+        for a, b in ((a, b) for a in bags for b in of if a != b and bags[a][0] == bags[b][0]):
+            x, y = bags[a][1], bags[b][1]
+            j = (x & y).total() / (x | y).total()
+            if j >= 0.45 and len(set(list(x.elements())[:10]) & set(y)) >= 4:
+                want[a, b] = j
+        assert {(r["a"], r["b"]): r["jaccard"] for r in links.collect()} == want and len(want) > 40
